@@ -73,30 +73,42 @@ class _Block:
             self.finite = np.isfinite(self.flux)
 
 
+def _median(a: np.ndarray) -> np.ndarray:
+    """Medians of rows; NaN entries don't count."""
+    a, n = np.sort(a, axis=1), np.count_nonzero(a == a, axis=1)
+    rows = np.arange(len(a))
+    return (a[rows, np.maximum(n - 1, 0) // 2] + a[rows, np.minimum(n // 2, a.shape[1] - 1)]) / 2
+
+
 def _spikes(x: np.ndarray, noise: float, many: float, near: float) -> np.ndarray:
     """True at readings that stand off alone, or two together, from the level on either side by more than many times the noise.
 
-    Detail coefficients beyond 4 robust scales at either level name the places; each is then held against the readings around it: it
-    must stand off from the medians of up to three readings on each side, and the readings next to it must be at that level (within
-    `near` times the noise), else the excursion is longer.
+    Large detail coefficients at either level name the places. Each place is then held against the readings around it: it must stand off
+    from the medians of up to three readings on each side, and the readings next to it must be at the level of those (within `near` times
+    the noise), else the excursion is a longer one.
     """
-    out = np.zeros(len(x), bool)
-    if len(x) < 3 or not noise > 0:
+    out, n = np.zeros(len(x), bool), len(x)
+    if n < 3 or not noise >= 0:
         return out
     one, two = details(x)
-    bound, n = many * noise, len(x)
-    # a lone spike of size s has details s/2 at the first level; of two together each has s/4 and 0.31 s
-    hot = (np.abs(one) > 0.4 * DETAIL_GAIN * bound) | (np.abs(two) > 0.15 * bound)
-    for i in np.flatnonzero(hot | np.roll(hot, -1) if n > 1 else hot):
-        for m in (1, 2):
-            if i + m > n:
-                continue
-            run, left, right = x[i : i + m], x[max(0, i - SIDE) : i], x[i + m : i + m + SIDE]
-            if not len(left) + len(right):
-                continue
-            level = np.median(np.concatenate([left, right]))
-            if all(len(s) == 0 or (np.abs(run - np.median(s)) > bound).all() for s in (left, right)) and all(len(s) == 0 or abs(s[k] - level) <= near * noise for s, k in ((left, -1), (right, 0))):
-                out[i : i + m] = True
+    bound = many * noise
+    # of a run of one or two with neighbours within half the bound, at least one reading has an eighth of the bound at the first level
+    hot = (np.abs(one) >= 0.12 * bound) | (np.abs(two) >= 0.25 * bound)
+    padded = np.concatenate([np.full(SIDE, np.nan), x, np.full(SIDE + 1, np.nan)])
+    for m in (1, 2):
+        at = np.flatnonzero(hot if m == 1 else hot | np.append(hot[1:], False))
+        at = at[at + m <= n]
+        if not len(at):
+            continue
+        left, run, right = (padded[at[:, None] + np.arange(a, b)] for a, b in ((0, SIDE), (SIDE, SIDE + m), (SIDE + m, 2 * SIDE + m)))
+        level = _median(np.hstack([left, right]))
+        with np.errstate(invalid="ignore"):
+            # a comparison with NaN is false: a side without readings has no say
+            close = [~(np.abs(run - _median(side)[:, None]) <= bound).any(axis=1) for side in (left, right)]
+            longer = [np.abs(side - level) > near * noise for side in (left[:, -1], right[:, 0])]
+        got = at[close[0] & close[1] & ~longer[0] & ~longer[1]]
+        for k in range(m):
+            out[got + k] = True
     return out
 
 
