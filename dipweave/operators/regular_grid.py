@@ -41,7 +41,7 @@ def regular_grid(readings: DataFrame, keys: tuple[str, ...] = ("target_id", "mis
     start_of = lambda c: c * width
     within = lambda lo, hi: F.greatest(hi - lo, F.lit(0.0))
     tail = within(F.col("last.time"), F.least(end, start_of(F.col("cell") + 1)))
-    head = F.coalesce(within(start_of(F.col("cell")), F.least(F.col("first"), F.col("before.time") + hold)), F.lit(0.0))
+    head = F.when(F.col("before").isNull(), F.lit(0.0)).otherwise(within(start_of(F.col("cell")), F.least(F.col("first"), F.col("before.time") + hold)))
     length = F.col("length") + tail + head
     area = F.col("area") + tail * F.col("last.flux") + head * F.coalesce(F.col("before.flux"), F.lit(0.0))
     mean = F.when(length > 0, area / length).otherwise(F.col("total") / F.col("n"))
