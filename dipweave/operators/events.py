@@ -13,7 +13,7 @@ from ..config import Config
 from ..functions.numbers import is_finite
 from ..sources.shared import kept
 from .kernels import compare_profiles, measure, periodogram_sums
-from .series import cadences
+from .series import cadences, loose
 
 #: Readings of a bucket of places, for joining events with their readings.
 BUCKET = 512
@@ -114,7 +114,7 @@ def measured(rows: DataFrame, config: Config | None = None, score: bool = True)
                 values = values[np.isfinite(values)]
                 sigma = float(values.std(ddof=1)) if len(values) > 1 else math.nan
             got["a_dur_sigma"] = sigma
-        return pa.table({"series": t["series"].slice(0, 1), **{k: pa.array([x], pa.float64() if "time" in k else pa.int64()) for k, x in v.items()}, **{k: pa.array([None if got.get(k) is None or got[k] != got[k] else float(got[k])], pa.float64()) for k in names}})
+        return pa.table({"series": t["series"].slice(0, 1).cast(loose(t["series"].type)), **{k: pa.array([x], pa.float64() if "time" in k else pa.int64()) for k, x in v.items()}, **{k: pa.array([None if got.get(k) is None or got[k] != got[k] else float(got[k])], pa.float64()) for k in names}})
 
     return data.groupBy("series", "start").applyInArrow(one, f"series {kind}, n bigint, start bigint, end bigint, start_time double, end_time double, {GEOMETRY}, {SCORES}")
 
@@ -138,7 +138,7 @@ def periodicity(rows: DataFrame, config: Config | None = None) -> DataFrame:
         f = low + step * np.arange(1 + int(round((high - low) / step)))
         x, y, w = (t[k].to_numpy() for k in ("t", "y", "weight"))
         out = periodogram_sums(x, y, w, f)
-        return pa.table({"series": pa.array([t["series"][0].as_py()] * len(f), t["series"].type), "frequency": f, "k": np.arange(len(f)), **{c: out[k] for k, c in enumerate(("c", "s", "yc", "ys", "cc", "cs"))}, "yy": np.full(len(f), float((w * y * y).sum()))})
+        return pa.table({"series": pa.array([t["series"][0].as_py()] * len(f), loose(t["series"].type)), "frequency": f, "k": np.arange(len(f)), **{c: out[k] for k, c in enumerate(("c", "s", "yc", "ys", "cc", "cs"))}, "yy": np.full(len(f), float((w * y * y).sum()))})
 
     parts = data.groupBy("series", "block").applyInArrow(sums, f"series {kind}, frequency double, k bigint, c double, s double, yc double, ys double, cc double, cs double, yy double")
     total = parts.groupBy("series", "k").agg(F.max("frequency").alias("frequency"), *(F.sum(c).alias(c) for c in ("c", "s", "yc", "ys", "cc", "cs", "yy")))

@@ -35,6 +35,11 @@ def odd_window(window: Column, n: Column) -> Column:
     return F.greatest(size - (size % 2 == 0).cast("bigint"), F.lit(1).cast("bigint"))
 
 
+def loose(kind: pa.DataType) -> pa.DataType:
+    """An Arrow type with all struct fields nullable, as a schema given by name has them."""
+    return pa.struct([pa.field(f.name, loose(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
 def placed(readings: DataFrame, keys: tuple[str, ...] = KEYS, bounds: tuple[float, float] | None = (0.0, 40000.0)) -> DataFrame:
     """(series, block, pos, n, time, next_time, flux, flux_err, n_dropped): the usable readings of each series in time order, pos counting from 0.
 
@@ -109,6 +114,7 @@ def smoothed(rows: DataFrame, config: Config | None = None, detrend: str = "savg
 
     def smooth(t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")
+        t = t.set_column(t.column_names.index("series"), "series", t["series"].cast(loose(t["series"].type)))
         one = {k: t[k][0].as_py() for k in ("block", "n", "first_time", "last_time", "w_trend", "w_base", "w_noise")}
         pos, time, flux, clean = (t[k].to_numpy() for k in ("pos", "time", "flux", "clipped"))
         at_start, at_end = pos[0] == 0, pos[-1] == one["n"] - 1

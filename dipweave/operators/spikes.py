@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import is_finite
+from ..functions.numbers import is_finite, known
 
 #: Standard deviation of the finest à trous detail (kernel 1/4, 1/2, 1/4) of unit white noise.
 DETAIL_GAIN = 6**0.5 / 4
@@ -197,7 +197,7 @@ def flag_readings(readings: DataFrame, keys: tuple[str, ...] = ("target_id", "mi
         return pa.table({"series": pa.array([key[0].as_py()] * len(hit), t.schema.field("series").type), "idx": pa.array(b.idx[hit], pa.int64()), **{k: pa.array(v[hit]) for k, v in flags.items()}})
 
     flagged = placed.groupBy("series", "block").cogroup(_carry(parts).groupBy("series", "block")).applyInArrow(flag, f"series {kind}, {FLAGS}")
-    bad = lambda c: F.coalesce(~F.isnan(c) & ~(is_finite(F.col(c)) & (F.col(c) > 0)), F.lit(False))
+    bad = lambda c: known(F.col(c)).isNotNull() & ~(is_finite(F.col(c)) & F.coalesce(F.col(c) > 0, F.lit(False)))
     bounds = {"impossible_flux": bad("flux"), "impossible_error": bad("flux_err"), "impossible_time": F.coalesce(~F.isnan("time") & ~((F.col("time") > low) & (F.col("time") < high)), F.lit(False))}
     names = [x.split()[0] for x in FLAGS.split(", ")[1:]]
     unplaced = rows.where("idx IS NULL").select("series", "idx", *(bounds.get(n, F.lit(False)).alias(n) for n in names)).where(" OR ".join(bounds))
