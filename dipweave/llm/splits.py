@@ -56,7 +56,7 @@ def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
     """How many of each size to take, of so many that there are, for a sum as near to target as can be; the lower of two equally near.
 
     Bitsets of reachable sums, one for each power of two of a size's multiplicity. Sums up to twice the target are looked at. If the target is
-    beyond BITS, sizes count in units of target / BITS and those below one unit fill the remainder, largest first.
+    beyond BITS, sizes count in units of target / BITS, rounded up, and what that leaves of the target is filled largest first.
     """
     if target <= 0:
         return {}
@@ -73,20 +73,20 @@ def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
             k *= 2
     steps = [1]
     for s, k in items:
-        steps.append((steps[-1] | (steps[-1] << (s * k // unit))) & mask)
+        steps.append((steps[-1] | (steps[-1] << -(-s * k // unit))) & mask)
     below, above = steps[-1] & ((1 << (goal + 1)) - 1), steps[-1] >> (goal + 1)
     low = below.bit_length() - 1
     high = goal + 1 + (above & -above).bit_length() - 1 if above else None
-    at = low if high is None or goal - low <= high - goal else high
+    at = low if high is None or unit > 1 or goal - low <= high - goal else high
     taken: dict[int, int] = {}
     for n in range(len(items), 0, -1):
         s, k = items[n - 1]
         if not steps[n - 1] >> at & 1:
             taken[s] = taken.get(s, 0) + k
-            at -= s * k // unit
+            at -= -(-s * k // unit)
     left = target - sum(s * k for s, k in taken.items())
-    for s in sorted((s for s in sizes if s < unit), reverse=True):
-        k = min(sizes[s], max(0, left) // s)
+    for s in sorted(sizes, reverse=True) if unit > 1 else ():
+        k = min(sizes[s] - taken.get(s, 0), max(0, left) // s)
         if k:
             taken[s] = taken.get(s, 0) + k
             left -= s * k
@@ -96,11 +96,11 @@ def subset(sizes: dict[int, int], target: int) -> dict[int, int]:
 def quotas(sizes: dict[int, int], targets: dict[str, int]) -> dict[int, dict[str, int]]:
     """How many components of each size go to each split of targets (rows wanted); the others go to the split that isn't named.
 
-    Each size class is shared out by proportion as far as whole components go; what is left of the classes is chosen by subset sums.
+    Each size class is shared out by proportion as far as whole components go; what a target then lacks is chosen by subset sums from the rest.
     """
     total = sum(s * m for s, m in sizes.items())
     out = {s: {k: int(m * t / total) if total else 0 for k, t in targets.items()} for s, m in sizes.items()}
-    free = {s: m - sum(out[s].values()) - int(m * max(0, total - sum(targets.values())) / total) for s, m in sizes.items()}
+    free = {s: m - sum(out[s].values()) for s, m in sizes.items()}
     for k, t in targets.items():
         for s, n in subset({s: m for s, m in free.items() if m > 0}, t - sum(s * out[s][k] for s in sizes)).items():
             out[s][k] += n
