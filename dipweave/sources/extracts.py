@@ -31,8 +31,8 @@ def save_results(candidates: DataFrame, path: str) -> None:
 
 def load_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Candidates of JSON lines; malformed lines go."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where("_corrupt IS NULL").drop("_corrupt")
+    lines = spark.read.text(path).select(F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    return lines.where("r IS NOT NULL AND r._corrupt IS NULL").select("r.*").drop("_corrupt")
 
 
 def save_list(rows: DataFrame, path: str, line: str = "target_id", note: str | None = None) -> None:
