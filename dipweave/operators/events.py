@@ -137,7 +137,7 @@ def periodicity(rows: DataFrame, config: Config | None = None) -> DataFrame:
         step = 1 / (5 * t["extent"][0].as_py())
         f = low + step * np.arange(1 + int(round((high - low) / step)))
         x, y, w = (t[k].to_numpy() for k in ("t", "y", "weight"))
-        out = periodogram_sums(x, y, w, f)
+        out = periodogram_sums(x, y, w, low, step, len(f))
         return pa.table({"series": pa.array([t["series"][0].as_py()] * len(f), loose(t["series"].type)), "frequency": f, "k": np.arange(len(f)), **{c: out[k] for k, c in enumerate(("c", "s", "yc", "ys", "cc", "cs"))}, "yy": np.full(len(f), float((w * y * y).sum()))})
 
     parts = data.groupBy("series", "block").applyInArrow(sums, f"series {kind}, frequency double, k bigint, c double, s double, yc double, ys double, cc double, cs double, yy double")

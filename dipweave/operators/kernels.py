@@ -176,11 +176,19 @@ def compare_profiles(t: np.ndarray, y: np.ndarray, err: np.ndarray, t_min: float
     return {"delta_bic": delta if math.isfinite(delta) else -math.inf, "tau_over_sigma": float(b[3] / b[2]) if b[2] > 0 else math.nan}
 
 
-def periodogram_sums(t: np.ndarray, y: np.ndarray, weight: np.ndarray, frequency: np.ndarray) -> np.ndarray:
-    """What a block adds to a periodogram with floating mean: for each frequency the weighted sums of cos, sin, y cos, y sin, cos cos, cos sin."""
-    out = np.empty((6, len(frequency)))
-    for a in range(0, len(frequency), 512):
-        phase = 2 * np.pi * frequency[a : a + 512, None] * t
-        c, s = np.cos(phase), np.sin(phase)
-        out[:, a : a + 512] = np.stack([c @ weight, s @ weight, c @ (weight * y), s @ (weight * y), (c * c) @ weight, (c * s) @ weight])
-    return out
+def periodogram_sums(t: np.ndarray, y: np.ndarray, weight: np.ndarray, low: float, step: float, count: int, width: int = 32) -> np.ndarray:
+    """What a block adds to a periodogram with floating mean: for each of `count` frequencies from low by step the weighted sums of cos, sin, y cos, y sin, cos cos, cos sin.
+
+    The phases of a frequency are those of the start of its row of `width` frequencies turned by those of its place in it, so only a few phases need a sine; double angles give the squares.
+    """
+    out = np.empty((6, -(-count // width) * width))
+    turn = np.exp(2j * np.pi * step * np.arange(width)[:, None] * t)
+    start = np.exp(2j * np.pi * low * t)
+    row = np.exp(2j * np.pi * step * width * t)
+    both, total = np.stack([weight, weight * y], axis=1), weight.sum()
+    for a in range(0, count, width):
+        z = turn * start
+        single, double = z @ both, (z * z) @ weight
+        out[:, a : a + width] = [single[:, 0].real, single[:, 0].imag, single[:, 1].real, single[:, 1].imag, (total + double.real) / 2, double.imag / 2]
+        start = start * row
+    return out[:, :count]

@@ -161,3 +161,12 @@ def test_labels(rows):
     df = rows(data, schema)
     assert sorted(r["label_id"] for r in cal.clean_labels(df).collect()) == [1, 7, 9]
     assert sorted(r["label_id"] for r in cal.clean_labels(df, keep_unmeasured=True).collect()) == [1, 7, 8, 9]
+
+
+def test_periodogram_sums():
+    rng = np.random.default_rng(7)
+    t, y, w = rng.uniform(0, 30, 50), rng.normal(size=50), rng.uniform(0.5, 2, 50)
+    got = ke.periodogram_sums(t, y, w, 0.02, 0.007, 75)
+    for k in (0, 1, 31, 32, 74):
+        c, s = np.cos(2 * np.pi * (0.02 + 0.007 * k) * t), np.sin(2 * np.pi * (0.02 + 0.007 * k) * t)
+        np.testing.assert_allclose(got[:, k], [(w * c).sum(), (w * s).sum(), (w * y * c).sum(), (w * y * s).sum(), (w * c * c).sum(), (w * c * s).sum()], atol=1e-9)
