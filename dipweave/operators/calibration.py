@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.numbers import finite, is_finite, known
 from .events import candidate_rows, flagged
+from .training import FEATURES, features
 from .medians import exact_median
+from ..sources.shared import kept
 from .series import smoothed
 
 #: Classes with an injection, which have a positive depth.
@@ -62,6 +64,50 @@ def recovery(rows: DataFrame, depths: tuple[float, ...], per_depth: int = 20, in
     return plan.join(top, ["series", "trial"], "left").select("series", "trial", "t0", "depth", F.col("m").isNotNull().alias("detected"), F.coalesce("m.flagged", F.lit(False)).alias("flagged"), F.col("m.t_min").alias("recovered_t0"), F.col("m.a_dur").alias("recovered_a_dur"), F.col("m.delta_bic").alias("delta_bic"))
 
 
+def label_trials(rows: DataFrame, per_class: int, config: Config | None = None) -> DataFrame:
+    """(series, trial, label, t0, amplitude, ingress, egress, period, phase) for per_class trials of each injected class and a fourth of that, at least one, of the others, per series.
+
+    All draws are hashes of the seed, the series and the trial: depths from DEPTHS_PPM by weight; widths of 1 to 10 hours, the longer side of comets and mirrored comets 1.2 to 5 times
+    the other; flares rising in 0.01 to 0.1 days and decaying in 0.02 to 0.3; spots of 100 to 5000 ppm with periods of 0.5 to 30 days. Epochs keep clear of the ends.
+    """
+    c = config or Config()
+    margin = c.candidates.edge_margin_days + 2.0
+    span = rows.groupBy("series").agg((F.min("time") + margin).alias("low"), (F.max("time") - margin).alias("high")).where("high > low")
+    plan = [(k, n) for k in INJECTED for n in range(per_class)] + [(k, n) for k in ("noise", "time_reversed_real") for n in range(max(per_class // 4, 1))]
+    grid = F.array(*(F.struct(F.lit(k).alias("label"), F.lit(n).cast("bigint").alias("trial")) for n, (k, _) in enumerate(plan)))
+    draw = lambda k: F.pmod(F.xxhash64(F.lit(c.runtime.rng_seed), F.lit(k), "series", "trial"), F.lit(1 << 30)) / float(1 << 30)
+    between = lambda k, a, b: a + draw(k) * (b - a)
+    ladder = F.array(*(F.lit(p * 1e-6) for p, w in zip(DEPTHS_PPM, DEPTH_WEIGHTS) for _ in range(w)))
+    label, width, ratio = F.col("label"), between(3, 1.0, 10.0) / 24, between(4, 1.2, 5.0)
+    pick = lambda **by: F.coalesce(*(F.when(label == k, v) for k, v in by.items()))
+    depth = F.element_at(ladder, (F.floor(draw(2) * sum(DEPTH_WEIGHTS)) + 1).cast("int"))
+    amplitude = F.when(label == "starspot", between(2, 100e-6, 5000e-6)).when(label.isin("noise", "time_reversed_real"), F.lit(None).cast("double")).otherwise(depth)
+    return span.withColumn("g", F.explode(grid)).select("series", "low", "high", "g.*").select(
+        "series", "trial", "label", (F.col("low") + draw(1) * (F.col("high") - F.col("low"))).alias("t0"), amplitude.alias("amplitude"), pick(comet=width, symmetric=width, reversed=width * ratio, flare=between(3, 0.01, 0.1)).alias("ingress"),
+        pick(comet=width * ratio, symmetric=width, reversed=width, flare=between(4, 0.02, 0.3)).alias("egress"), between(5, 0.5, 30.0).alias("period"), between(6, 0.0, 2 * math.pi).alias("phase"),
+    )
+
+
+def labelled(rows: DataFrame, per_class: int = 4, tolerance: float = 0.5, config: Config | None = None) -> DataFrame:
+    """Feature rows of detected injections into normalised series: series, trial, label, injected_depth and FEATURES, at most one row per trial.
+
+    All trials are one table, injected, then detrended, then detected in one plan. A trial is answered by the event whose window begins nearest to its epoch, within the tolerance (spots: however far); one without injection by its first event.
+    """
+    plan = kept(label_trials(rows, per_class, config))
+    back = rows.select("series", (F.col("n") - 1 - F.col("pos")).alias("pos"), F.col("flux").alias("_back"))
+    both = rows.join(back, ["series", "pos"])
+    blocks = both.select("series", "block").distinct().join(plan, "series")
+    t, t0, a = F.col("time"), F.col("t0"), F.col("amplitude")
+    change = F.when(F.col("label").isin("comet", "symmetric", "reversed"), -ramp(t, t0, a, F.col("ingress"), F.col("egress"))).when(F.col("label") == "flare", flare(t, t0, a, F.col("ingress"), F.col("egress"))).when(F.col("label") == "starspot", starspot(t, F.col("period"), a, F.col("phase"))).otherwise(0.0)
+    flux = F.when(F.col("label") == "time_reversed_real", F.col("_back")).otherwise(F.col("flux") + change)
+    injected = both.join(blocks, ["series", "block"]).withColumn("flux", flux).withColumn("series", F.struct("series", "trial")).select(*rows.columns)
+    flat = smoothed(injected, config)
+    found = kept(candidate_rows(flat, config))
+    near = plan.join(found, ["series", "trial"]).withColumn("apart", F.when(F.col("label").isin("noise", "time_reversed_real"), F.col("t_min")).otherwise(F.abs(F.col("t_min") - F.col("duration_days") / 2 - t0)))
+    answer = near.where((F.col("apart") <= tolerance) | F.col("label").isin("starspot", "noise", "time_reversed_real")).groupBy("series", "trial").agg(F.min(F.struct("apart", "t_min", "label", "amplitude")).alias("m")).select("series", "trial", "m.t_min", "m.label", F.col("m.amplitude").alias("injected_depth"))
+    return answer.join(features(found, flat, ("series", "trial")), ["series", "trial", "t_min"]).select("series", "trial", "label", "injected_depth", *FEATURES)
+
+
 def completeness(results: DataFrame, by: str = "depth") -> DataFrame:
     """Per depth the number of injections and the fractions detected and flagged."""
     return results.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("detected").cast("double")).alias("detected"), F.avg(F.col("flagged").cast("double")).alias("flagged"))

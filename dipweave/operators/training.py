@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -32,7 +34,7 @@ def features(candidates: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> D
         "log_depth_ppm": safe_log(F.col("depth_ppm")), "depth_snr": F.when(F.col("_mad") > 0, F.col("depth_ppm") * 1e-6 / (MAD_TO_SIGMA * F.col("_mad"))), "abs_a_dur": F.abs("a_dur"),
         "log_tau_over_sigma": safe_log(F.col("tau_over_sigma")), "significance": finite(F.col("significance")), "ingress_slope_snr": snr("ingress"), "egress_slope_snr": snr("egress"),
     }
-    joined = candidates.withColumn("series", F.struct(*keys)).join(noise, "series", "left")
+    joined = candidates.withColumn("_series", F.struct(*keys)).join(noise.withColumnRenamed("series", "_series"), "_series", "left")
     return joined.select(*keys, "t_min", *(made.get(f, F.col(f)).cast("double").alias(f) for f in FEATURES))
 
 
@@ -78,3 +80,22 @@ def quantile(rows: DataFrame, column: str, q: float) -> float:
     """A quantile of a column by linear interpolation, 0.5 if there are no values; from counts of distinct values near it, never from all rows in one task."""
     got = exact_quantile(rows.select(F.lit(0).alias("k"), column), "k", column, q, "q").first()
     return float(got["q"]) if got else 0.5
+
+
+def backtest(model, candidates: DataFrame, medians: dict[str, float], threshold: float) -> DataFrame:
+    """candidates (FEATURES) with a score of the model and `accepted`; missing features take the medians of the training rows."""
+    filled = [F.coalesce(finite(F.col(n).cast("double")), F.lit(float(medians.get(n) or 0.0))).alias(f"_{n}") for n in FEATURES]
+    there = [finite(F.col(n).cast("double")).isNotNull().cast("double").alias(f"_has_{n}") for n in FEATURES]
+    ready = VectorAssembler(inputCols=[f"_{n}" for n in FEATURES] + [f"_has_{n}" for n in FEATURES], outputCol="x").transform(candidates.select("*", *filled, *there)).select(*candidates.columns, "x")
+    return scores(model, ready).drop("x").withColumn("accepted", F.col("score") >= threshold)
+
+
+def fingerprint(rows: DataFrame) -> str:
+    """16 digits that tell tables with other rows apart, whatever the order of rows and files."""
+    r = rows.select(F.xxhash64(*rows.columns).alias("a"), F.xxhash64(F.lit(1), *rows.columns).alias("b")).agg(F.sum(F.col("a").cast("decimal(20,0)")), F.sum(F.col("b").cast("decimal(20,0)")), F.count("*")).first()
+    return hashlib.sha256(repr(tuple(r)).encode()).hexdigest()[:16]
+
+
+def nth_last(manifest: DataFrame, order: str, skip: int = 0) -> DataFrame:
+    """The entry of a manifest that is `skip` before the last."""
+    return manifest.orderBy(F.desc(order)).offset(skip).limit(1)

@@ -152,6 +152,11 @@ def injection_recovery(spark: SparkSession, folder: str) -> DataFrame:
     return cal.completeness(cal.recovery(_rows(spark, folder), (5e-4, 1e-3, 2e-3, 3e-3, 1e-2), per_depth=1))
 
 
+def generate_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Feature rows of detected injections of all seven classes, one trial of each into every series."""
+    return cal.labelled(_rows(spark, folder), per_class=1).select("series.*", "trial", "label", "injected_depth", *FEATURES)
+
+
 def sector_lists(spark: SparkSession, folder: str) -> DataFrame:
     """The quarters or sectors of each target, as a text."""
     q = table(spark, folder, "light_curves").groupBy("target_id", "mission").agg(F.array_sort(F.collect_set("quarter_no")).alias("q"), F.count("*").alias("n_rows"))
@@ -215,7 +220,7 @@ _FLANKS = f"""{_BASE},
 f AS (SELECT {_SERIES}, span, count(*) AS n, CASE WHEN count(*) >= 10 THEN round(median(flux), 9) END AS level FROM m, (SELECT unnest([2.0621, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 14.0, 20.0])::DOUBLE AS span) sp
   WHERE abs(time - (t_first + t_last) / 2) >= 1 AND abs(time - (t_first + t_last) / 2) <= 1 + span GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (normalise_series, normalised_readings, rolling_baseline, depth_significance, upper_clip, dip_runs, event_windows, event_geometry, time_reverse, inject_comet, inject_flare, inject_starspot, out_of_event_level, baseline_sweep, depth_five_ways, detrend_savgol, detrend_spline, detect_pipeline, periodicity, event_features, injection_recovery, sector_lists)}
+QUERIES = {f.__name__: f for f in (normalise_series, normalised_readings, rolling_baseline, depth_significance, upper_clip, dip_runs, event_windows, event_geometry, time_reverse, inject_comet, inject_flare, inject_starspot, out_of_event_level, baseline_sweep, depth_five_ways, detrend_savgol, detrend_spline, detect_pipeline, periodicity, event_features, injection_recovery, generate_labels, sector_lists)}
 SQL = {
     "normalise_series": f"{_BASE}, a AS (SELECT {_SERIES}, count(*) AS every FROM light_curves GROUP BY ALL) SELECT st.{_SERIES.replace(', ', ', st.')}, n AS n_points, every - n AS n_dropped, round(level, 6) AS level, round(cad, 9) AS cadence_days, round(t_last - t_first, 6) AS baseline_days FROM st JOIN a ON {_ON.format('st', 'a')}",
     "normalised_readings": f"{_BASE} SELECT {_SERIES}, pos, time, round(flux, 9) AS flux, round(flux_err, 9) AS flux_err FROM m",

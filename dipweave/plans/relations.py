@@ -199,6 +199,17 @@ def targets_view(spark: SparkSession, folder: str) -> DataFrame:
     return le.targets_view(_ledger(spark, folder), results, processed).drop("mission")
 
 
+def newest_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 attempts that are newest, a page of the list of runs."""
+    return table(spark, folder, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
+
+
+def export_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Flagged candidates as rows of an export: each target with the source of its data behind it."""
+    c = table(spark, folder, "candidates").where("flagged").groupBy("candidate_id").agg(F.max(F.struct("found_at", "target_id", "mission", "t_min", "depth_ppm")).alias("c"))
+    return c.select("candidate_id", F.concat(F.coalesce("c.target_id", F.lit("unknown")), F.lit(" ["), "c.mission", F.lit("]")).alias("target"), known(F.col("c.t_min")).alias("t_min"), known(F.col("c.depth_ppm")).alias("depth_ppm"))
+
+
 def fresh_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Fetched documents per source that are no older than 14 days on the first of December 2022."""
     d = le.fresh(table(spark, folder, "documents"), "2022-12-01 00:00:00", 14.0)
@@ -243,7 +254,7 @@ last AS (SELECT * FROM led WHERE back = 1)"""
 _MEDIANS = ", ".join(f"(SELECT coalesce(median({f}) FILTER (isfinite({f})), 0) FROM training_labels) AS m_{f}" for f in tr.FEATURES)
 _SUMS = " UNION ALL ".join([f"SELECT {k} AS k, round(sum(CASE WHEN isfinite({f}) THEN {f} ELSE m_{f} END), 3) AS total FROM training_labels, md" for k, f in enumerate(tr.FEATURES)] + [f"SELECT {k + len(tr.FEATURES)} AS k, round(sum(CASE WHEN isfinite({f}) THEN 1.0 ELSE 0.0 END), 3) AS total FROM training_labels" for k, f in enumerate(tr.FEATURES)])
 
-QUERIES = {f.__name__: f for f in (match_all, match_max_significance, match_deepest, match_nearest_start, match_one_to_one, match_truth, best_cross_match, match_control, cone_search, catalog_stars, completeness_by_depth, detection_floor, fpr_threshold, host_vetting, candidates_summary, a_dur_histogram, flag_rule, dedup_labels, least_covered, hold_out_guard, ratio_summary, impute_features, train_classifier, slugify, latest_attempts, next_targets, targets_view, fresh_cache, new_products)}
+QUERIES = {f.__name__: f for f in (match_all, match_max_significance, match_deepest, match_nearest_start, match_one_to_one, match_truth, best_cross_match, match_control, cone_search, catalog_stars, completeness_by_depth, detection_floor, fpr_threshold, host_vetting, candidates_summary, a_dur_histogram, flag_rule, dedup_labels, least_covered, hold_out_guard, ratio_summary, impute_features, train_classifier, slugify, latest_attempts, next_targets, targets_view, newest_runs, export_rows, fresh_cache, new_products)}
 SQL = {
     "match_all": f"{_MATCH} SELECT dip_id, candidate_id, round(off, 6) AS \"offset\" FROM pairs",
     "match_max_significance": _first("-coalesce(sig, '-inf'::DOUBLE)"),
@@ -274,6 +285,8 @@ l AS (SELECT split, {_NAME.format("host_star")} AS name, count(*) AS n FROM trai
     "latest_attempts": f"{_ATTEMPTS} SELECT target_id, status, attempt, timestamp_utc FROM last",
     "next_targets": f"{_ATTEMPTS} SELECT c_custkey::VARCHAR AS target_id, c_custkey AS place, status IS NOT NULL AS is_retry, timestamp_utc AS retry_time FROM customer LEFT JOIN last ON last.target_id = c_custkey::VARCHAR WHERE status IS NULL OR (status = 'failed' AND attempt < 3)",
     "targets_view": f"{_ATTEMPTS}, c AS (SELECT o_custkey::VARCHAR AS target_id, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS f FROM orders GROUP BY 1), h AS (SELECT c_custkey::VARCHAR AS target_id FROM customer WHERE c_acctbal >= 0) SELECT last.target_id, status, attempt, CASE WHEN h.target_id IS NOT NULL THEN coalesce(n, 0) END AS n_candidates, CASE WHEN h.target_id IS NOT NULL THEN coalesce(f, 0) END AS n_flagged, CASE WHEN status = 'failed' THEN greatest(3 - attempt, 0) END AS retries_left FROM last LEFT JOIN c ON last.target_id = c.target_id LEFT JOIN h ON last.target_id = h.target_id",
+    "newest_runs": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "export_rows": "SELECT candidate_id, coalesce(target_id, 'unknown') || ' [' || mission || ']' AS target, CASE WHEN NOT isnan(t_min) THEN t_min END AS t_min, CASE WHEN NOT isnan(depth_ppm) THEN depth_ppm END AS depth_ppm FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY found_at DESC) AS k FROM candidates WHERE flagged) WHERE k = 1",
     "fresh_cache": "SELECT source, count(*) AS n, strftime(max(fetched_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS last_day FROM documents WHERE fetched_at >= TIMESTAMPTZ '2022-12-01 00:00:00+00' - INTERVAL 14 DAY GROUP BY 1",
     "new_products": "WITH a AS (SELECT target_id, mission, count(DISTINCT quarter_no) AS n_products, count(DISTINCT quarter_no) FILTER (quarter_no % 2 = 0) AS n_known FROM light_curves GROUP BY ALL) SELECT target_id, mission, n_known, n_products FROM a WHERE n_known < n_products",
 }

@@ -170,3 +170,68 @@ def test_periodogram_sums():
     for k in (0, 1, 31, 32, 74):
         c, s = np.cos(2 * np.pi * (0.02 + 0.007 * k) * t), np.sin(2 * np.pi * (0.02 + 0.007 * k) * t)
         np.testing.assert_allclose(got[:, k], [(w * c).sum(), (w * s).sum(), (w * y * c).sum(), (w * y * s).sum(), (w * c * c).sum(), (w * c * s).sum()], atol=1e-9)
+
+
+def test_generated_labels(rows):
+    long = curve(12, n=3000)
+    got = cal.labelled(se.normalised(table(rows, host=long)), per_class=6, config=QUICK).toPandas()
+    assert len(got) == len(set(got.trial)) and set(got.label) <= {*cal.INJECTED, "noise", "time_reversed_real"} and len(got) >= 3
+    dips = got[got.label.isin(["comet", "symmetric", "reversed"])]
+    assert len(dips) and (dips.depth_ppm > 0).all() and (dips.injected_depth * 1e6).round().isin(cal.DEPTHS_PPM).all()
+
+
+def test_truth_and_gate(spark, tmp_path):
+    from dipweave.sources import truth as tr
+
+    spec = {"match_tolerance_days": 0.5, "targets": [{"target_id": "KIC 1", "dips": [{"t_min_bkjd": 139.98, "depth_ppm": 491}, {"t_min_bkjd": 742.45}]}, {"target_id": "KIC 2", "dips": []}]}
+    dips, tolerance = tr.truth(spark, spec)
+    assert tolerance == 0.5 and dips.count() == 3
+    hits = spark.createDataFrame([("KIC 1", 139.98), ("KIC 1", 742.45)], "target_id string, t_min_bkjd double")
+    assert tr.passed(tr.gate(dips, hits)) and not tr.passed(tr.gate(dips, hits.limit(1))) and not tr.passed(tr.gate(dips, hits, strict=True)) and not tr.passed(tr.gate(dips.where("t_min_bkjd IS NULL"), hits))
+    for bad in ({}, {"match_tolerance_days": 0, "targets": [{}]}, {"match_tolerance_days": 1, "targets": []}, {"match_tolerance_days": 1, "targets": [{"x": 1}]}):
+        with pytest.raises(ValueError):
+            tr.truth(spark, bad)
+    spark.createDataFrame([("KIC 1", 1)], "host_star string, label_id int").write.parquet(str(tmp_path / "l"))
+    assert tr.load_labels(spark, str(tmp_path / "l"), held_out=("KIC 2",)).count() == 1
+    with pytest.raises(tr.HoldOutError):
+        tr.load_labels(spark, str(tmp_path / "l"), held_out=("KIC 1",))
+    assert tr.first_present(["RA", "dec"], ("ra_deg", "RA")) == "RA" and tr.first_present([], ("a",)) is None
+    assert tr.synthetic(spark, 100).count() == 100
+
+
+def test_classifier(spark):
+    from dipweave.operators import training as tn
+
+    rng = np.random.default_rng(8)
+    data = [(n, f"KIC {n % 20}", "comet" if n % 3 == 0 else "noise", 1e-3, *[float(rng.normal(3 * (n % 3 == 0))) if rng.random() > 0.1 else None for _ in FEATURES]) for n in range(240)]
+    df = spark.createDataFrame(data, "label_id bigint, host_star string, label string, injected_depth double, " + ", ".join(f"{f} double" for f in FEATURES))
+    scored, threshold = tn.out_of_fold(df, folds=3, trees=15)
+    got = scored.toPandas()
+    assert len(got) == 240 and got[got.label == "comet"].score.mean() > 0.8 > 0.2 > got[got.label == "noise"].score.mean()
+    assert (got[got.label == "noise"].score > threshold).mean() <= 0.02
+    assert tn.fingerprint(df) == tn.fingerprint(df.repartition(5)) != tn.fingerprint(df.limit(239))
+    model = tn.forest(tn.imputed(df).withColumn("y", (F.col("label") == "comet").cast("double")), 10, 1)
+    assert tn.backtest(model, df.select("label_id", *FEATURES), {}, 0.5).where("accepted").count() > 40
+    assert tn.nth_last(df, "label_id", 2).first()["label_id"] == 237
+
+
+def test_command_line(spark, rows, tmp_path, capsys):
+    import json
+
+    from dipweave.__main__ import main
+
+    epochs = [12.0, 24.0, 34.0]
+    table(rows, star=curve(11, [(x, 2e-3, 0.12, 0.6) for x in epochs])).write.parquet(str(tmp_path / "in"))
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"scoring": {"bootstrap_draws": 20}}))
+    assert main(["--config", str(config), "run", str(tmp_path / "in"), str(tmp_path / "out")], spark) == 0
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    spec = {"match_tolerance_days": 0.5, "targets": [{"target_id": "star", "dips": [{"t_min_bkjd": 100 + x} for x in epochs]}, {"target_id": "other", "dips": []}]}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    assert main(["--config", str(config), "validate", str(tmp_path / "in"), str(tmp_path / "t.json")], spark) == 0
+    spec["targets"][0]["dips"].append({"t_min_bkjd": 118.0})
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    assert main(["--config", str(config), "validate", str(tmp_path / "in"), str(tmp_path / "t.json")], spark) == 1
+    (tmp_path / "t.json").write_text("{}")
+    assert main(["validate", str(tmp_path / "in"), str(tmp_path / "t.json")], spark) == 2
+    assert "star: failed, 3 of 4" in capsys.readouterr().out
