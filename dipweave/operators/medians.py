@@ -32,3 +32,11 @@ def exact_quantile(rows: DataFrame, key: str, value: str, q: float, name: str) -
 def exact_median(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """(key, name): the exact median of value per key, the mean of the two middle ones for an even count; see exact_quantile."""
     return exact_quantile(rows, key, value, 0.5, name)
+
+
+def exact_medians(rows: DataFrame, key: str, **values) -> DataFrame:
+    """(key, the names of values): the exact medians of several columns per key in one go; NULL for a key without values of one of them."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("what"), c.cast("double").alias("v")) for n, c in values.items()))
+    long = rows.select(key, F.explode(pairs).alias("p")).select(F.struct(key, "p.what").alias("_k"), "p.v")
+    found = exact_quantile(long, "_k", "v", 0.5, "m")
+    return found.groupBy(F.col(f"_k.{key}").alias(key)).agg(*(F.max(F.when(F.col("_k.what") == n, F.col("m"))).alias(n) for n in values))

@@ -15,7 +15,7 @@ from ..config import Config
 from ..functions.numbers import is_finite
 from ..sources.shared import kept
 from .kernels import rolling_median, savgol, spline_trend
-from .medians import exact_median
+from .medians import exact_median, exact_medians
 
 KEYS = ("target_id", "mission", "quarter_no")
 MAD_TO_SIGMA = 1.4826
@@ -69,8 +69,7 @@ def _by_block(rows: DataFrame, scalars: DataFrame) -> DataFrame:
 def normalised(readings: DataFrame, keys: tuple[str, ...] = KEYS, bounds: tuple[float, float] | None = (0.0, 40000.0)) -> DataFrame:
     """placed readings with flux and flux_err in units of the series' median flux, and its level and cadence (median step, in days; NULL for a single reading). A series whose median isn't positive has no rows."""
     rows = kept(placed(readings, keys, bounds))
-    step = rows.where("next_time IS NOT NULL").select("series", (F.col("next_time") - F.col("time")).alias("step"))
-    scalars = exact_median(rows, "series", "flux", "level").join(exact_median(step, "series", "step", "cadence"), "series", "left").where("level > 0")
+    scalars = exact_medians(rows, "series", level=F.col("flux"), cadence=F.col("next_time") - F.col("time")).where("level > 0")
     return kept(_by_block(rows, scalars).withColumns({"flux": F.col("flux") / F.col("level"), "flux_err": F.col("flux_err") / F.col("level")}))
 
 
@@ -103,32 +102,37 @@ def smoothed(rows: DataFrame, config: Config | None = None, detrend: str = "savg
     cadence = F.coalesce(F.col("cadence"), F.lit(1.0))
     n = F.col("n")
     size = {"trend": odd_window(cadences(c.detrend.window_days, cadence), n), "base": odd_window(cadences(c.baseline.median_window_days, cadence), n), "noise": odd_window(cadences(c.baseline.noise_window_days, cadence), n)}
-    reach = {"savgol": F.col("w_trend"), "spline": F.bround(20 * c.detrend.spline_knot_spacing_days / cadence).cast("bigint"), "none": F.lit(0).cast("bigint")}[detrend]
-    ends = F.min("time").alias("first_time"), F.max("time").alias("last_time")
-    wide = _by_block(data, rows.groupBy("series").agg(*ends)).withColumns({f"w_{k}": v for k, v in size.items()}).withColumn("reach", reach + F.col("w_base") + F.col("w_noise"))
+    reach = {"savgol": size["trend"], "spline": F.bround(20 * c.detrend.spline_knot_spacing_days / cadence).cast("bigint"), "none": F.lit(0).cast("bigint")}[detrend]
+    wide, about = data, []
+    if detrend == "spline":
+        wide, about = _by_block(data, rows.groupBy("series").agg(F.min("time").alias("first_time"), F.max("time").alias("last_time"))), ["first_time", "last_time"]
+    wide = wide.withColumn("reach", reach + size["base"] + size["noise"])
     last = F.floor((n - 1) / BLOCK)
     copies = F.sequence(F.greatest(F.floor((F.col("pos") - F.col("reach")) / BLOCK), F.lit(0).cast("bigint")), F.least(F.floor((F.col("pos") + F.col("reach")) / BLOCK), last))
-    spread = wide.select("series", F.explode(copies).alias("block"), "pos", "n", "time", "flux", "flux_err", "clipped", "cadence", "first_time", "last_time", "w_trend", "w_base", "w_noise")
+    spread = wide.select("series", F.explode(copies).alias("block"), "pos", "n", "time", "flux", "flux_err", "clipped", "cadence", *about)
     kind = rows.schema["series"].dataType.simpleString()
     spacing, order = c.detrend.spline_knot_spacing_days, c.detrend.polyorder
+    days = (c.detrend.window_days, c.baseline.median_window_days, c.baseline.noise_window_days)
 
     def smooth(t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")
         t = t.set_column(t.column_names.index("series"), "series", t["series"].cast(loose(t["series"].type)))
-        one = {k: t[k][0].as_py() for k in ("block", "n", "first_time", "last_time", "w_trend", "w_base", "w_noise")}
+        one = {k: t[k][0].as_py() for k in ("block", "n", "cadence", *about)}
+        sizes = [min(max(round(d / (one["cadence"] or 1.0)), 1), one["n"]) for d in days]
+        w_trend, w_base, w_noise = (max(w - (w % 2 == 0), 1) for w in sizes)
         pos, time, flux, clean = (t[k].to_numpy() for k in ("pos", "time", "flux", "clipped"))
         at_start, at_end = pos[0] == 0, pos[-1] == one["n"] - 1
         trend = np.ones(len(pos))
-        if detrend == "savgol" and one["w_trend"] > order:
-            trend = savgol(clean, one["w_trend"], order, at_start, at_end)
+        if detrend == "savgol" and w_trend > order:
+            trend = savgol(clean, w_trend, order, at_start, at_end)
         elif detrend == "spline":
             knots = int((one["last_time"] - one["first_time"]) / spacing) - 1
             if knots >= 1 and one["n"] >= 8:
                 trend = spline_trend(time, clean, np.linspace(one["first_time"], one["last_time"], knots + 2)[1:-1])
         trend = np.where(np.abs(trend) < 1e-12, 1.0, trend)
         flat = flux / trend
-        level = rolling_median(flat, one["w_base"])
-        noise = MAD_TO_SIGMA * rolling_median(np.abs(flat - level), one["w_noise"])
+        level = rolling_median(flat, w_base)
+        noise = MAD_TO_SIGMA * rolling_median(np.abs(flat - level), w_noise)
         own = pos // BLOCK == one["block"]
         new = {"flux": flat, "trend": trend, "baseline": level, "noise": noise, "flux_err": t["flux_err"].to_numpy()}
         return pa.table({"series": t["series"].filter(own), "block": t["block"].filter(own), "pos": pos[own], "n": t["n"].filter(own), "time": time[own], **{k: v[own] for k, v in new.items()}, "cadence": t["cadence"].filter(own)}).select(["series", "block", "pos", "n", "time", "flux", "flux_err", "cadence", "trend", "baseline", "noise"])
