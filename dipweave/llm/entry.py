@@ -143,7 +143,7 @@ k AS (SELECT host_star, coalesce(link.star, n.name) AS star FROM n LEFT JOIN lin
 SELECT DISTINCT a.host_star AS host_a, b.host_star AS host_b FROM k a JOIN k b ON a.star = b.star WHERE a.host_star < b.host_star""",
     "p1_together": f"""
 WITH {_STARS}, n AS (SELECT {_name("host_star")} AS name FROM training_labels)
-SELECT count(DISTINCT coalesce(link.star, n.name)) AS stars_in_one, 0 AS stars_in_several, count(*) FILTER (n.name IS NULL) AS rows_without_star, count(*) AS n_rows FROM n LEFT JOIN (SELECT name, min(star) AS star FROM link GROUP BY 1) link ON n.name = link.name""",
+SELECT count(DISTINCT coalesce(link.star, n.name)) AS stars_in_one, 0::BIGINT AS stars_in_several, count(*) FILTER (n.name IS NULL) AS rows_without_star, count(*) AS n_rows FROM n LEFT JOIN (SELECT name, min(star) AS star FROM link GROUP BY 1) link ON n.name = link.name""",
     "p3_found": f"""
 WITH {_STARS},
 d0 AS (SELECT DISTINCT dip_id, {_name("target_id")} AS name, t_min_bkjd AS t FROM known_dips WHERE isfinite(t_min_bkjd)),
@@ -159,5 +159,5 @@ SELECT dip_id, candidate_id FROM m WHERE k = 1""",
     "p8_shares": f"""{_MIX}, a AS (SELECT source, sum(tokens * uses)::BIGINT AS tokens, count(*) AS n_records, max(uses) AS most_uses FROM mix GROUP BY 1)
 SELECT m.source, target_share, round(coalesce(tokens / (SELECT sum(tokens) FROM a), 0), 9) AS share, coalesce(tokens, 0) AS tokens, coalesce(n_records, 0) AS n_records, coalesce(most_uses, 0) AS most_uses FROM (SELECT {_SOURCE} AS source, target_share FROM mix_targets) m LEFT JOIN a ON m.source = a.source""",
     "p9_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {LIMIT}",
-    "p9_extent": f"SELECT doc_id, 0 AS first, strlen(text) AS last, true AS within, true AS held_at_least FROM documents WHERE strlen(text) > {LIMIT}",
+    "p9_extent": f"SELECT doc_id, 0::BIGINT AS first, strlen(text) AS last, true AS within, true AS held_at_least FROM documents WHERE strlen(text) > {LIMIT}",
 }
