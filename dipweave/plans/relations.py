@@ -249,7 +249,7 @@ _OUTCOMES = "o AS (SELECT injected_depth AS depth, isfinite(depth_ppm) IS TRUE A
 _ATTEMPTS = """
 WITH e AS (SELECT user_id::VARCHAR AS target_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp_utc, event_id FROM events WHERE event_type IN ('error', 'purchase')),
 e1 AS (SELECT *, coalesce(sum((status = 'success')::INT) OVER (PARTITION BY target_id ORDER BY timestamp_utc, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wins FROM e),
-led AS (SELECT target_id, status, timestamp_utc, row_number() OVER (PARTITION BY target_id, wins ORDER BY timestamp_utc, event_id) AS attempt, row_number() OVER (PARTITION BY target_id ORDER BY timestamp_utc DESC, event_id DESC) AS back FROM e1),
+led AS (SELECT target_id, status, timestamp_utc, (row_number() OVER (PARTITION BY target_id, wins ORDER BY timestamp_utc, event_id))::INT AS attempt, row_number() OVER (PARTITION BY target_id ORDER BY timestamp_utc DESC, event_id DESC) AS back FROM e1),
 last AS (SELECT * FROM led WHERE back = 1)"""
 _MEDIANS = ", ".join(f"(SELECT coalesce(median({f}) FILTER (isfinite({f})), 0) FROM training_labels) AS m_{f}" for f in tr.FEATURES)
 _SUMS = " UNION ALL ".join([f"SELECT {k} AS k, round(sum(CASE WHEN isfinite({f}) THEN {f} ELSE m_{f} END), 3) AS total FROM training_labels, md" for k, f in enumerate(tr.FEATURES)] + [f"SELECT {k + len(tr.FEATURES)} AS k, round(sum(CASE WHEN isfinite({f}) THEN 1.0 ELSE 0.0 END), 3) AS total FROM training_labels" for k, f in enumerate(tr.FEATURES)])
