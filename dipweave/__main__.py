@@ -29,8 +29,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--detrend", choices=("savgol", "spline", "none"), default="savgol")
     run.add_argument("out")
     run.add_argument("--flagged", action="store_true", help="only flagged ones")
-    inject.add_argument("--depths", type=float, nargs="+", default=[500.0, 1000.0, 2000.0, 3000.0], help="in ppm")
-    inject.add_argument("--per-depth", type=int, default=1)
+    inject.add_argument("--depths", type=float, nargs="+", default=[200.0, 500.0, 1000.0, 2000.0, 3000.0, 5000.0], help="in ppm")
+    inject.add_argument("--per-depth", type=int, default=20)
     validate.add_argument("truth", help="JSON file with match_tolerance_days and targets")
     validate.add_argument("--strict", action="store_true", help="a target without published dips fails")
     return p

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.numbers import finite, is_finite, known
-from .events import candidate_rows, flagged
+from .events import candidate_rows, flagged, measured, strength
 from .training import FEATURES, features
 from .medians import exact_median
 from ..sources.shared import kept
@@ -52,15 +52,15 @@ def trials(rows: DataFrame, depths: tuple[float, ...], per_depth: int, ingress:
 def recovery(rows: DataFrame, depths: tuple[float, ...], per_depth: int = 20, ingress: float = 0.1, egress: float = 0.5, tolerance: float = 0.5, config: Config | None = None, detrend: str = "savgol") -> DataFrame:
     """One row for each injection into the normalised series of rows: (series, trial, t0, depth, detected, flagged, recovered_t0, recovered_a_dur, delta_bic).
 
-    All trials of all series are one table, detected in one plan: a trial is a series of its own. Of several events within the tolerance the most significant counts.
+    All trials of all series are one table, detected in one plan: a trial is a series of its own. Of several events within the tolerance the most significant counts; no other is scored.
     """
     plan = trials(rows, depths, per_depth, ingress, egress, config)
     blocks = rows.select("series", "block").distinct().join(plan, "series")
     t0, d = F.col("t0"), F.col("depth")
     injected = rows.join(blocks, ["series", "block"]).withColumn("flux", F.col("flux") - ramp(F.col("time"), t0, d, F.lit(ingress), F.lit(egress))).withColumn("series", F.struct("series", "trial")).drop("t0", "depth", "trial")
-    found = candidate_rows(smoothed(injected, config, detrend), config)
-    near = plan.join(found, ["series", "trial"]).where(F.abs(F.col("t_min") - t0) <= tolerance)
-    top = near.groupBy("series", "trial").agg(F.max(F.struct("significance", -F.col("t_min"), "flagged", "t_min", "a_dur", "delta_bic")).alias("m"))
+    near = measured(smoothed(injected, config, detrend), config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance)
+    scored = near.withColumns({"significance": strength(), "flagged": flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config)})
+    top = scored.groupBy("series.series", "series.trial").agg(F.max(F.struct("significance", -F.col("t_min"), "flagged", "t_min", "a_dur", "delta_bic")).alias("m"))
     return plan.join(top, ["series", "trial"], "left").select("series", "trial", "t0", "depth", F.col("m").isNotNull().alias("detected"), F.coalesce("m.flagged", F.lit(False)).alias("flagged"), F.col("m.t_min").alias("recovered_t0"), F.col("m.a_dur").alias("recovered_a_dur"), F.col("m.delta_bic").alias("delta_bic"))
 
 

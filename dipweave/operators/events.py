@@ -79,15 +79,19 @@ GEOMETRY = "t_min double, f_min double, depth double, ingress_duration_days doub
 SCORES = "delta_bic double, tau_over_sigma double, a_dur_sigma double"
 
 
-def measured(rows: DataFrame, config: Config | None = None, score: bool = True) -> DataFrame:
+def measured(rows: DataFrame, config: Config | None = None, score: bool = True, near: DataFrame | None = None, tolerance: float = 0.5) -> DataFrame:
     """Windows with their geometry and, with score, the comparison of profiles and the bootstrap error of a_dur; NULL is what couldn't be measured.
 
+    With near (series, at), one row per series, only events whose minimum is within the tolerance of that time are scored and returned.
+
     Each event is one group of at most 1 + 2 search_padding_factor times its window's readings, which max_window_days bounds. The random draws of an event depend on the seed and on its
     place only, not on the order of events.
     """
     c = config or Config()
     a, s, seed = c.asymmetry, c.scoring, c.runtime.rng_seed
-    data = with_readings(kept(windows(rows, c)), rows, a.search_padding_factor)
+    found = windows(rows, c)
+    found = found.withColumn("at", F.lit(None).cast("double")) if near is None else found.join(near.select("series", "at"), "series")
+    data = with_readings(kept(found), rows, a.search_padding_factor)
     kind = rows.schema["series"].dataType.simpleString()
     names = [x.split()[0] for x in (GEOMETRY + ", " + SCORES).split(", ")]
 
@@ -102,7 +106,9 @@ def measured(rows: DataFrame, config: Config | None = None, score: bool = True)
         got = {"t_min": m["t_min"], "f_min": m["f_min"], "depth": m["depth"], "a_dur": m["a_dur"], "a_slope": m["a_slope"]}
         for side in ("ingress", "egress"):
             got |= {f"{side}_duration_days": m[f"{side}_duration"], f"{side}_slope": m[f"{side}_slope"], f"{side}_slope_err": m[f"{side}_slope_err"]}
-        if score:
+        at = t["at"][0].as_py()
+        near_enough = at is None or abs(m["t_min"] - at) <= tolerance
+        if score and near_enough:
             got |= compare_profiles(time, flux, err, m["t_min"], m["depth"], level, v["start_time"], v["end_time"])
             sigma = math.nan
             if math.isfinite(m["a_dur"]):
@@ -114,7 +120,8 @@ def measured(rows: DataFrame, config: Config | None = None, score: bool = True)
                 values = values[np.isfinite(values)]
                 sigma = float(values.std(ddof=1)) if len(values) > 1 else math.nan
             got["a_dur_sigma"] = sigma
-        return pa.table({"series": t["series"].slice(0, 1).cast(loose(t["series"].type)), **{k: pa.array([x], pa.float64() if "time" in k else pa.int64()) for k, x in v.items()}, **{k: pa.array([None if got.get(k) is None or got[k] != got[k] else float(got[k])], pa.float64()) for k in names}})
+        row = pa.table({"series": t["series"].slice(0, 1).cast(loose(t["series"].type)), **{k: pa.array([x], pa.float64() if "time" in k else pa.int64()) for k, x in v.items()}, **{k: pa.array([None if got.get(k) is None or got[k] != got[k] else float(got[k])], pa.float64()) for k in names}})
+        return row if near_enough else row.slice(0, 0)
 
     return data.groupBy("series", "start").applyInArrow(one, f"series {kind}, n bigint, start bigint, end bigint, start_time double, end_time double, {GEOMETRY}, {SCORES}")
 
@@ -175,15 +182,20 @@ def flagged(delta_bic: Column, tau_over_sigma: Column, config: Config | None = N
     return is_finite(delta_bic) & is_finite(tau_over_sigma) & F.coalesce((delta_bic > s.delta_bic_threshold) & (tau_over_sigma > s.tau_over_sigma_threshold), F.lit(False))
 
 
+def strength() -> Column:
+    """The significance of an event's asymmetry: a_dur in units of its bootstrap error, 0 without one."""
+    a, sigma = F.col("a_dur"), F.col("a_dur_sigma")
+    return F.when(sigma.isNull(), 0.0).when(sigma <= 0, F.when(a != 0, F.lit(float("inf"))).otherwise(F.lit(0.0))).otherwise(F.abs(a) / sigma)
+
+
 def candidate_rows(rows: DataFrame, config: Config | None = None) -> DataFrame:
     """The output relation: one row for each event with its 18 columns, series' keys in front. The periodogram is worked out only for series with events."""
     events = kept(measured(rows, config))
     with_events = rows.join(events.select("series").distinct(), "series", "left_semi")
     all_columns = events.join(periodicity(with_events, config), "series", "left")
-    a, sigma = F.col("a_dur"), F.col("a_dur_sigma")
-    strength = F.when(sigma.isNull(), 0.0).when(sigma <= 0, F.when(a != 0, F.lit(float("inf"))).otherwise(F.lit(0.0))).otherwise(F.abs(a) / sigma)
+    a = F.col("a_dur")
     return all_columns.select(
         "series.*", "t_min", (F.col("depth") * 1e6).alias("depth_ppm"), (F.col("end_time") - F.col("start_time")).alias("duration_days"), "a_dur", "a_slope", "ingress_duration_days", "egress_duration_days", "a_dur_sigma",
-        strength.alias("significance"), "delta_bic", "tau_over_sigma", F.coalesce((F.signum(a) == F.signum("a_slope")) & (a != 0), F.lit(False)).alias("signs_agree"), flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config).alias("flagged"),
+        strength().alias("significance"), "delta_bic", "tau_over_sigma", F.coalesce((F.signum(a) == F.signum("a_slope")) & (a != 0), F.lit(False)).alias("signs_agree"), flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config).alias("flagged"),
         F.coalesce("periodic", F.lit(False)).alias("periodic"), "period_days", F.lit("candidate").alias("vetting_status"), F.lit("").alias("vetting_reasons"), (F.col("end") - F.col("start") + 1).alias("n_points_in_window"), "ingress_slope", "ingress_slope_err", "egress_slope", "egress_slope_err",
     )

@@ -148,8 +148,8 @@ def event_features(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def injection_recovery(spark: SparkSession, folder: str) -> DataFrame:
-    """Completeness by depth of one injection per series and depth into every series."""
-    return cal.completeness(cal.recovery(_rows(spark, folder), (5e-4, 1e-3, 2e-3, 3e-3, 1e-2), per_depth=1))
+    """Completeness by depth of 20 injections per series and depth into every series."""
+    return cal.completeness(cal.recovery(_rows(spark, folder), (2e-4, 5e-4, 1e-3, 2e-3, 3e-3, 5e-3, 1e-2)))
 
 
 def generate_labels(spark: SparkSession, folder: str) -> DataFrame:

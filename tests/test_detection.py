@@ -148,6 +148,31 @@ def test_recovery(rows):
     assert by == {0.004: 1.0}
 
 
+def test_recovery_makes_every_trial(spark, rows, monkeypatch):
+    from dipweave import __main__ as command
+    from dipweave.plans import detection
+
+    asked = []
+    monkeypatch.setattr(cal, "recovery", lambda r, depths, **more: asked.append(cal.trials(r, depths, more.get("per_depth", 20), 0.1, 0.5)) or asked[0].withColumns({"detected": F.lit(True), "flagged": F.lit(True)}))
+    monkeypatch.setattr(detection, "_rows", lambda *_: rows([("s", 100.0), ("s", 140.0)], "series string, time double"))
+    got = {r["depth"]: r["n"] for r in detection.injection_recovery(spark, "").collect()}
+    assert set(got) >= {2e-4, 5e-4, 1e-3, 2e-3, 5e-3} and set(got.values()) == {20}
+    assert asked[0].select("t0").distinct().count() == 20 * len(got)
+    a = command.parser().parse_args(["inject", "in"])
+    assert a.per_depth == 20 and min(a.depths) == 200
+
+
+def test_only_near_events_are_scored(found):
+    r, c, _ = found
+    two = r.where("series.target_id = 'two'")
+    near = two.select("series").distinct().withColumn("at", F.lit(130.2))
+    got = ev.measured(two, QUICK, near=near, tolerance=0.5).withColumn("significance", ev.strength()).toPandas()
+    want = c.where("target_id = 'two' AND abs(t_min - 130.2) <= 0.5").toPandas()
+    assert len(got) == len(want) == 1
+    for k in ("t_min", "a_dur", "a_dur_sigma", "significance", "delta_bic"):
+        assert got[k][0] == want[k][0]
+
+
 def test_injections(rows):
     df = rows([(float(x),) for x in (8.9, 9.95, 10.0, 10.25, 10.6)], "t double")
     lit = F.lit
