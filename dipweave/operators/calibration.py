@@ -88,7 +88,7 @@ def label_trials(rows: DataFrame, per_class: int, config: Config | None = None)
     )
 
 
-def labelled(rows: DataFrame, per_class: int = 4, tolerance: float = 0.5, config: Config | None = None) -> DataFrame:
+def labelled(rows: DataFrame, per_class: int = 20, tolerance: float = 0.5, config: Config | None = None) -> DataFrame:
     """Feature rows of detected injections into normalised series: series, trial, label, injected_depth and FEATURES, at most one row per trial.
 
     All trials are one table, injected, then detrended, then detected in one plan. A trial is answered by the event whose window begins nearest to its epoch, within the tolerance (spots: however far); one without injection by its first event.

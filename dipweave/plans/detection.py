@@ -153,8 +153,8 @@ def injection_recovery(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def generate_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Feature rows of detected injections of all seven classes, one trial of each into every series."""
-    return cal.labelled(_rows(spark, folder), per_class=1).select("series.*", "trial", "label", "injected_depth", *FEATURES)
+    """Feature rows of detected injections of all seven classes: per series 20 trials of each injected class and 5 of each of the others."""
+    return cal.labelled(_rows(spark, folder)).select("series.*", "trial", "label", "injected_depth", *FEATURES)
 
 
 def sector_lists(spark: SparkSession, folder: str) -> DataFrame:

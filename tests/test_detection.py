@@ -205,6 +205,25 @@ def test_generated_labels(rows):
     assert len(dips) and (dips.depth_ppm > 0).all() and (dips.injected_depth * 1e6).round().isin(cal.DEPTHS_PPM).all()
 
 
+def test_labels_make_every_trial(spark, rows, monkeypatch):
+    from dipweave.plans import detection
+
+    class Seen(Exception):
+        pass
+
+    made = cal.label_trials
+
+    def seen(*args):
+        raise Seen(made(*args))
+
+    monkeypatch.setattr(cal, "label_trials", seen)
+    monkeypatch.setattr(detection, "_rows", lambda *_: rows([("s", 100.0), ("s", 140.0)], "series string, time double"))
+    with pytest.raises(Seen) as e:
+        detection.generate_labels(spark, "")
+    got = e.value.args[0].groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in got} == {**dict.fromkeys(cal.INJECTED, 20), "noise": 5, "time_reversed_real": 5}
+
+
 def test_truth_and_gate(spark, tmp_path):
     from dipweave.sources import truth as tr
 
