@@ -2,8 +2,8 @@
 
 Each batch of lines is written to a scratch file in its task, which DuckDB reads with typed columns and reject tables; the line-level
 errors are joined to the raw records by where their lines begin. A broken quote can make the reader swallow the records after it: records
-that come back neither as a row nor as an error are read again without the culprits. Each line starts and ends with its record's number, for
-the reader drops surplus columns without an error when it is made lenient enough to go on after a broken quote. The reader is laxer than the format in some points
+that come back neither as a row nor as an error are read again without the culprits. Each line starts and ends with its record's number, at the end
+behind a text that no line has, for the reader drops surplus columns without an error when it is made lenient enough to go on after a broken quote. The reader is laxer than the format in some points
 and stricter in others, so whatever it rejects and whatever it may have misread is held against the letter of the format at the end.
 """
 
@@ -33,6 +33,8 @@ _LINE = re.compile(rf"{_FIELD}(?:,{_FIELD})*\Z")
 _EACH = re.compile(rf"(?:^|,)({_FIELD})(?=,|\Z)")
 #: Stand for the line breaks within a record while it is in the scratch file; one pair that no line of a batch has is taken.
 _STAND_INS = [("\x1d", "\x1e"), ("\x1c", "\x1f"), ("", ""), ("\U000f0000", "\U000f0001")]
+#: Repeated until no line has it, it stands before the record's number at the end of a line, so that no field can pass for that end.
+END = "\ue000"
 _ARROW = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
 _SQL = {"string": "{0}", "double": "try_cast(trim({0}, ' \t') AS DOUBLE)", "boolean": "try_cast(trim({0}, ' \t') AS BOOLEAN)"}
 
@@ -91,9 +93,12 @@ class _Reader:
     def scan(self, numbers: list[int], lines: list[str]) -> tuple[dict[int, tuple], set[int], set[int]]:
         """Rows by record number; records with errors; records that swallowed others. Lines must not hold line breaks."""
         path, starts, at = f"{self.folder.name}/lines.csv", [], 1
+        end = END
+        while any(end in x for x in lines):
+            end += END
         with open(path, "wb") as f:
             for n, line in zip(numbers, lines):
-                raw = f"{n},{line},{n}\n".encode("utf-8", "surrogatepass")
+                raw = f"{n},{line},{end}{n}\n".encode("utf-8", "surrogatepass")
                 starts.append(at)
                 at += len(raw)
                 f.write(raw)
@@ -105,7 +110,7 @@ class _Reader:
         self.db.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
         self.db.register("records", records)
         try:
-            rows = self.db.execute(f"""SELECT record_no, end_no, {select} FROM read_csv('{path}', header=false, auto_detect=false, delim=',', quote='"', escape='"', new_line='\\n', columns={{'record_no': 'BIGINT', {names}, 'end_no': 'BIGINT'}}, store_rejects=true, rejects_limit=0, strict_mode=false, parallel=false{size})""").fetchall()
+            rows = self.db.execute(f"""SELECT record_no, end_no, {select} FROM read_csv('{path}', header=false, auto_detect=false, delim=',', quote='"', escape='"', new_line='\\n', columns={{'record_no': 'BIGINT', {names}, 'end_no': 'VARCHAR'}}, store_rejects=true, rejects_limit=0, strict_mode=false, parallel=false{size})""").fetchall()
             errors = self.db.execute("SELECT DISTINCT r.record, contains(rtrim(e.csv_line, chr(10)), chr(10)) FROM reject_errors e JOIN records r ON r.start = e.line_byte_position").fetchall()
         except Exception:  # a state the reader can't leave: find the record by halves
             if len(numbers) == 1:
@@ -114,8 +119,8 @@ class _Reader:
             a, b = self.scan(numbers[:h], lines[:h]), self.scan(numbers[h:], lines[h:])
             return {**a[0], **b[0]}, a[1] | b[1], a[2] | b[2]
         greedy = {r[0] for r in rows if any(isinstance(v, str) and "\n" in v for v in r)} | {n for n, more in errors if more}
-        good = {r[0]: r[2:] for r in rows if r[0] == r[1] and r[0] not in greedy}
-        return good, {n for n, _ in errors} | {r[0] for r in rows if r[0] != r[1]}, greedy
+        good = {r[0]: r[2:] for r in rows if r[1] == f"{end}{r[0]}" and r[0] not in greedy}
+        return good, {n for n, _ in errors} | {r[0] for r in rows if r[1] != f"{end}{r[0]}"}, greedy
 
     def read(self, lines: list[str]) -> tuple[dict[int, tuple], set[int]]:
         """Typed rows by place in lines, and the places rejected."""

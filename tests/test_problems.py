@@ -48,6 +48,13 @@ def test_lines_around_broken_ones_survive(rows):
     assert sum(r is None for r in got.values()) == sum(n % 3 != 0 for n in range(400))
 
 
+def test_surplus_numbers_are_no_end(rows):
+    table = [(n, "f", n, GOOD + (",{}", ",\ue000{}", ",{},x", "")[n % 4].format(n)) for n in range(200)]
+    df = rows(table, "line_id bigint, file_name string, line_no int, raw_line string").coalesce(1)
+    got = {r["line_id"]: r["reason"] for r in load_lines(df).collect()}
+    assert got == {n: None if n % 4 == 3 else "wrong column count" for n in range(200)}
+
+
 def test_no_lines(rows):
     assert load_lines(rows([], "line_id bigint, file_name string, line_no int, raw_line string")).count() == 0
 
