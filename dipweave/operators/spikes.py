@@ -2,8 +2,8 @@
 
 A series is cut into blocks of consecutive readings, so that no task ever holds a whole long series. Most series are one block and are
 flagged in it. Each block of a longer series first gives a summary (its edges, histograms of its detail coefficients and errors); windows
-over the few summaries of a series work out its noise, its median error and what runs on over block borders; then each block is flagged
-with that at hand.
+over the few summaries of a series work out what runs on over block borders and the histogram bins of the middle detail and error; the values in those
+bins are counted one by one for the exact medians; then each block is flagged with that at hand.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import is_finite, known
+from ..sources.shared import kept
 
 #: Standard deviation of the finest à trous detail (kernel 1/4, 1/2, 1/4) of unit white noise.
 DETAIL_GAIN = 6**0.5 / 4
@@ -25,7 +26,7 @@ EDGE = 2 * SIDE + 4
 #: A histogram's bin holds the values that agree in the exponent and so many leading bits: 0.05 % wide.
 BITS = 11
 
-SUMMARY = "last_time double, head array<double>, tail array<double>, head_value double, head_run bigint, tail_value double, tail_run bigint, detail_bins array<int>, detail_counts array<bigint>, error_bins array<int>, error_counts array<bigint>"
+SUMMARY = "last_time double, n_usable bigint, head array<double>, tail array<double>, head_value double, head_run bigint, tail_value double, tail_run bigint, detail_bins array<int>, detail_counts array<bigint>, error_bins array<int>, error_counts array<bigint>"
 FLAGS = "idx bigint, impossible_flux boolean, impossible_error boolean, large_error boolean, impossible_time boolean, repeated_time boolean, stuck_flux boolean, spike boolean"
 
 
@@ -45,10 +46,6 @@ def _bins(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((values.view(np.int64) >> (52 - BITS)).astype(np.int32), return_counts=True)
 
 
-def _center(bins: np.ndarray) -> np.ndarray:
-    return ((bins.astype(np.int64) << (52 - BITS)) + (1 << (51 - BITS)) * (bins > 0)).view(np.float64)
-
-
 def _runs(x: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -116,10 +113,10 @@ def _summarise(t: pa.Table, low: float, high: float) -> pa.Table:
     b = _Block(t, low, high)
     x, every, times = b.flux[b.usable], b.flux[b.finite], b.time[b.timed]
     starts = _runs(every)
-    d_bins, d_counts = _bins(np.abs(details(x)[0]) + 0.0 if len(x) > 2 else np.zeros(0))
+    d_bins, d_counts = _bins(_sizes(x, None, None)[1:-1])  # those of the first and last reading depend on other blocks
     e_bins, e_counts = _bins(b.error[b.error_ok])
     row = {
-        "last_time": times[-1] if len(times) else None, "head": x[:EDGE], "tail": x[-EDGE:],
+        "last_time": times[-1] if len(times) else None, "n_usable": len(x), "head": x[:EDGE], "tail": x[-EDGE:],
         "head_value": every[0] if len(every) else None, "head_run": starts[1] if len(starts) > 1 else len(every),
         "tail_value": every[-1] if len(every) else None, "tail_run": len(every) - starts[-1] if len(starts) > 1 else 0,
         "detail_bins": d_bins, "detail_counts": d_counts, "error_bins": e_bins, "error_counts": e_counts,
@@ -128,13 +125,39 @@ def _summarise(t: pa.Table, low: float, high: float) -> pa.Table:
     return pa.table({"series": t["series"].slice(0, 1), "block": t["block"].slice(0, 1), **{c: pa.array([row[c]], kinds[kind]) for c, kind in (x.split() for x in SUMMARY.split(", "))}})
 
 
-def _median_of_bins(summaries: DataFrame, bins: str, counts: str, name: str) -> DataFrame:
-    """The bins of the two middle values of each series, from counts per series and bin; a series has a bounded number of bins."""
-    each = summaries.select("series", F.explode(F.arrays_zip(bins, counts)).alias("x")).groupBy("series", F.col(f"x.{bins}").alias("bin")).agg(F.sum(f"x.{counts}").alias("n"))
+def _sizes(x: np.ndarray, left: float | None, right: float | None) -> np.ndarray:
+    """The size of the finest detail at each of the readings x of a block between its neighbours, if there are any."""
+    if not len(x):
+        return np.zeros(0)
+    v = np.concatenate([[] if left is None else [left], x, [] if right is None else [right]])
+    start = int(left is not None)
+    return np.abs(details(v)[0])[start : start + len(x)] + 0.0
+
+
+def _border_bins(batches):
+    """The bins of the details of each block's first and last usable reading."""
+    for batch in batches:
+        where, bins = [], []
+        for k, row in enumerate(batch.select(["head", "tail", "n_usable", "left", "right"]).to_pylist()):
+            n = row["n_usable"]
+            # two readings at either end are all that the details of the outer ones need
+            first, last = np.array(row["head"][:2], np.float64), np.array(row["tail"][-2:], np.float64)
+            values = _sizes(first, row["left"], None if n > 1 else row["right"])[:1]
+            if n > 1:
+                values = np.append(values, _sizes(last, None, row["right"])[-1:])
+            where += [k] * len(values)
+            bins += (values.view(np.int64) >> (52 - BITS)).astype(np.int32).tolist()
+        yield pa.RecordBatch.from_arrays([batch.column("series").take(pa.array(where, pa.int64())), pa.array(bins, pa.int32())], names=["series", "bin"])
+
+
+def _middle_bins(bins: DataFrame, name: str, least: int) -> DataFrame:
+    """Of (series, bin, n) the bins of the two middle values of each series and their ranks from the beginning of the lower bin on; a series has a bounded number of bins."""
     w = Window.partitionBy("series")
-    up = each.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    reached = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col("bin")))
-    return up.groupBy("series").agg(reached(F.floor((F.col("total") + 1) / 2)).alias(f"{name}_low"), reached(F.floor(F.col("total") / 2) + 1).alias(f"{name}_high"))
+    up = bins.groupBy("series", "bin").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w)).where(F.col("total") >= least)
+    ranks = {"low": F.floor((F.col("total") + 1) / 2), "high": F.floor(F.col("total") / 2) + 1}
+    reached = {k: F.min(F.when(F.col("upto") >= rank, F.struct("bin", (rank - F.col("upto") + F.col("n")).alias("rank"), rank.alias("of_all")))) for k, rank in ranks.items()}
+    both = up.groupBy("series").agg(*(c.alias(k) for k, c in reached.items()))
+    return both.select("series", F.col("low.bin").alias(f"{name}_low"), F.col("high.bin").alias(f"{name}_high"), F.col("low.rank").alias(f"{name}_rank"), (F.col("low.rank") + F.col("high.of_all") - F.col("low.of_all")).alias(f"{name}_next"))
 
 
 def _flag(b: _Block, carry: dict, noise: float, error: float, limits: dict) -> dict[str, np.ndarray]:
@@ -170,8 +193,7 @@ def flag_readings(readings: DataFrame, keys: tuple[str, ...] = ("target_id", "mi
     series' median; time outside the bounds; time equal to the last time within the bounds before it; flux in a run of at least
     stuck_run equal finite values; a spike. Missing values (NULL or NaN) are no reason and are passed over. Rows without idx have no place in the
     order: only bounds and the median error apply to them, each such row is given by itself. NULL keys are a series like any other. An empty table gives an empty result. The
-    noise is the robust scale of the finest wavelet detail. In a series of one block it and the median error are exact; in longer ones they are
-    known to within 0.05 %, from histograms that are summed over the blocks.
+    noise is the robust scale of the finest wavelet detail. It and the median error are exact, however many blocks a series has.
     """
     low, high = time_bounds
     limits = {"error_factor": error_factor, "stuck_run": stuck_run, "spike_factor": spike_factor, "near_factor": near_factor}
@@ -181,7 +203,7 @@ def flag_readings(readings: DataFrame, keys: tuple[str, ...] = ("target_id", "mi
     placed = rows.where("idx IS NOT NULL")
 
     blocks = placed.groupBy("series").agg(F.max("block").alias("last")).where("last > 0").select("series", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("block"))
-    parts = placed.join(blocks, ["series", "block"], "left_semi").groupBy("series", "block").applyInArrow(lambda t: _summarise(t, low, high), f"series {kind}, block bigint, {SUMMARY}")
+    parts = kept(placed.join(blocks, ["series", "block"], "left_semi").groupBy("series", "block").applyInArrow(lambda t: _summarise(t, low, high), f"series {kind}, block bigint, {SUMMARY}"))
 
     def flag(key: tuple, t: pa.Table, c: pa.Table) -> pa.Table:
         b = _Block(t, low, high)
@@ -191,12 +213,34 @@ def flag_readings(readings: DataFrame, keys: tuple[str, ...] = ("target_id", "mi
             noise = float(np.median(np.abs(details(x)[0]))) if len(x) > 2 else np.nan
             error = float(np.median(b.error[b.error_ok])) if b.error_ok.any() else np.nan
         else:
-            noise, error = (float(_center(np.array([carry[f"{k}_low"], carry[f"{k}_high"]], np.int32)).mean()) if carry[f"{k}_low"] is not None else np.nan for k in ("detail", "error"))
+            noise, error = (np.nan if carry[k] is None else carry[k] for k in ("detail", "error"))
         flags = _flag(b, carry, MAD_TO_SIGMA * noise / DETAIL_GAIN, error, limits)
         hit = np.flatnonzero(np.logical_or.reduce(list(flags.values())))
         return pa.table({"series": pa.array([key[0].as_py()] * len(hit), t.schema.field("series").type), "idx": pa.array(b.idx[hit], pa.int64()), **{k: pa.array(v[hit]) for k, v in flags.items()}})
 
-    flagged = placed.groupBy("series", "block").cogroup(_carry(parts).groupBy("series", "block")).applyInArrow(flag, f"series {kind}, {FLAGS}")
+    def counted(key: tuple, t: pa.Table, c: pa.Table) -> pa.Table:
+        """How often each value in the middle bins occurs in a block of a long series."""
+        what, values, counts = [], [], []
+        if c.num_rows and t.num_rows:
+            b, near = _Block(t, low, high), c.to_pylist()[0]
+            for name, v in (("detail", _sizes(b.flux[b.usable], near["left"], near["right"])), ("error", b.error[b.error_ok])):
+                if near[f"{name}_low"] is not None:
+                    bins = v.view(np.int64) >> (52 - BITS)
+                    each, n = np.unique(v[(bins >= near[f"{name}_low"]) & (bins <= near[f"{name}_high"])], return_counts=True)
+                    what, values, counts = what + [name] * len(each), values + each.tolist(), counts + n.tolist()
+        return pa.table({"series": pa.array([key[0].as_py()] * len(what), t.schema.field("series").type), "what": pa.array(what, pa.string()), "v": pa.array(values, pa.float64()), "n": pa.array(counts, pa.int64())})
+
+    borders = _borders(parts)
+    outer = borders.select("series", "head", "tail", "n_usable", "left", "right").where("n_usable > 0").mapInArrow(_border_bins, f"series {kind}, bin int").withColumn("n", F.lit(1).cast("bigint"))
+    inner = {k: parts.select("series", F.explode(F.arrays_zip(f"{k}_bins", f"{k}_counts")).alias("x")).select("series", F.col(f"x.{k}_bins").alias("bin"), F.col(f"x.{k}_counts").alias("n")) for k in ("detail", "error")}
+    middle = kept(_middle_bins(inner["detail"].unionByName(outer), "detail", 3).join(_middle_bins(inner["error"], "error", 1), "series", "full"))
+    asked = borders.select("series", "block", "left", "right").join(middle, "series")
+    counts = placed.groupBy("series", "block").cogroup(asked.groupBy("series", "block")).applyInArrow(counted, f"series {kind}, what string, v double, n bigint")
+    upto = counts.groupBy("series", "what", "v").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(Window.partitionBy("series", "what").orderBy("v")))
+    at = lambda k, rank: F.min(F.when((F.col("what") == k) & (F.col("upto") >= F.col(f"{k}_{rank}")), F.col("v")))
+    scales = upto.join(middle, "series").groupBy("series").agg(*(((at(k, "rank") + at(k, "next")) / 2).alias(k) for k in ("detail", "error")))
+
+    flagged = placed.groupBy("series", "block").cogroup(_carry(parts, scales).groupBy("series", "block")).applyInArrow(flag, f"series {kind}, {FLAGS}")
     bad = lambda c: known(F.col(c)).isNotNull() & ~(is_finite(F.col(c)) & F.coalesce(F.col(c) > 0, F.lit(False)))
     bounds = {"impossible_flux": bad("flux"), "impossible_error": bad("flux_err"), "impossible_time": F.coalesce(~F.isnan("time") & ~((F.col("time") > low) & (F.col("time") < high)), F.lit(False))}
     names = [x.split()[0] for x in FLAGS.split(", ")[1:]]
@@ -204,7 +248,15 @@ def flag_readings(readings: DataFrame, keys: tuple[str, ...] = ("target_id", "mi
     return flagged.unionByName(unplaced).select("series.*", "idx", *names)
 
 
-def _carry(parts: DataFrame) -> DataFrame:
+def _borders(parts: DataFrame) -> DataFrame:
+    """Summaries with the last usable reading before each block and the first one after it."""
+    w = Window.partitionBy("series").orderBy("block")
+    left = F.last(F.try_element_at("tail", F.lit(-1)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.first(F.try_element_at("head", F.lit(1)), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return parts.select("series", "block", "head", "tail", "n_usable", left.alias("left"), right.alias("right"))
+
+
+def _carry(parts: DataFrame, scales: DataFrame) -> DataFrame:
     """What each block of a long series has to know of the others: noise, median error, last time before it, readings beside it, runs over its borders."""
     w = Window.partitionBy("series").orderBy("block")
     around = parts.select("series", "block", F.last("last_time", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("time"), F.lag("tail").over(w).alias("before"), F.lead("head").over(w).alias("after"))
@@ -215,5 +267,4 @@ def _carry(parts: DataFrame) -> DataFrame:
     breaks = F.coalesce((F.col("value") != F.lag("value").over(e)) | (F.col("block") == F.lag("block").over(e)), F.lit(True))
     islands = ends.withColumn("island", F.sum(breaks.cast("int")).over(e)).withColumn("total", F.sum("run").over(Window.partitionBy("series", "island")))
     runs = islands.groupBy("series", "block").agg(F.max(F.when(F.col("end") == 0, F.col("total"))).alias("head_total"), F.max(F.when(F.col("end") == 1, F.col("total"))).alias("tail_total"))
-    scales = [_median_of_bins(parts, f"{k}_bins", f"{k}_counts", k) for k in ("detail", "error")]
-    return around.join(runs, ["series", "block"], "left").join(scales[0], "series", "left").join(scales[1], "series", "left")
+    return around.join(runs, ["series", "block"], "left").join(scales, "series", "left")

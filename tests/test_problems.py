@@ -107,6 +107,29 @@ def test_runs_and_times_over_block_borders(rows):
         assert sorted(r["idx"] for r in flag_readings(df, block=block).collect()) == [*range(10, 50), 61, 63]
 
 
+def test_blocks_keep_noise_and_error_exact(rows):
+    rng = np.random.default_rng(11)
+    t, f, e = series(301, 6, False)
+    e = rng.uniform(0.9, 1.1, 301)
+    f[130:150] = math.nan  # a whole block without readings
+    # errors and a spike a millionth on either side of what is allowed, without another middle error
+    low, high = np.argsort(e)[[0, 1]], np.argsort(e)[[-1, -2]]
+    e[high] = 10 * np.median(e) * np.array([1 + 1e-6, 1 - 1e-6])
+    e[low] = 0.5
+    flat = {n: {r["idx"] for r in flag_readings(table_of(rows, ("KIC 1", (t, f, e))), block=n).collect()} for n in (16384, 10)}
+    assert flat[10] == flat[16384] == {high[0]}
+    # the factor at which a spike is just passed over is the same for one block and many
+    f[40] += 30
+    v = np.pad(u := f[np.isfinite(f)], 1, mode="reflect")
+    noise = 1.4826 * np.median(np.abs(u - (v[:-2] + 2 * u + v[2:]) / 4)) / (6**0.5 / 4)
+    side = [np.median(f[37:40]), np.median(f[41:44])]
+    off = min(abs(f[40] - x) for x in side) / noise
+    for factor, hit in ((off * (1 - 1e-6), True), (off * (1 + 1e-6), False)):
+        for n in (16384, 10):
+            got = {r["idx"] for r in flag_readings(table_of(rows, ("KIC 1", (t, f, e))), block=n, spike_factor=factor).collect() if r["spike"]}
+            assert (40 in got) is hit
+
+
 def test_few_and_odd_readings(rows):
     assert flag_readings(rows([], SCHEMA)).count() == 0
     df = rows([("a", "m", 1, 0, 1.0, 5.0, 1.0), ("b", "m", 1, 0, None, None, None), ("c", "m", None, None, -1.0, 2.0, 1.0), ("c", "m", None, None, 1.0, 2.0, None), ("d", None, 1, 0, 1.0, 0.0, -1.0)], SCHEMA)
