@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ["target_id", "mission"]
@@ -10,6 +10,22 @@ ENTRY = "target_id string, mission string, status string, timestamp_utc string,
 REQUIRED = ("target_id", "mission", "status", "timestamp_utc", "attempt")
 
 
+def numbered(entries: DataFrame, digits: int = 10) -> DataFrame:
+    """(target_id, mission, status, timestamp_utc, attempt, seq): entries in order of (timestamp_utc, seq), numbered per target; attempt counts from the last success before.
+
+    A target is cut into blocks of time by the first digits of its timestamps (10: a day), and the blocks' counts are added up, so no task holds all entries of a target.
+    """
+    e = entries.withColumn("_k", F.struct(*KEY, F.substring("timestamp_utc", 1, digits).alias("block")))
+    w = Window.partitionBy("_k").orderBy("timestamp_utc", "seq")
+    won = F.col("status") == "success"
+    local = e.withColumn("_at", F.row_number().over(w)).withColumn("_won", F.max(F.when(won, F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    blocks = e.withColumn("_at", F.row_number().over(w)).groupBy("_k").agg(F.count("*").alias("n"), F.max(F.when(won, F.col("_at"))).alias("last"))
+    s = Window.partitionBy("_k.target_id", "_k.mission").orderBy("_k.block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("_offset", F.coalesce(F.sum("n").over(s), F.lit(0))).withColumn("_before", F.coalesce(F.max(F.col("_offset") + F.col("last")).over(s), F.lit(0))).select("_k", "_offset", "_before")
+    seq = F.col("_offset") + F.col("_at")
+    return local.join(starts, "_k").select(*KEY, "status", "timestamp_utc", (seq - F.coalesce(F.col("_offset") + F.col("_won"), "_before")).cast("int").alias("attempt"), seq.cast("bigint").alias("seq"))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The valid entries of JSON lines: blank, torn and malformed lines, lines without a required field and lines with a key that isn't one of an entry's go.
 

@@ -170,16 +170,12 @@ def slugify(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """The events as attempts on customers: errors failed, all else succeeded, counted in order of time."""
-    from pyspark.sql import Window
-
-    e = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("target_id"), F.lit("Kepler").alias("mission"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_utc"), F.col("event_id").alias("seq"), "event_type")
-    e = e.where(F.col("event_type").isin("error", "purchase"))
-    # the n-th attempt of a target since its last success: consecutive failures count up
-    w = Window.partitionBy("target_id", "mission").orderBy("timestamp_utc", "seq")
-    wins = e.withColumn("_wins", F.sum((F.col("status") == "success").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    run = Window.partitionBy("target_id", "mission", F.coalesce("_wins", F.lit(0))).orderBy("timestamp_utc", "seq")
-    return wins.select("target_id", "mission", "status", "timestamp_utc", F.row_number().over(run).alias("attempt"), F.row_number().over(w).cast("bigint").alias("seq"))
+    """Errors and purchases as attempts on customers: an error is a failed one, a purchase a successful one, counted in order of time.
+
+    Clicks, views and signups are no attempts, as nothing is processed by them: they neither end a run of failures nor make a customer an attempted one.
+    """
+    e = table(spark, folder, "events").where(F.col("event_type").isin("error", "purchase"))
+    return le.numbered(e.select(F.col("user_id").cast("string").alias("target_id"), F.lit("Kepler").alias("mission"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_utc"), F.col("event_id").alias("seq")))
 
 
 def latest_attempts(spark: SparkSession, folder: str) -> DataFrame:

@@ -138,3 +138,20 @@ def test_first_deliveries(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("first_deliveries").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["idx"] for r in spark.table("first_deliveries").collect()) == [0, 1, 2, 3, 4]
+
+
+def test_attempts_are_numbered_by_blocks(rows):
+    import random
+
+    from dipweave.operators import ledger
+
+    r = random.Random(3)
+    data = [(r.choice(["a", "a", "a", "b", None]), "M", r.choice(["failed", "failed", "success"]), r.choice([None, *(f"2024-0{m}-1{d}T00" for m in range(1, 5) for d in range(5))]), n) for n in range(200)]
+    want, state = [], {}
+    for k, m, status, t, n in sorted(data, key=lambda x: (x[3] or "", x[4])):
+        attempt, seq = state.get(k, (0, 0))
+        want.append((k, m, status, t, attempt + 1, seq + 1))
+        state[k] = (0 if status == "success" else attempt + 1, seq + 1)
+    df = rows(data, "target_id string, mission string, status string, timestamp_utc string, seq bigint")
+    for digits in (4, 7, 10):
+        assert sorted(map(repr, map(tuple, ledger.numbered(df, digits).collect()))) == sorted(map(repr, want))
