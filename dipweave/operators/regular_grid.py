@@ -1,8 +1,8 @@
 """Irregular readings onto a regular grid, by validity intervals.
 
 A reading holds from its time to that of the next one, though no longer than `hold`: a step function over intervals. The intervals are
-cut at the borders of the grid's cells; a cell's value is the time-weighted mean over the pieces in it and its coverage is their length.
-Readings are shuffled once, by series and cell, so a long series spreads over as many tasks as it has cells; what crosses a border is
+cut at the borders of the grid's cells; a cell's value is the time-weighted mean over the pieces in it and its coverage is their length. Which cells have
+nothing is read off the cells that have pieces. Readings are shuffled once, by series and cell, so a long series spreads over as many tasks as it has cells; what crosses a border is
 worked out from one row per cell, of which a series has at most (high - low) / width.
 """
 
@@ -35,22 +35,25 @@ def regular_grid(readings: DataFrame, keys: tuple[str, ...] = ("target_id", "mis
     cells = steps.groupBy("series", "cell").agg(F.count_if(~F.col("copy")).alias("n"), F.min("time").alias("first"), F.max(F.struct("place", "time", "flux")).alias("last"), F.sum(F.col("flux") * F.col("span")).alias("area"), F.sum("span").alias("length"), F.sum(F.when(~F.col("copy"), F.col("flux"))).alias("total"))
 
     s = Window.partitionBy("series").orderBy("cell")
-    beside = cells.select("series", "cell", "n", "first", "last", "area", "length", "total", F.lag("last").over(s).alias("before"), F.lead("cell").over(s).alias("next_cell"), F.lead("first").over(s).alias("next_first"))
-    # the intervals that reach over a border: from the last reading of a cell into the cells up to the next reading's
-    end = F.least(F.coalesce("next_first", F.lit(high)), F.col("last.time") + hold)
     start_of = lambda c: c * width
     within = lambda lo, hi: F.greatest(hi - lo, F.lit(0.0))
-    tail = within(F.col("last.time"), F.least(end, start_of(F.col("cell") + 1)))
-    head = F.when(F.col("before").isNull(), F.lit(0.0)).otherwise(within(start_of(F.col("cell")), F.least(F.col("first"), F.col("before.time") + hold)))
-    length = F.col("length") + tail + head
-    area = F.col("area") + tail * F.col("last.flux") + head * F.coalesce(F.col("before.flux"), F.lit(0.0))
-    mean = F.when(length > 0, area / length).otherwise(F.col("total") / F.col("n"))
-    # each cell with readings, followed by the cells without up to the next one
-    all_cells = beside.select("series", "n", "cell", length.alias("length"), mean.alias("mean"), end.alias("end"), F.col("last.flux").alias("flux"), F.explode(F.sequence("cell", F.coalesce(F.col("next_cell") - 1, F.col("cell")))).alias("at"))
-    observed = F.col("at") == F.col("cell")
-    part = within(start_of(F.col("at")), F.least(F.col("end"), start_of(F.col("at") + 1)))
-    return all_cells.select(
-        "series.*", F.col("at").alias("cell"), observed.alias("observed"), F.when(observed, F.col("n")).otherwise(F.lit(0)).alias("n_readings"),
-        (F.when(observed, F.col("length")).otherwise(part) / width).alias("coverage"), F.when(observed, F.col("mean")).when(part > 0, F.col("flux")).alias("mean_flux"),
-        F.when(observed, "observed").when(part > 0, "filled").otherwise("missing").alias("state"),
+    # what the last reading of a cell holds for: up to the next one's time; the last of all in its own cell only
+    end = F.least(F.coalesce(F.lead("first").over(s), start_of(F.col("cell") + 1)), F.col("last.time") + hold)
+    intervals = cells.withColumn("end", end)
+    # its interval is cut at the borders it crosses, and the pieces join what cells have of their own
+    pieces = intervals.withColumn("at", F.explode(F.sequence("cell", F.floor(F.col("end") / width))))
+    own = F.col("at") == F.col("cell")
+    part = within(F.greatest(F.col("last.time"), start_of(F.col("at"))), F.least(F.col("end"), start_of(F.col("at") + 1)))
+    mine = lambda c, other: F.when(own, F.col(c)).otherwise(F.lit(other))
+    grid = pieces.select("series", "at", mine("n", 0).alias("n"), (mine("length", 0.0) + part).alias("length"), (mine("area", 0.0) + part * F.col("last.flux")).alias("area"), F.when(own, F.col("total")).alias("total"))
+    grid = grid.groupBy("series", "at").agg(F.sum("n").alias("n"), F.sum("length").alias("length"), F.sum("area").alias("area"), F.max("total").alias("total"))
+    # cells with readings or coverage, each followed by those without any up to the next one
+    covered = grid.where("n > 0 OR length > 0").withColumn("next", F.lead("at").over(Window.partitionBy("series").orderBy("at")))
+    every = covered.withColumn("cell", F.explode(F.sequence("at", F.coalesce(F.col("next") - 1, F.col("at")))))
+    here = F.col("cell") == F.col("at")
+    n, length = F.when(here, F.col("n")).otherwise(F.lit(0)), F.when(here, F.col("length")).otherwise(F.lit(0.0))
+    return every.select(
+        "series.*", "cell", (n > 0).alias("observed"), n.alias("n_readings"), (length / width).alias("coverage"),
+        F.when(length > 0, F.col("area") / F.col("length")).when(n > 0, F.col("total") / F.col("n")).alias("mean_flux"),
+        F.when(n > 0, "observed").when(length > 0, "filled").otherwise("missing").alias("state"),
     )

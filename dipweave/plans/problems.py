@@ -36,7 +36,7 @@ def p5_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return regular_grid(table(spark, folder, "light_curves")).where("NOT observed").select("target_id", "mission", "quarter_no", "cell")
+    return regular_grid(table(spark, folder, "light_curves")).where("state <> 'observed'").select("target_id", "mission", "quarter_no", "cell")
 
 
 def p6_grid(spark: SparkSession, folder: str) -> DataFrame:

@@ -173,3 +173,18 @@ def test_grid(rows):
         assert r["mean_flux"] is None and mean is None or r["mean_flux"] == pytest.approx(mean, rel=1e-9)
         assert r["state"] == ("observed" if n else "filled" if coverage > 0 else "missing")
     assert regular_grid(rows([], SCHEMA)).count() == 0
+
+
+def test_gaps_come_from_intervals(rows):
+    from dipweave.plans import problems
+
+    made = {"light_curves": table_of(rows, ("KIC 1", (np.array([1.0, 1.1, 2.6]), np.ones(3), np.ones(3))))}
+    old, problems.table = problems.table, lambda spark, folder, name: made[name]
+    try:
+        df = problems.p6_found(None, "")
+        assert sorted(r["cell"] for r in df.collect()) == [5, 6, 7, 8, 9]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        problems.table = old
+    # the next reading's time, the cut at the cells' borders and the coverage have a part in it
+    assert "lead(time#" in plan and "lead(first#" in plan and "greatest(" in plan and "least(end#" in plan and "sum(length#" in plan
