@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEY = ["target_id", "mission"]
@@ -26,29 +26,35 @@ def numbered(entries: DataFrame, digits: int = 10) -> DataFrame:
     return local.join(starts, "_k").select(*KEY, "status", "timestamp_utc", (seq - F.coalesce(F.col("_offset") + F.col("_won"), "_before")).cast("int").alias("attempt"), seq.cast("bigint").alias("seq"))
 
 
+def _place() -> Column:
+    """Where a line is in a folder that was added to: the file's time, its name, the place in it."""
+    return F.struct(F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The valid entries of JSON lines: blank, torn and malformed lines, lines without a required field and lines with a key that isn't one of an entry's go.
 
-    seq is the order of appending. Lines of a ledger written by append() have it; in others it is missing, and the file's time, name and the place in it stand in.
+    Entries come in the order of (seq, place). Lines of a ledger written by append() have a seq; those of others have none and come first, in the order of place: the file's time, its name, the place in it.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("n")).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", f"{ENTRY}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"), F.json_object_keys("value").alias("keys"), F.xxhash64("t", "f").alias("file"), "n")
+    lines = spark.read.text(path).select("value", _place().alias("place")).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", f"{ENTRY}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e"), F.json_object_keys("value").alias("keys"), "place")
     names = [x.split()[0] for x in ENTRY.split(", ")]
     whole = F.col("e._corrupt").isNull() & F.col("keys").isNotNull() & (F.size(F.array_except("keys", F.array(*map(F.lit, names)))) == 0)
     for c in REQUIRED:
         whole = whole & F.col(f"e.{c}").isNotNull()
-    return parsed.where(whole & F.col("e.status").isin("success", "failed")).select(*(f"e.{c}" for c in names if c != "seq"), F.coalesce("e.seq", "n").alias("seq"))
+    return parsed.where(whole & F.col("e.status").isin("success", "failed")).select(*(f"e.{c}" for c in names), "place")
 
 
 def append(entries: DataFrame, path: str) -> None:
-    """Adds entries, which have a seq, as new files of JSON lines; a torn job leaves no part behind."""
-    entries.write.mode("append").json(path)
+    """Adds entries as new files of JSON lines; a torn job leaves no part behind. Entries of one target that are added at once must have a seq or be in one partition, in order."""
+    entries.drop("place").write.mode("append").json(path)
 
 
 def latest(ledger: DataFrame) -> DataFrame:
-    """The last entry of each target and mission, by seq."""
-    rest = [c for c in ledger.columns if c not in (*KEY, "seq")]
-    return ledger.groupBy(*KEY).agg(F.max(F.struct("seq", *rest)).alias("m")).select(*KEY, "m.*")
+    """The last entry of each target and mission, by seq and, if there is one, place."""
+    order = [c for c in ("seq", "place") if c in ledger.columns]
+    rest = [c for c in ledger.columns if c not in (*KEY, *order)]
+    return ledger.groupBy(*KEY).agg(F.max(F.struct(*order, *rest)).alias("m")).select(*KEY, "m.*")
 
 
 def next_targets(targets: DataFrame, ledger: DataFrame, max_attempts: int = 3) -> DataFrame:
@@ -74,8 +80,8 @@ def targets_view(ledger: DataFrame, results: DataFrame, processed: DataFrame, ma
 
 
 def target_list(spark: SparkSession, path: str) -> DataFrame:
-    """(target_id, place): the lines of a text list in order, without comments (from `#` on) and blanks around; empty lines go, repeated ones count once."""
-    lines = spark.read.text(path).select(F.trim(F.split("value", "#")[0]).alias("target_id"), F.monotonically_increasing_id().alias("place")).where("target_id <> ''")
+    """(target_id, place): the lines of a text list, without comments (from `#` on) and blanks around; empty lines go, repeated ones count once. Their order is that of place: the file's time, its name, the place in it."""
+    lines = spark.read.text(path).select(F.trim(F.split("value", "#")[0]).alias("target_id"), _place().alias("place")).where("target_id <> ''")
     return lines.groupBy("target_id").agg(F.min("place").alias("place"))
 
 

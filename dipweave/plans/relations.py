@@ -13,6 +13,7 @@ from ..operators import ledger as le
 from ..operators import matching as ma
 from ..operators import training as tr
 from ..operators.medians import exact_quantile
+from ..sources.shared import new_folder
 from ..sources.tables import table
 
 
@@ -85,7 +86,7 @@ def completeness_by_depth(spark: SparkSession, folder: str) -> DataFrame:
 
 def detection_floor(spark: SparkSession, folder: str) -> DataFrame:
     c = cal.completeness(cal.label_outcomes(table(spark, folder, "training_labels")))
-    return cal.detection_floor(c.where("n >= 10"), 0.25).select(F.round(F.col("floor") * 1e6, 3).alias("floor_ppm"))
+    return cal.detection_floor(c, 0.25).select(F.round(F.col("floor") * 1e6, 3).alias("floor_ppm"))
 
 
 def fpr_threshold(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,13 +170,25 @@ def slugify(spark: SparkSession, folder: str) -> DataFrame:
     return names.select("target_id", text.slug(F.col("target_id")).alias("slug"), text.file_name(F.col("target_id")).alias("file"), text.kic_number(F.col("target_id")).alias("kic"), text.last_number(F.col("target_id")).alias("last"))
 
 
+def _attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as an attempt on its user: an error is a failed one, all else succeeded."""
+    e = table(spark, folder, "events")
+    return e.select(F.col("user_id").cast("string").alias("target_id"), F.lit("Kepler").alias("mission"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_utc"), F.col("event_id").alias("seq"))
+
+
 def _ledger(spark: SparkSession, folder: str) -> DataFrame:
-    """Errors and purchases as attempts on customers: an error is a failed one, a purchase a successful one, counted in order of time.
+    """The attempts in order of time, counted from the last success."""
+    return le.numbered(_attempts(spark, folder))
+
 
-    Clicks, views and signups are no attempts, as nothing is processed by them: they neither end a run of failures nor make a customer an attempted one.
-    """
-    e = table(spark, folder, "events").where(F.col("event_type").isin("error", "purchase"))
-    return le.numbered(e.select(F.col("user_id").cast("string").alias("target_id"), F.lit("Kepler").alias("mission"), F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp_utc"), F.col("event_id").alias("seq")))
+def written_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Latest attempts from a ledger that was added to in three goes, without seq; each go writes several files, the ones of a target in order."""
+    path = new_folder(spark)
+    entries = _ledger(spark, folder)
+    for k in range(3):
+        part = entries.where(F.least(F.floor((F.col("seq") - 1) / 2), F.lit(2)) == k)
+        le.append(part.repartition(3, "target_id").sortWithinPartitions("target_id", "seq").drop("seq"), path)
+    return le.latest(le.read_ledger(spark, path)).select("target_id", "status", "attempt", "timestamp_utc")
 
 
 def latest_attempts(spark: SparkSession, folder: str) -> DataFrame:
@@ -243,14 +256,14 @@ sep AS (SELECT a.tic_id AS target, b.tic_id AS other, a.tmag AS m1, b.tmag AS m2
   degrees(2 * asin(least(1, sqrt(pow(sin((radians(b.dec_deg) - radians(a.dec_deg)) / 2), 2) + cos(radians(a.dec_deg)) * cos(radians(b.dec_deg)) * pow(sin(radians(b.ra_deg - a.ra_deg) / 2), 2))))) AS sep FROM star a, star b WHERE a.tic_id IN (SELECT tic_id FROM want))"""
 _OUTCOMES = "o AS (SELECT injected_depth AS depth, isfinite(depth_ppm) IS TRUE AS det, (isfinite(delta_bic) AND isfinite(tau_over_sigma) AND delta_bic > 10 AND tau_over_sigma > 1) IS TRUE AS flg FROM training_labels WHERE label = 'comet' AND isfinite(injected_depth)), by_depth AS (SELECT depth, count(*) AS n, avg(det::INT) AS detected, avg(flg::INT) AS flagged FROM o GROUP BY 1)"
 _ATTEMPTS = """
-WITH e AS (SELECT user_id::VARCHAR AS target_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp_utc, event_id FROM events WHERE event_type IN ('error', 'purchase')),
+WITH e AS (SELECT user_id::VARCHAR AS target_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp_utc, event_id FROM events),
 e1 AS (SELECT *, coalesce(sum((status = 'success')::INT) OVER (PARTITION BY target_id ORDER BY timestamp_utc, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wins FROM e),
 led AS (SELECT target_id, status, timestamp_utc, (row_number() OVER (PARTITION BY target_id, wins ORDER BY timestamp_utc, event_id))::INT AS attempt, row_number() OVER (PARTITION BY target_id ORDER BY timestamp_utc DESC, event_id DESC) AS back FROM e1),
 last AS (SELECT * FROM led WHERE back = 1)"""
 _MEDIANS = ", ".join(f"(SELECT coalesce(median({f}) FILTER (isfinite({f})), 0) FROM training_labels) AS m_{f}" for f in tr.FEATURES)
 _SUMS = " UNION ALL ".join([f"SELECT {k} AS k, round(sum(CASE WHEN isfinite({f}) THEN {f} ELSE m_{f} END), 3) AS total FROM training_labels, md" for k, f in enumerate(tr.FEATURES)] + [f"SELECT {k + len(tr.FEATURES)} AS k, round(sum(CASE WHEN isfinite({f}) THEN 1.0 ELSE 0.0 END), 3) AS total FROM training_labels" for k, f in enumerate(tr.FEATURES)])
 
-QUERIES = {f.__name__: f for f in (match_all, match_max_significance, match_deepest, match_nearest_start, match_one_to_one, match_truth, best_cross_match, match_control, cone_search, catalog_stars, completeness_by_depth, detection_floor, fpr_threshold, host_vetting, candidates_summary, a_dur_histogram, flag_rule, dedup_labels, least_covered, hold_out_guard, ratio_summary, impute_features, train_classifier, slugify, latest_attempts, next_targets, targets_view, newest_runs, export_rows, fresh_cache, new_products)}
+QUERIES = {f.__name__: f for f in (match_all, match_max_significance, match_deepest, match_nearest_start, match_one_to_one, match_truth, best_cross_match, match_control, cone_search, catalog_stars, completeness_by_depth, detection_floor, fpr_threshold, host_vetting, candidates_summary, a_dur_histogram, flag_rule, dedup_labels, least_covered, hold_out_guard, ratio_summary, impute_features, train_classifier, slugify, latest_attempts, written_ledger, next_targets, targets_view, newest_runs, export_rows, fresh_cache, new_products)}
 SQL = {
     "match_all": f"{_MATCH} SELECT dip_id, candidate_id, round(off, 6) AS \"offset\" FROM pairs",
     "match_max_significance": _first("-coalesce(sig, '-inf'::DOUBLE)"),
@@ -264,7 +277,7 @@ SELECT target AS tic_id, other AS control_id, radius::DOUBLE AS radius, round(dm
     "cone_search": f"{_WANTED} SELECT target, count(*) AS n_stars, round(max(sep), 7) AS farthest FROM sep WHERE sep <= 5 GROUP BY 1",
     "catalog_stars": f"WITH {_STAR} SELECT tic_id, round(CASE WHEN plx > 0 THEN 1000 / plx END, 6) AS distance_pc, round(round_even(ra_deg / 15 * 360000, 0) / 360000 * 15, 3) AS ra, round(sign(dec_deg) * round_even(abs(dec_deg) * 36000, 0) / 36000, 3) AS dec FROM star",
     "completeness_by_depth": f"WITH {_OUTCOMES} SELECT round(depth * 1e6, 3) AS depth_ppm, n, round(detected, 9) AS detected, round(flagged, 9) AS flagged FROM by_depth",
-    "detection_floor": f"WITH {_OUTCOMES} SELECT round(min(depth) FILTER (flagged >= 0.25) * 1e6, 3) AS floor_ppm FROM by_depth WHERE n >= 10",
+    "detection_floor": f"WITH {_OUTCOMES} SELECT round(min(depth) FILTER (flagged >= 0.25) * 1e6, 3) AS floor_ppm FROM by_depth",
     "fpr_threshold": "SELECT label, round(quantile_cont(delta_bic, 0.99) FILTER (isfinite(delta_bic)), 6) AS threshold FROM training_labels WHERE label IS NOT NULL GROUP BY 1",
     "host_vetting": f"""WITH {_LATEST}, c AS (SELECT {_NAME.format("target_id")} AS star, CASE WHEN NOT isnan(depth_ppm) THEN depth_ppm END AS depth FROM cand), n AS (SELECT star, coalesce(max(depth), 0) AS deepest, count(*) AS n FROM c WHERE star IS NOT NULL GROUP BY 1),
 h AS (SELECT {_NAME.format("target_id")} AS star FROM light_curves UNION SELECT star FROM n) SELECT h.star, coalesce(deepest, 0) AS deepest, coalesce(n, 0) AS n, coalesce(deepest, 0) > 3000 OR coalesce(n, 0) > 15 AS suspect FROM h LEFT JOIN n ON h.star = n.star""",
@@ -279,6 +292,7 @@ l AS (SELECT split, {_NAME.format("host_star")} AS name, count(*) AS n FROM trai
     "impute_features": f"WITH md AS (SELECT {_MEDIANS}) SELECT * FROM ({_SUMS})",
     "slugify": r"SELECT DISTINCT target_id, coalesce(nullif(regexp_replace(regexp_replace(lower(target_id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'target') AS slug, translate(target_id, ' /\', '___') AS file, TRY_CAST(nullif(regexp_extract(target_id, '(?i)^\s*kic\s*(\d+)\s*$', 1), '') AS BIGINT) AS kic, TRY_CAST(nullif(regexp_extract(target_id, '(\d+)\s*$', 1), '') AS INT) AS last FROM candidates",
     "latest_attempts": f"{_ATTEMPTS} SELECT target_id, status, attempt, timestamp_utc FROM last",
+    "written_ledger": f"{_ATTEMPTS} SELECT target_id, status, attempt, timestamp_utc FROM last",
     "next_targets": f"{_ATTEMPTS} SELECT c_custkey::VARCHAR AS target_id, c_custkey AS place, status IS NOT NULL AS is_retry, timestamp_utc AS retry_time FROM customer LEFT JOIN last ON last.target_id = c_custkey::VARCHAR WHERE status IS NULL OR (status = 'failed' AND attempt < 3)",
     "targets_view": f"{_ATTEMPTS}, c AS (SELECT o_custkey::VARCHAR AS target_id, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS f FROM orders GROUP BY 1), h AS (SELECT c_custkey::VARCHAR AS target_id FROM customer WHERE c_acctbal >= 0) SELECT last.target_id, status, attempt, CASE WHEN h.target_id IS NOT NULL THEN coalesce(n, 0) END AS n_candidates, CASE WHEN h.target_id IS NOT NULL THEN coalesce(f, 0) END AS n_flagged, CASE WHEN status = 'failed' THEN greatest(3 - attempt, 0) END AS retries_left FROM last LEFT JOIN c ON last.target_id = c.target_id LEFT JOIN h ON last.target_id = h.target_id",
     "newest_runs": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",

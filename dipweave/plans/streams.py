@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.spikes import flag_readings
+from ..sources.shared import new_folder
 from ..sources.tables import table
 from ..streaming import ingest as st
 
@@ -18,15 +16,9 @@ def _path(folder: str) -> str:
     return f"{folder}/light_curves.parque[t]"
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: below the one for checkpoints where the session names it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dipweave-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger of an incremental run that flags implausible readings: readings and flagged ones per target."""
-    where = _folder(spark)
+    where = new_folder(spark)
     stream = st.readings_stream(spark, _path(folder), table(spark, folder, "light_curves").schema)
     query = st.ingest(stream, flag_readings, f"{where}/results", f"{where}/ledger", f"{where}/state")
     query.awaitTermination()
@@ -35,11 +27,10 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_daily(spark: SparkSession, folder: str) -> DataFrame:
     """Readings per day of arrival and mission."""
-    name = f"daily_{uuid.uuid4().hex}"
+    where = new_folder(spark)
     stream = st.readings_stream(spark, _path(folder), table(spark, folder, "light_curves").schema)
-    query = st.daily_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_folder(spark)}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "mission", "n", "n_positive")
+    st.daily_table(stream, f"{where}/days", f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/days").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "mission", "n", "n_positive")
 
 
 QUERIES = {f.__name__: f for f in (stream_ingest, stream_daily)}

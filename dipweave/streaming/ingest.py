@@ -27,6 +27,15 @@ def daily_counts(stream: DataFrame, delay: str = "30 days") -> DataFrame:
     return stream.withWatermark("received_at", delay).groupBy(F.window("received_at", "1 day"), "mission").agg(F.count("*").alias("n"), F.count_if(F.col("flux") > 0).alias("n_positive"))
 
 
+def daily_table(stream: DataFrame, path: str, checkpoint: str, delay: str = "30 days") -> StreamingQuery:
+    """Keeps daily_counts as a Parquet table, written anew by each batch, and stops when all that is there is counted. The counts stay with the executors."""
+
+    def write(df: DataFrame, number: int) -> None:
+        df.select(F.col("window.start").alias("day"), "mission", "n", "n_positive").write.mode("overwrite").parquet(path)
+
+    return daily_counts(stream, delay).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest(stream: DataFrame, process: Callable[[DataFrame], DataFrame], results: str, ledger: str, checkpoint: str) -> StreamingQuery:
     """Runs all that is there through `process`, batch by batch, and stops.
 

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 
 import pyarrow as pa
@@ -80,6 +81,41 @@ def test_ledger_file(spark, tmp_path):
     assert le.read_ledger(spark, str(tmp_path / "again")).count() == 2
 
 
+def test_ledger_of_several_files(spark, tmp_path):
+    # the newer file is small and comes first by name; lines without seq are older than those with one
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "b.json").write_text("\n".join([entry("KIC X", "failed", "t1", 1)] + [entry(f"KIC {k}", "failed", "t1", 1) for k in range(500)]))
+    (tmp_path / "l" / "a.json").write_text("\n".join([entry("KIC X", "success", "t2", 2), entry("KIC Y", "success", "t2", 1)]))
+    (tmp_path / "l" / "c.json").write_text(entry("KIC Y", "failed", "t3", 1, seq=0))
+    for name, t in (("b", 1_000_000_000), ("a", 1_000_000_100), ("c", 999_999_999)):
+        os.utime(tmp_path / "l" / f"{name}.json", (t, t))
+    got = {r["target_id"]: r["status"] for r in le.latest(le.read_ledger(spark, str(tmp_path / "l"))).collect()}
+    assert got["KIC X"] == "success" and got["KIC Y"] == "failed" and got["KIC 7"] == "failed"
+
+
+def test_shared_folder(spark):
+    from dipweave.sources.shared import kept, scratch, shared_folder
+
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    with scratch(spark) as keep:
+        df = keep(spark.range(5))
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 5 and df.dtypes == spark.range(5).dtypes and os.path.exists(path)
+    assert not os.path.exists(path)
+    assert kept(spark.range(0)).count() == 0
+
+
+def test_shared_folder_of_a_cluster():
+    from types import SimpleNamespace
+
+    from dipweave.sources.shared import shared_folder
+
+    on = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="x", getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        shared_folder(on("spark://host:7077"))
+    assert shared_folder(on("local[2]")) == shared_folder(on("local[2]"))
+
+
 def test_lists_and_caches(spark, tmp_path):
     (tmp_path / "list.txt").write_text("# head\nKIC 1  # note\n\n  KIC 2\nKIC 1\n#KIC 3\n")
     assert [r["target_id"] for r in le.target_list(spark, str(tmp_path / "list.txt")).orderBy("place").collect()] == ["KIC 1", "KIC 2"]
