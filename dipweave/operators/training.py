@@ -16,8 +16,11 @@ from ..sources.shared import kept
 from .medians import exact_median, exact_quantile
 from .series import MAD_TO_SIGMA
 
-#: The features in their fixed order; a stored model depends on it.
-FEATURES = tuple("depth_ppm log_depth_ppm duration_days depth_snr a_dur a_slope abs_a_dur signs_agree tau_over_sigma log_tau_over_sigma delta_bic significance a_dur_sigma ingress_duration_days egress_duration_days ingress_slope_snr egress_slope_snr n_points_in_window periodic".split())
+#: The features in their order, on which a stored model depends.
+FEATURES = (
+    "depth_ppm", "log_depth_ppm", "duration_days", "depth_snr", "a_dur", "a_slope", "abs_a_dur", "signs_agree", "tau_over_sigma", "log_tau_over_sigma",
+    "delta_bic", "significance", "a_dur_sigma", "ingress_duration_days", "egress_duration_days", "ingress_slope_snr", "egress_slope_snr", "n_points_in_window", "periodic",
+)
 
 
 def safe_log(x: Column) -> Column:
