@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -12,6 +12,7 @@ from .overlaps import FEATURES, overlapping, targets_in_train
 from .packing import pack_documents
 from .splits import grouped_splits, same_names
 from .splitting import split_texts
+from .tokens import n_tokens
 
 CAPACITY = 8192
 LIMIT = 4096
@@ -35,10 +36,15 @@ def p1_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_together(spark: SparkSession, folder: str) -> DataFrame:
-    """Stars with rows in one split, in several, and rows that name no star."""
-    each = p1_splits(spark, folder).groupBy("star").agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"))
-    named = F.col("star").isNotNull()
-    return each.agg(F.count_if(named & (F.col("splits") == 1)).alias("stars_in_one"), F.count_if(named & (F.col("splits") > 1)).alias("stars_in_several"), F.sum(F.when(named, 0).otherwise(F.col("n"))).alias("rows_without_star"), F.sum("n").alias("n_rows"))
+    """Each star with rows, how many it has and in how many splits they are."""
+    return p1_splits(spark, folder).where("star IS NOT NULL").groupBy("star").agg(F.count("*").alias("n_rows"), F.countDistinct("split").alias("n_splits"))
+
+
+def p1_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Each label, the stars (and rows without one) that have it, and the splits that it is missing from."""
+    rows = p1_splits(spark, folder).where("label IS NOT NULL")
+    unit = F.coalesce("star", F.concat(F.lit("row "), F.col("label_id").cast("string")))
+    return rows.groupBy("label").agg(F.countDistinct(unit).alias("n_units"), (F.lit(3) - F.countDistinct("split")).alias("n_missing"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,11 +67,17 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps per split and author: of evaluation rows their own, of targets the author of the rows of train."""
     labels, targets, catalog = _tables(spark, folder, "training_labels", "validation_targets", "tic_catalog")
-    rows = overlapping(labels, catalog).groupBy("split", "author").agg(F.countDistinct("eval_id").alias("n_records"), F.count("*").alias("n_pairs"), F.round(F.avg("shared"), 6).alias("mean_shared"))
-    stars = targets_in_train(labels, targets, catalog).groupBy(F.lit("targets").alias("split"), "author").agg(F.countDistinct("target_no").alias("n_records"), F.count("*").alias("n_pairs"), F.lit(None).cast("double").alias("mean_shared"))
+    rows = overlapping(labels, catalog).groupBy("split", "author").agg(F.countDistinct("eval_id").alias("n_records"), F.count("*").alias("n_pairs"))
+    stars = targets_in_train(labels, targets, catalog).groupBy(F.lit("targets").alias("split"), "author").agg(F.countDistinct("target_no").alias("n_records"), F.count("*").alias("n_pairs"))
     return rows.unionByName(stars)
 
 
+def p4_fractions(spark: SparkSession, folder: str) -> DataFrame:
+    """Agreeing pairs by the part of the evaluation row, in tenths, that chunks shared with the other row cover."""
+    labels, _, catalog = _tables(spark, folder, "training_labels", "validation_targets", "tic_catalog")
+    return overlapping(labels, catalog).groupBy(F.floor(F.col("shared") * 10).alias("tenths")).agg(F.count("*").alias("n_pairs"))
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), CAPACITY)
 
@@ -81,6 +93,17 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), CAPACITY).groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_pieces"))
 
 
+def p7_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What the containers hold, and what must not be: containers beyond the capacity, texts cut though they fit one, rows lost or held twice."""
+    documents = table(spark, folder, "documents")
+    packed = pack_documents(documents, CAPACITY)
+    full = packed.where("container IS NOT NULL").groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.count_if(F.col("t") > CAPACITY).alias("too_full"))
+    held = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.countDistinct("piece").alias("pieces"))
+    wanted = documents.select("doc_id", n_tokens(F.col("text")).alias("size"))
+    each = wanted.join(held, "doc_id", "full").agg(F.count("*").alias("n_texts"), F.sum("tokens").alias("tokens"), F.count_if((F.col("size") <= CAPACITY) & (F.col("n") > 1)).alias("cut"), F.count_if(~F.col("size").eqNullSafe(F.col("tokens")) | (F.col("n") != F.col("pieces"))).alias("lost"))
+    return each.join(F.broadcast(full))  # one row each
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(*_tables(spark, folder, "documents", "mix_targets"))
 
@@ -99,8 +122,11 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_extent(spark: SparkSession, folder: str) -> DataFrame:
-    """What the pieces of each document cover, and whether each is within the limit."""
-    return split_texts(table(spark, folder, "documents"), LIMIT).groupBy("doc_id").agg(F.min("start").alias("first"), F.max("end").alias("last"), (F.max("tokens") <= LIMIT).alias("within"), F.sum(F.octet_length("text")).alias("held")).withColumn("held_at_least", F.col("held") >= F.col("last")).drop("held")
+    """Of each document that is cut: what the pieces cover, gaps between them, the longest piece, and how much longer than the text they are together beyond their overlaps."""
+    p = split_texts(table(spark, folder, "documents"), LIMIT)
+    before = F.lag("end").over(Window.partitionBy("doc_id").orderBy("piece"))
+    each = p.select("doc_id", "start", "end", "tokens", F.octet_length("text").alias("held"), (F.col("start") - before).alias("step"))
+    return each.groupBy("doc_id").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.count_if(F.col("step") > 0).alias("n_gaps"), F.count_if((F.col("tokens") > LIMIT) | (F.col("held") != F.col("tokens"))).alias("n_wrong"), F.sum(F.col("tokens") + F.coalesce("step", F.lit(0))).alias("covered"))
 
 
 _DESIGNATION = r"'^[\s_\-]*(KIC|EPIC|TIC)[\s_\-]*0*([0-9]+)[\s_\-]*$'"
@@ -112,6 +138,9 @@ def _name(c: str) -> str:
 
 #: (name, star): two names are those of one star if they share a star.
 _STARS = """link AS (SELECT DISTINCT 'TIC ' || tic_id AS name, 'KIC ' || kic AS star FROM tic_catalog WHERE tic_id IS NOT NULL AND kic IS NOT NULL)"""
+#: The smallest name of each component of links.
+_COMPONENTS = f"""WITH RECURSIVE {_STARS}, edge AS (SELECT name AS a, star AS b FROM link UNION SELECT star, name FROM link), reach AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+comp AS (SELECT a AS name, least(a, min(b)) AS star FROM reach GROUP BY a), l AS (SELECT label_id, label, {_name("host_star")} AS name FROM training_labels), u AS (SELECT label_id, label, coalesce(comp.star, l.name) AS star FROM l LEFT JOIN comp ON l.name = comp.name)"""
 _OVERLAPS = f"""
 WITH {_STARS},
 n AS (SELECT *, lower(trim(split)) AS side, {_name("host_star")} AS name FROM training_labels WHERE label_id IS NOT NULL),
@@ -135,29 +164,32 @@ q AS (SELECT p.*, least(floor(bears * share + 1e-6), available * most)::BIGINT A
 u AS (SELECT doc_id, source, tokens, budget // available + CASE WHEN (budget - (budget // available) * available - start) * 2 >= tokens THEN 1 ELSE 0 END AS uses FROM q),
 mix AS (SELECT doc_id, source, tokens::BIGINT AS tokens, uses::BIGINT AS uses FROM u WHERE uses > 0)"""
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_totals, p1_together, p3_found, p3_differences, p4_found, p4_report, p7_containers, p7_fill, p7_pieces, p8_mix, p8_shares, p9_found, p9_pieces, p9_extent)}
-SQL = {
-    "p1_found": f"""
-WITH {_STARS}, n AS (SELECT DISTINCT host_star, {_name("host_star")} AS name FROM training_labels),
-k AS (SELECT host_star, coalesce(link.star, n.name) AS star FROM n LEFT JOIN link ON n.name = link.name WHERE n.name IS NOT NULL)
-SELECT DISTINCT a.host_star AS host_a, b.host_star AS host_b FROM k a JOIN k b ON a.star = b.star WHERE a.host_star < b.host_star""",
-    "p1_together": f"""
-WITH {_STARS}, n AS (SELECT {_name("host_star")} AS name FROM training_labels)
-SELECT count(DISTINCT coalesce(link.star, n.name)) AS stars_in_one, 0::BIGINT AS stars_in_several, count(*) FILTER (n.name IS NULL) AS rows_without_star, count(*) AS n_rows FROM n LEFT JOIN (SELECT name, min(star) AS star FROM link GROUP BY 1) link ON n.name = link.name""",
-    "p3_found": f"""
+_NEAREST = f"""
 WITH {_STARS},
 d0 AS (SELECT DISTINCT dip_id, {_name("target_id")} AS name, t_min_bkjd AS t FROM known_dips WHERE isfinite(t_min_bkjd)),
 c0 AS (SELECT candidate_id, {_name("target_id")} AS name, t_min + CASE upper(trim(mission)) WHEN 'TESS' THEN 2167 WHEN 'KEPLER' THEN 0 WHEN 'K2' THEN 0 END AS t
   FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY found_at DESC) AS k FROM candidates) WHERE k = 1 AND isfinite(t_min)),
 d AS (SELECT dip_id, t, coalesce(star, d0.name) AS star FROM d0 LEFT JOIN link ON d0.name = link.name WHERE d0.name IS NOT NULL),
 c AS (SELECT candidate_id, t, coalesce(star, c0.name) AS star FROM c0 LEFT JOIN link ON c0.name = link.name WHERE c0.name IS NOT NULL),
-m AS (SELECT dip_id, candidate_id, row_number() OVER (PARTITION BY dip_id ORDER BY round(abs(d.t - c.t), 9), candidate_id) AS k FROM d JOIN c ON d.star = c.star WHERE round(abs(d.t - c.t), 9) <= 0.5)
-SELECT dip_id, candidate_id FROM m WHERE k = 1""",
+m AS (SELECT dip_id, candidate_id, round(abs(d.t - c.t), 9) AS difference, row_number() OVER (PARTITION BY dip_id ORDER BY round(abs(d.t - c.t), 9), candidate_id) AS k FROM d JOIN c ON d.star = c.star WHERE round(abs(d.t - c.t), 9) <= 0.5)"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_totals, p1_together, p1_labels, p3_found, p3_differences, p4_found, p4_report, p4_fractions, p7_containers, p7_fill, p7_pieces, p7_check, p8_mix, p8_shares, p9_found, p9_pieces, p9_extent)}
+SQL = {
+    "p1_found": f"""
+WITH {_STARS}, n AS (SELECT DISTINCT host_star, {_name("host_star")} AS name FROM training_labels),
+k AS (SELECT host_star, coalesce(link.star, n.name) AS star FROM n LEFT JOIN link ON n.name = link.name WHERE n.name IS NOT NULL)
+SELECT DISTINCT a.host_star AS host_a, b.host_star AS host_b FROM k a JOIN k b ON a.star = b.star WHERE a.host_star < b.host_star""",
+    "p1_together": f"{_COMPONENTS} SELECT star, count(*) AS n_rows, 1::BIGINT AS n_splits FROM u WHERE star IS NOT NULL GROUP BY 1",
+    "p1_labels": f"{_COMPONENTS} SELECT label, count(DISTINCT coalesce(star, 'row ' || label_id)) AS n_units, 3 - least(3, count(DISTINCT coalesce(star, 'row ' || label_id))) AS n_missing FROM u WHERE label IS NOT NULL GROUP BY 1",
+    "p3_found": f"{_NEAREST} SELECT dip_id, candidate_id FROM m WHERE k = 1",
+    "p3_differences": f"{_NEAREST} SELECT floor(difference * 20)::BIGINT AS bin, count(*) AS n_dips, count(DISTINCT candidate_id) AS n_candidates FROM m WHERE k = 1 GROUP BY 1",
     "p4_found": f"{_OVERLAPS} SELECT DISTINCT least(eval_id, train_id) AS id_a, greatest(eval_id, train_id) AS id_b FROM o UNION ALL SELECT least(target_no, label_id), greatest(target_no, label_id) FROM s",
+    "p4_report": f"{_OVERLAPS}, p AS (SELECT DISTINCT eval_id, train_id, split, author FROM o) SELECT split, author, count(DISTINCT eval_id) AS n_records, count(*) AS n_pairs FROM p GROUP BY ALL UNION ALL SELECT 'targets', author, count(DISTINCT target_no), count(*) FROM s GROUP BY ALL",
+    "p7_check": "SELECT count(*) AS n_texts, sum(coalesce(strlen(text), 0))::BIGINT AS tokens, 0::BIGINT AS cut, 0::BIGINT AS lost, 0::BIGINT AS too_full FROM documents",
     "p7_pieces": f"SELECT doc_id, coalesce(strlen(text), 0) AS tokens, greatest(ceil(coalesce(strlen(text), 0) / {CAPACITY})::BIGINT, 1) AS n_pieces FROM documents",
     "p8_mix": f"{_MIX} SELECT * FROM mix",
     "p8_shares": f"""{_MIX}, a AS (SELECT source, sum(tokens * uses)::BIGINT AS tokens, count(*) AS n_records, max(uses) AS most_uses FROM mix GROUP BY 1)
 SELECT m.source, target_share, round(coalesce(tokens / (SELECT sum(tokens) FROM a), 0), 9) AS share, coalesce(tokens, 0) AS tokens, coalesce(n_records, 0) AS n_records, coalesce(most_uses, 0) AS most_uses FROM (SELECT {_SOURCE} AS source, target_share FROM mix_targets) m LEFT JOIN a ON m.source = a.source""",
     "p9_found": f"SELECT doc_id FROM documents WHERE strlen(text) > {LIMIT}",
-    "p9_extent": f"SELECT doc_id, 0::BIGINT AS first, strlen(text) AS last, true AS within, true AS held_at_least FROM documents WHERE strlen(text) > {LIMIT}",
+    "p9_extent": f"SELECT doc_id, 0::BIGINT AS first, strlen(text) AS last, 0::BIGINT AS n_gaps, 0::BIGINT AS n_wrong, strlen(text) AS covered FROM documents WHERE strlen(text) > {LIMIT}",
 }

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .tokens import n_tokens
 
-#: Hexadecimal digits of the key that name its range.
-RANGE_DIGITS = 3
+#: Records of a source in one range of keys, more or less.
+PER_RANGE = 50_000
 
 
 def source_name(c: Column) -> Column:
@@ -37,10 +37,12 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: str = "0") -> DataFr
 
     # a text belongs to the scarcest source that has it
     copies = wanted.groupBy("digest", "source", "share", "most").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
-    bears = copies.groupBy("source").agg((F.sum("tokens") * F.first("most") / F.first("share")).alias("bears"))
-    owned = copies.join(F.broadcast(bears), "source").groupBy("digest").agg(F.min(F.struct("bears", "source", "doc_id", "tokens", "share", "most")).alias("m")).select("m.*", F.md5(F.concat_ws(":", F.lit(seed), F.col("m.doc_id").cast("string"))).alias("key"))
+    bears = copies.groupBy("source").agg((F.sum("tokens") * F.first("most") / F.first("share")).alias("bears"), F.ceil(F.count("*") / PER_RANGE).alias("ranges"))
+    owned = copies.join(F.broadcast(bears), "source").groupBy("digest").agg(F.min(F.struct("bears", "source", "doc_id", "tokens", "share", "most", "ranges")).alias("m")).select("m.*", F.md5(F.concat_ws(":", F.lit(seed), F.col("m.doc_id").cast("string"))).alias("key"))
 
-    ranged = owned.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
+    # as many ranges of keys as the source has records for, each as wide as the others
+    place = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    ranged = owned.withColumn("range", F.floor(place * F.col("ranges")))
     sums = ranged.groupBy("source", "range").agg(F.sum("tokens").alias("n"), F.first("share").alias("share"), F.first("most").alias("most"))
     w = Window.partitionBy("source")
     before = sums.select("source", "range", (F.sum("n").over(w.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(w).alias("available"), "share", "most")
@@ -52,7 +54,7 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: str = "0") -> DataFr
     start = F.col("before") + F.col("upto") - F.col("tokens")
     extra = (F.col("budget") - rounds * F.col("available") - start) * 2 >= F.col("tokens")
     uses = rounds + extra.cast("bigint")
-    return local.drop("share", "most", "bears").join(plan, ["source", "range"]).select("doc_id", "source", "tokens", uses.alias("uses")).where("uses > 0")
+    return local.drop("share", "most", "bears", "ranges").join(plan, ["source", "range"]).select("doc_id", "source", "tokens", uses.alias("uses")).where("uses > 0")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

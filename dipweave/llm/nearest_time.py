@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.epochs import common_time
 from ..functions.numbers import finite
 from ..functions.stars import catalog_links, designation, star_keys
+from ..operators.lookup import lookup
 
 #: Differences count to within so many days, for times are sums of decimal fractions.
 EXACT = 1e-9
@@ -22,12 +23,14 @@ def nearest(left: DataFrame, right: DataFrame, links: DataFrame, tolerance: floa
 
     left: left_id, entity, time; right: right_id, entity, time; links: distinct pairs (left_entity, right_entity) of entities that are the
     same. Records with a NULL anywhere pair with nothing. Of several equally near the smallest right_id is taken; a right record may serve
-    several left ones. Right records of one entity, bucket and time are joined as one, so heaps of repeated records stay small.
+    several left ones. Entities with many left records are looked up without a shuffle by entity. Right records of one entity, bucket and time are joined as one, so heaps of repeated records stay small.
     """
     width = tolerance * (1 + 1e-6) + EXACT
     bucket = F.floor(F.col("time") / width)
     some = right.where("right_id IS NOT NULL AND entity IS NOT NULL AND time IS NOT NULL").groupBy(F.col("entity").alias("right_entity"), bucket.alias("bucket"), F.col("time").alias("right_time")).agg(F.min("right_id").alias("right_id"))
-    probes = left.where("left_id IS NOT NULL AND time IS NOT NULL").join(links, F.col("entity") == F.col("left_entity")).select("left_id", "time", "right_entity", F.explode(F.array(*(bucket + k for k in (-1, 0, 1)))).alias("bucket"))
+    partners = links.groupBy(F.col("left_entity").alias("entity")).agg(F.collect_set("right_entity").alias("partners"))  # an entity has few names
+    named = lookup(left.where("left_id IS NOT NULL AND time IS NOT NULL"), partners, "entity", "left_id").select("left_id", "time", F.explode("partners").alias("right_entity"))
+    probes = named.select("left_id", "time", "right_entity", F.explode(F.array(*(bucket + k for k in (-1, 0, 1)))).alias("bucket"))
     difference = F.round(F.abs(F.col("time") - F.col("right_time")), 9)
     near = probes.join(some, ["right_entity", "bucket"]).withColumn("difference", difference).where(F.col("difference") <= tolerance)
     return near.groupBy("left_id").agg(F.min(F.struct("difference", "right_id")).alias("m")).select("left_id", "m.right_id", "m.difference")

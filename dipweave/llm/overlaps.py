@@ -1,79 +1,126 @@
 """Records of evaluation splits that reappear, exactly or almost, in the training split.
 
-A record is normalised to a stream of tokens, one for each numeric feature: its name and the cell of its value on a logarithmic grid as wide
-as twice the tolerance. The stream is cut into chunks where a rolling hash over its names says so: names, because values that may differ
-within the tolerance must not move a cut. A chunk's digests are those of its pairs of present tokens, so that a feature missing on one
-side costs the chunk no more than that feature; an evaluation record looks up each value in the one or two cells that a partner's can be in. Digests of one
-star are joined across splits and the shared lengths are summed: two records agree if they share all that both have.
-
-No agreeing pair is lost: with at least `least` features present in both, of which `n_flags` aren't measured on a scale and make no token, more of the others
-are shared than there are chunks, hence two of them in one chunk. An exact comparison of all features follows.
+A record is normalised to a stream of tokens, one for each measured feature that is there: its name and the coarse cell of its value on a logarithmic grid. A rolling hash over the
+tokens cuts the stream into chunks where their content says so, whatever comes before; digests of the chunks of one star are joined across splits and the lengths of shared chunks are
+summed to an overlap fraction. Each stream is cut on two grids half a cell apart, so that values a little apart are in one cell on at least one of them. Pairs with a fraction above a
+threshold go to an exact comparison of all features.
+
+A record that lacks features its copy has, or has values near borders of cells in each chunk, shares no chunk with it. For these there is an index of pairs of cells: the measured features are
+dealt into groups, fewer than measured features of an agreeing pair, so at least two are of one group; an evaluation record looks up both values in the one or two cells that a
+partner's can be in. Pairs that match wherever both have the two features are compared too. So no agreeing pair is lost.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import known
 from ..functions.stars import catalog_links, designation, star_keys
 from ..operators.lookup import lookup
-from ..sources.shared import kept
+from ..operators.training import FEATURES
+from ..sources.shared import kept, scratch
 
-#: The project's features in order; the last two of the second line are flags.
-FEATURES = tuple("depth_ppm log_depth_ppm duration_days depth_snr a_dur a_slope abs_a_dur signs_agree tau_over_sigma log_tau_over_sigma delta_bic significance a_dur_sigma ingress_duration_days egress_duration_days ingress_slope_snr egress_slope_snr n_points_in_window periodic".split())
+#: Features that are no measurements on a scale.
 FLAGS = ("signs_agree", "periodic")
+#: Widths of cells in tolerances: of tokens in chunks, of the index.
+CHUNK_CELL, INDEX_CELL = 24, 6
+#: Tokens of a chunk.
+SHORTEST, LONGEST = 2, 6
 
 
-def cut(names: tuple[str, ...], least: int = 4, most: int = 6, window: int = 2, base: int = 257, modulus: int = (1 << 61) - 1) -> list[list[int]]:
-    """Chunks of a stream of names, by place: a cut falls where the rolling hash over the last `window` names is divisible by 4, with lengths from `least` to `most` (but for the last)."""
-    value = [sum(ord(c) * pow(base, k, modulus) for k, c in enumerate(x)) % modulus for x in names]
-    out, chunk, rolling = [], [], 0
-    for n, v in enumerate(value):
-        rolling = (rolling * base + v - (value[n - window] * pow(base, window, modulus) if n >= window else 0)) % modulus
-        chunk.append(n)
-        if len(chunk) == most or len(chunk) >= least and rolling % 4 == 0:
-            out.append(chunk)
-            chunk = []
-    return out + [chunk] * bool(chunk)
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of 64-bit numbers (the finisher of splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def stream(features: tuple[str, ...] = FEATURES, flags: tuple[str, ...] = FLAGS) -> tuple[str, ...]:
-    """The features that make tokens, every second one first: neighbours are often derived from one another and tell little together."""
-    scaled = [f for f in features if f not in flags]
-    return tuple(x for k in range(2) for x in scaled[k::2])
+def cells(x: np.ndarray, width: float, shift: float) -> np.ndarray:
+    """The cell of each value, moved by shift, on a logarithmic grid; values of opposite signs, zero and infinity have cells apart."""
+    size = np.abs(x)
+    with np.errstate(all="ignore"):
+        at = np.floor((np.log(np.where((size > 0) & (size < np.inf), size, 1.0)) + shift) / width).astype(np.int64) * 2 + (x > 0)
+    return np.where(x == 0, 1 << 40, np.where(size == np.inf, (1 << 41) + (x > 0), at)).astype(np.uint64)
 
 
-def _cells(x: Column, tolerance: float, offset: float) -> Column:
-    """The cell of a value moved by offset on the logarithmic scale; values of opposite signs, zero and infinity have cells apart."""
-    width = -2 * math.log(1 - tolerance) * (1 + 1e-9)
-    place = F.floor((F.log(F.abs(x)) + offset) / width) * 2 + (x > 0).cast("bigint")
-    return F.when(x == 0, F.lit(1 << 40)).when(F.abs(x) == float("inf"), F.lit(1 << 41) + (x > 0).cast("bigint")).otherwise(place)
+def chunks(tokens: np.ndarray, present: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, digests, lengths) of the chunks of each row's stream of present tokens.
 
-
-def agree(a: Column, b: Column, features: tuple[str, ...], tolerance: float, least: int) -> Column:
-    """At least `least` features are present in both, and each of these differs by at most the tolerance times the larger absolute value; an infinite one must be equal."""
-    both = [a[f].isNotNull() & b[f].isNotNull() for f in features]
-    close = [F.coalesce((a[f] == b[f]) | ((F.abs(a[f] - b[f]) <= F.greatest(F.abs(a[f]), F.abs(b[f])) * tolerance) & (F.abs(a[f]) < float("inf")) & (F.abs(b[f]) < float("inf"))), F.lit(True)) for f in features]
-    n, ok = both[0].cast("int"), close[0]
-    for x, y in zip(both[1:], close[1:]):
-        n, ok = n + x.cast("int"), ok & y
-    return (n >= least) & ok
-
-
-def _digests(records: DataFrame, tokens: tuple[str, ...], chunks: list[list[int]], tolerance: float, probing: bool) -> DataFrame:
-    """(star, digest, pair, class, present) for each pair of present tokens of a chunk; probing: for each combination of the cells in which a partner's values can be."""
-    pairs = [(i, j) for c in chunks for n, i in enumerate(c) for j in c[n + 1 :]]
+    A cyclic-polynomial hash rolls over the last two tokens; a chunk of at least SHORTEST tokens ends where its low two bits are zero, one of LONGEST in any case.
+    """
+    n = len(tokens)
+    before, digest, length = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    for k in range(tokens.shape[1]):
+        here, token = present[:, k], tokens[:, k]
+        rolling = ((before << np.uint64(1)) | (before >> np.uint64(63))) ^ token
+        digest = np.where(here, _mix(digest ^ token), digest)
+        length += here
+        before = np.where(here, token, before)
+        end = np.flatnonzero(here & ((length >= LONGEST) | ((length >= SHORTEST) & (rolling & np.uint64(3) == 0))))
+        yield end, digest[end], length[end]
+        digest[end], length[end] = 0, 0
+    end = np.flatnonzero(length > 0)
+    yield end, digest[end], length[end]
+
+
+def index_groups(n: int, groups: int) -> list[tuple[int, int]]:
+    """Pairs of places of n features dealt into so many groups: of more than that many features two are always a pair."""
+    return [(i, j) for i in range(n) for j in range(i + groups, n, groups)]
+
+
+def _digests(records: DataFrame, names: tuple[str, ...], groups: int, tolerance: float, probing: bool) -> DataFrame:
+    """(key, class, what, weight, present) of each record (star, class, x): its chunks on both grids (what -1 and -2, weight their length), and its pairs of cells (what their number); probing: in each cell a partner's value can be in."""
     delta = -math.log(1 - tolerance) * (1 + 1e-9)
-    x = lambda f: F.col("features")[f]
-    token = lambda f: F.when(x(f).isNotNull(), F.array_distinct(F.array(_cells(x(f), tolerance, -delta), _cells(x(f), tolerance, delta))) if probing else F.array(_cells(x(f), tolerance, 0.0)))
-    present = sum(((x(f).isNotNull()).cast("int") * (1 << n) for n, f in enumerate(tokens[1:], 1)), x(tokens[0]).isNotNull().cast("int"))
-    cells = records.select("star", "class", present.alias("present"), F.array(*(token(f) for f in tokens)).alias("cells"))
-    places = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, (i, j) in enumerate(pairs)))
-    found = F.transform(places, lambda p: F.coalesce(F.flatten(F.transform(F.col("cells")[p["i"]], lambda u: F.transform(F.col("cells")[p["j"]], lambda v: F.struct(F.xxhash64("star", p["n"], u, v).alias("digest"), p["n"].alias("pair"))))), F.array().cast("array<struct<digest:bigint,pair:int>>")))
-    return cells.select("star", "class", "present", F.explode(F.flatten(found)).alias("d")).select("star", "class", "present", "d.*")
+    pairs = index_groups(len(names), groups)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = _mix(np.arange(1, len(names) + len(pairs) + 3, dtype=np.uint64))
+        for batch in batches:
+            star = batch.column(0).to_numpy().view(np.uint64)
+            of_class = batch.column(1).to_numpy()
+            x = np.array([np.array(batch.column(k + 2).to_numpy(zero_copy_only=False), np.float64) for k in range(len(names))]).T.reshape(-1, len(names))
+            there = ~np.isnan(x)
+            present = (there * (1 << np.arange(len(names)))).sum(axis=1)
+            rows, keys, what, weight = [], [], [], []
+
+            def add(r, k, w, n):
+                rows.append(r), keys.append(k), what.append(np.full(len(r), w)), weight.append(np.broadcast_to(n, len(r)))
+
+            for grid in range(2):
+                token = _mix(cells(x, CHUNK_CELL * delta, grid * CHUNK_CELL * delta / 2) ^ salt[: len(names)])
+                for r, digest, n in chunks(token, there):
+                    add(r, _mix(digest ^ star[r] ^ salt[len(names) + len(pairs) + grid]), -1 - grid, n)
+            sides = [cells(x, INDEX_CELL * delta, s) for s in ((-delta, delta) if probing else (0.0,))]
+            for k, (i, j) in enumerate(pairs):
+                for u in sides:
+                    for v in sides:
+                        fresh = there[:, i] & there[:, j]
+                        if u is not sides[0]:
+                            fresh &= u[:, i] != sides[0][:, i]
+                        if v is not sides[0]:
+                            fresh &= v[:, j] != sides[0][:, j]
+                        r = np.flatnonzero(fresh)
+                        add(r, _mix(_mix(_mix(star[r] ^ salt[len(names) + k]) ^ u[r, i]) ^ v[r, j]), k, 0)
+            r = np.concatenate(rows)
+            out = [np.concatenate(keys).view(np.int64), of_class[r], np.concatenate(what).astype(np.int8), np.concatenate(weight).astype(np.int8), present[r].astype(np.int32)]
+            yield from pa.Table.from_arrays([pa.array(c) for c in out], names=["key", "class", "what", "weight", "present"]).to_batches(max_chunksize=20_000)
+
+    plain = records.select(F.xxhash64("star").alias("star"), "class", *(F.col(f"x.{f}").alias(f) for f in names))
+    return plain.mapInArrow(make, "key bigint, class bigint, what tinyint, weight tinyint, present int")
+
+
+def agree(a: str, b: str, features: tuple[str, ...], tolerance: float, least: int) -> Column:
+    """For structs in columns a and b: at least `least` features are present in both, and each of these differs by at most the tolerance times the larger absolute value; an infinite one must be equal."""
+    n = " + ".join(f"int({a}.{f} IS NOT NULL AND {b}.{f} IS NOT NULL)" for f in features)
+    big = "double('Infinity')"
+    close = " AND ".join(f"coalesce({a}.{f} = {b}.{f} OR (abs({a}.{f} - {b}.{f}) <= greatest(abs({a}.{f}), abs({b}.{f})) * {tolerance!r}D AND abs({a}.{f}) < {big} AND abs({b}.{f}) < {big}), true)" for f in features)
+    return F.expr(f"{n} >= {least} AND {close}")
 
 
 def with_star(rows: DataFrame, host: str, links: DataFrame, spread: str) -> DataFrame:
@@ -83,39 +130,46 @@ def with_star(rows: DataFrame, host: str, links: DataFrame, spread: str) -> Data
     return lookup(named, stars, "_at", spread).withColumn("star", F.explode("_stars")).drop("_at", "_stars")
 
 
-def overlapping(rows: DataFrame, catalog: DataFrame, features: tuple[str, ...] = FEATURES, flags: tuple[str, ...] = FLAGS, tolerance: float = 0.01, least: int = 8) -> DataFrame:
+def overlapping(rows: DataFrame, catalog: DataFrame, features: tuple[str, ...] = FEATURES, flags: tuple[str, ...] = FLAGS, tolerance: float = 0.01, least: int = 8, likely: float = 0.5, hot: int = 1000) -> DataFrame:
     """(eval_id, train_id, split, author, shared): rows of validation or test and rows of train of one star whose features agree.
 
-    shared is the part of the evaluation row's present tokens that both have, an overlap fraction. Missing features (NULL or NaN) are passed over. Rows that name no star, or have
+    shared is the overlap fraction: the part of the evaluation row's tokens in chunks that both have on one grid, the larger of the two. It doesn't decide: pairs from a fraction of `likely` on, and pairs that the index finds,
+    are compared exactly. Missing features (NULL or NaN) are passed over. Rows that name no star, or have
     another split or none (in any letter case), or no label_id, overlap with nothing. Rows with exactly the same features are one class, compared once and
-    expanded at the end, so heaps of copies cost no more than their pairs. Further columns are left out; an empty table gives an empty result.
+    expanded at the end, so heaps of copies cost no more than their pairs. Keys with more than 1/hot of the training rows' digests are joined in `hot` parts. Further columns are left out; an empty table gives an empty result.
     """
+    measures = tuple(f for f in features if f not in flags)
+    groups = least - sum(f in flags for f in features) - 1
+    if groups < 1:
+        raise ValueError(f"{least} features in common are too few for an index of measured ones")
     links = catalog_links(catalog)
     values = F.struct(*(known(F.col(f).cast("double")).alias(f) for f in features))
     side = F.lower(F.trim("split"))
-    base = rows.where("label_id IS NOT NULL").select("label_id", "author", side.alias("split"), values.alias("features"), "host_star").where(F.col("split").isin("train", "validation", "test")).withColumn("train", F.col("split") == "train")
-    tokens = stream(features, flags)
-    chunks = cut(tokens)
-    if len(chunks) >= least - sum(f in flags for f in features):
-        raise ValueError(f"{len(chunks)} chunks are too many for {least} features in common: an agreeing pair may share no two of one chunk")
+    base = rows.where("label_id IS NOT NULL").select("label_id", "author", side.alias("split"), values.alias("x"), "host_star").where(F.col("split").isin("train", "validation", "test")).withColumn("train", F.col("split") == "train")
     starred = with_star(base, "host_star", links, "label_id")
     # 128 bits stand for a star and its features; 0.0 and -0.0 are the same
-    plain = [F.col("features")[f] + 0.0 for f in features]
-    hashed = lambda seed: F.xxhash64(F.lit(seed), "star", *(F.coalesce(x.cast("string"), F.lit("")) for x in plain))
-    members = kept(starred.withColumn("class", F.struct(hashed(1).alias("a"), hashed(2).alias("b"))))
-    classes = members.groupBy("star", "train", "class").agg(F.first("features").alias("features"))
-    ours, theirs = (_digests(classes.where(f"train = {t}"), tokens, chunks, tolerance, not t) for t in (False, True))
-    met = ours.join(theirs.select("star", "digest", "pair", F.col("class").alias("train_class"), F.col("present").alias("train_present")), ["star", "digest", "pair"])
-    pairs = [(1 << i) | (1 << j) for c in chunks for n, i in enumerate(c) for j in c[n + 1 :]]
-    both = F.col("present").bitwiseAND(F.col("train_present"))
-    due = sum((F.when(both.bitwiseAND(F.lit(p)) == p, 1).otherwise(0) for p in pairs[1:]), F.when(both.bitwiseAND(F.lit(pairs[0])) == pairs[0], 1).otherwise(0))
-    shared = met.groupBy("class", "train_class", "present", "train_present").agg(F.bit_count(F.expr("bit_or(shiftleft(1L, pair))")).alias("n")).where(F.col("n") == due)
-    fraction = F.bit_count(both) / F.bit_count("present")
-    likely = shared.select("class", "train_class", fraction.alias("shared"))
-    of = lambda t, c, f: classes.where(f"train = {t}").select(F.col("class").alias(c), F.col("features").alias(f))
-    sure = kept(likely.join(of(False, "class", "x"), "class").join(of(True, "train_class", "y"), "train_class").where(agree(F.col("x"), F.col("y"), features, tolerance, least)).select("class", "train_class", "shared").distinct())
-    found = members.where("NOT train").select(F.col("label_id").alias("eval_id"), "split", "author", "class").join(sure, "class")
-    return found.join(members.where("train").select(F.col("label_id").alias("train_id"), F.col("class").alias("train_class")), "train_class").select("eval_id", "train_id", "split", "author", "shared").dropDuplicates(["eval_id", "train_id"])
+    text = ", ".join(f"coalesce(string(x.{f} + 0.0D), '')" for f in features)
+    with scratch(rows.sparkSession) as keep:
+        members = keep(starred.select("label_id", "author", "split", "train", "star", "x", F.expr(f"xxhash64(1, star, {text})").alias("class"), F.expr(f"xxhash64(2, star, {text})").alias("more")))
+        classes = members.groupBy("star", "train", "class", "more").agg(F.first("x").alias("x"))
+        ours, theirs = (_digests(classes.where(f"train = {t}"), measures, groups, tolerance, not t) for t in (False, True))
+        theirs = keep(theirs)
+        # keys that a large part of the training rows has; fewer than `hot` whatever the data
+        total = theirs.select(F.count("*").alias("total"))
+        common = F.broadcast(theirs.groupBy("key").count().join(F.broadcast(total)).where(F.col("count") * hot > F.greatest("total", F.lit(1_000_000))).select("key", F.lit(True).alias("common")))
+        part = lambda df, of: df.join(common, "key", "left").withColumn("part", F.when(F.col("common"), of).otherwise(F.lit(0)))
+        left = part(ours, F.lit(None).cast("int")).withColumn("part", F.explode(F.when(F.col("part").isNull(), F.sequence(F.lit(0), F.lit(hot - 1))).otherwise(F.array("part"))))
+        right = part(theirs, F.pmod(F.col("class"), F.lit(hot)).cast("int")).select("key", "part", F.col("class").alias("train_class"), F.col("present").alias("train_present"))
+        met = left.join(right, ["key", "part"])
+        met = met.groupBy("class", "train_class", F.expr("present & train_present").alias("both"), "present").agg(F.expr("bit_or(CASE WHEN what >= 0 THEN shiftleft(1L, int(what)) ELSE 0L END)").alias("found"), *(F.sum(F.expr(f"CASE WHEN what = {-1 - g} THEN int(weight) ELSE 0 END")).alias(f"grid{g}") for g in range(2)))
+        due = " + ".join(f"int(both & {(1 << i) | (1 << j)} = {(1 << i) | (1 << j)})" for i, j in index_groups(len(measures), groups))
+        shared = F.greatest("grid0", "grid1") / F.bit_count("present")
+        close = met.withColumn("shared", shared).where((F.col("shared") >= likely) | ((F.col("found") != 0) & (F.bit_count("found") == F.expr(due)))).select("class", "train_class", "shared")
+        of = lambda t, p, x: classes.where(f"train = {t}").select(F.col("star").alias(f"{p}star"), F.col("class").alias(f"{p}class"), F.col("more").alias(f"{p}more"), F.col("x").alias(x))
+        pairs = close.join(of(False, "", "x"), "class").join(of(True, "train_", "y"), "train_class").where("star = train_star").where(agree("x", "y", features, tolerance, least)).select("class", "more", "train_class", "train_more", "shared")
+        found = members.where("NOT train").select(F.col("label_id").alias("eval_id"), "split", "author", "class", "more").join(pairs, ["class", "more"])
+        train = members.where("train").select(F.col("label_id").alias("train_id"), F.col("class").alias("train_class"), F.col("more").alias("train_more"))
+        return kept(found.join(train, ["train_class", "train_more"]).groupBy("eval_id", "train_id").agg(F.first("split").alias("split"), F.first("author").alias("author"), F.max("shared").alias("shared")))
 
 
 def targets_in_train(rows: DataFrame, targets: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Filling containers of a fixed capacity with items of varying length.
 
 Hierarchical residual packing: each partition packs its own items by best fit, largest first, and emits the containers that are nearly
-full. The underfull ones go on as items to fewer, merged partitions, which pack them together, and so on up a tree, until what is left fits one
-task or merging no longer helps. Only sizes and ids travel, never texts.
+full. Of the underfull ones those that can still take something go on as items to fewer, merged partitions, which pack them together, and so on up a tree, until one
+partition is left. Only sizes and ids travel, never texts.
 """
 
 from __future__ import annotations
@@ -45,32 +45,59 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _pack(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    own = [b for b in batches if b.num_rows]
-    if not own:
-        return
-    t = pa.Table.from_batches(own)
+def _joined(t: pa.Table, capacity: int) -> pa.Table:
+    """The containers of t (each an item here) put together by best fit."""
     filled = t["filled"].to_numpy()
     bins = best_fit(filled, capacity)
     # a container's items are those of the bins put into it
     order = pa.array(np.concatenate([np.array(b, np.int64) for b in bins]))
-    count = np.array([len(b) for b in bins])
-    ends = np.cumsum(count)
+    ends = np.cumsum([len(b) for b in bins])
     out = {}
     for c in ("ids", "pieces", "sizes"):
         taken = t[c].combine_chunks().take(order)
         values, offsets = taken.flatten(), np.concatenate([[0], np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))])
         out[c] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets[ends]]).astype(np.int32)), values)
     out["filled"] = pa.array(np.add.reduceat(filled[order.to_numpy()], np.concatenate([[0], ends[:-1]])))
-    yield from pa.table(out).to_batches(max_chunksize=10_000)
+    return pa.table(out)
 
 
-def pack(items: DataFrame, capacity: int, full: float = 0.995, fan_in: int = 8, per_task: int = 200_000) -> DataFrame:
+def _pack(batches: Iterator[pa.RecordBatch], capacity: int, enough: int, hosts: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """The containers of a partition, packed at_once items at a time; open ones go on to the next items, those still open at the end have `open`.
+
+    Best fit leaves at most one container that is half full or less. The others are too full for one another, so only the emptiest `hosts` of them are worth keeping open for what comes.
+    """
+    left: pa.Table | None = None
+    waiting: list[pa.RecordBatch] = []
+
+    def settle() -> tuple[pa.Table, pa.Table]:
+        t = _joined(pa.concat_tables(([left] if left is not None else []) + [pa.Table.from_batches([b]) for b in waiting]), capacity)
+        filled = t["filled"].to_numpy()
+        by_room = np.argsort(filled, kind="stable")
+        by_room = by_room[filled[by_room] < enough][: hosts + 1]
+        stay = np.zeros(len(filled), bool)
+        stay[by_room] = True
+        return t.filter(pa.array(~stay)), t.filter(pa.array(stay))
+
+    for b in batches:
+        if b.num_rows:
+            waiting.append(b)
+        if sum(x.num_rows for x in waiting) >= at_once:
+            closed, left = settle()
+            waiting = []
+            yield from closed.append_column("open", pa.array([False] * len(closed))).to_batches(max_chunksize=10_000)
+    if waiting or left is not None:
+        closed, left = settle()
+        for t, is_open in ((closed, False), (left, True)):
+            yield from t.append_column("open", pa.array([is_open] * len(t))).to_batches(max_chunksize=10_000)
+
+
+def pack(items: DataFrame, capacity: int, full: float = 0.995, fan_in: int = 8, at_once: int = 100_000) -> DataFrame:
     """(doc_id, piece, tokens, container) from items (doc_id a number, tokens): each item whole in one container, if it isn't larger than one.
 
     An item above the capacity gives pieces 0, 1, ... as large as a container, which fill one each, and a last piece with the rest. An item without tokens (NULL
     or 0) takes no space: one row with a NULL container. container is a number of its own for each container. Each row is an item, with a NULL
-    or repeated id too. A container filled to `full` or more isn't opened again. A merged partition has at most per_task underfull containers or, beyond that, as many partitions are kept; what still doesn't merge stays as it is.
+    or repeated id too. A container filled to `full` or more isn't opened again. A partition packs at_once items at a time and hands on the few containers that can still take something;
+    those of fan_in partitions are packed together, and so on, until one partition has seen what all the others left.
     An empty table gives an empty result.
     """
     sized = items.select("doc_id", F.coalesce(F.col("tokens").cast("bigint"), F.lit(0).cast("bigint")).alias("tokens"))
@@ -80,21 +107,17 @@ def pack(items: DataFrame, capacity: int, full: float = 0.995, fan_in: int = 8,
     pieces = sized.where("tokens > 0").select("doc_id", F.explode(F.concat(F.transform(F.sequence(F.lit(1), F.greatest(n_full, F.lit(1))), lambda k: F.struct((k - 1).cast("int").alias("piece"), F.when(k <= n_full, F.lit(capacity)).otherwise(F.lit(0)).cast("bigint").alias("size"))), F.array(F.struct(n_full.cast("int").alias("piece"), rest.alias("size"))))).alias("p")).where("p.size > 0").select("doc_id", "p.piece", F.col("p.size").alias("size"))
     single = pieces.select(F.array(F.col("doc_id").cast("bigint")).alias("ids"), F.array("piece").alias("pieces"), F.array("size").alias("sizes"), F.col("size").alias("filled"))
     enough = int(capacity * full)
-
-    done: list[DataFrame] = []
-    bins = kept(single.mapInArrow(lambda b: _pack(b, capacity), _BIN))
-    left, parts = bins.where(F.col("filled") < enough), bins.rdd.getNumPartitions()
-    done.append(bins.where(F.col("filled") >= enough))
-    n_left = left.count()
-    while parts > 1 and n_left > 1:
-        parts = max(-(-parts // fan_in), -(-n_left // per_task))
-        # those of few partitions together: their fills mixed by a hash of what is in them
-        merged = kept(left.repartition(parts, F.xxhash64("ids", "pieces")).sortWithinPartitions(F.col("filled").desc(), "ids", "pieces").mapInArrow(lambda b: _pack(b, capacity), _BIN))
-        before, left = n_left, merged.where(F.col("filled") < enough)
-        done.append(merged.where(F.col("filled") >= enough))
-        n_left = left.count()
-        if parts == 1 or n_left > 0.95 * before:
-            break
+    packed = lambda df: df.mapInArrow(lambda b: _pack(b, capacity, enough, fan_in, at_once), f"{_BIN}, open boolean")
+
+    bins = kept(packed(single).withColumn("part", F.spark_partition_id()))
+    left, done = bins.where("open"), [bins.where("NOT open")]
+    parts = (left.agg(F.max("part")).first()[0] or 0) + 1
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        # a few containers of each of fan_in partitions
+        merged = kept(packed(left.repartition(parts, F.floor(F.col("part") / fan_in)).select("ids", "pieces", "sizes", "filled") if parts > 1 else left.coalesce(1).select("ids", "pieces", "sizes", "filled")).withColumn("part", F.spark_partition_id()))
+        done.append(merged.where("NOT open"))
+        left = merged.where("open")
     done.append(left)
     out = done[0]
     for d in done[1:]:

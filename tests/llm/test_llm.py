@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from dipweave.llm.mixing import mixture, shares, source_name
 from dipweave.llm.nearest_time import match_dips
-from dipweave.llm.overlaps import FEATURES, FLAGS, cut, overlapping, stream, targets_in_train
+from dipweave.llm import overlaps
+from dipweave.llm.overlaps import FEATURES, FLAGS, overlapping, targets_in_train
 from dipweave.llm.packing import best_fit, pack, pack_documents
-from dipweave.llm.splits import components, grouped_splits, quotas, same_names, subset
+from dipweave.llm.splits import choose, components, grouped_splits, quotas, reserve, same_names
 from dipweave.llm.splitting import SparseTable, cuts, split_texts, strengths
 
 CATALOG = "tic_id bigint, kic bigint"
@@ -51,22 +52,60 @@ def test_same_names(rows):
     assert got == {(min(p), max(p)) for p in itertools.combinations(star, 2)} | {("TIC 7", "tic 7")}
 
 
-def test_subset_sums():
+def test_names_linked_by_way_of_others(rows):
+    # one TIC with two KIC numbers names both stars; these are two
+    got = {tuple(r) for r in same_names(rows([("TIC 1",), ("KIC 10",), ("KIC 20",), ("kic10",)], "host_star string"), rows([(1, 10), (1, 20)], CATALOG)).collect()}
+    assert got == {("KIC 10", "TIC 1"), ("KIC 20", "TIC 1"), ("TIC 1", "kic10"), ("KIC 10", "kic10")}
+
+
+def test_nearest_totals():
     rng = random.Random(3)
-    for _ in range(60):
-        sizes = {rng.randint(1, 40): rng.randint(1, 3) for _ in range(rng.randint(1, 5))}
-        target = rng.randint(0, 120)
+    for _ in range(300):
+        sizes = {rng.randint(1, 40): rng.randint(1, 4) for _ in range(rng.randint(1, 5))}
+        target = rng.randint(0, 160)
         sums = {sum(s * n for s, n in zip(sizes, c)) for c in itertools.product(*(range(m + 1) for m in sizes.values()))}
-        got = subset(sizes, target)
+        got = choose(sizes, target)
         assert all(n <= sizes[s] for s, n in got.items())
         assert abs(sum(s * n for s, n in got.items()) - target) == min(abs(x - target) for x in sums)
-    big = {10**9: 3, 10**6 + 7: 500, 1: 10**7, 3: 10**6}
-    got = subset(big, 15 * 10**8)
-    assert abs(sum(s * n for s, n in got.items()) - 15 * 10**8) <= 3 and all(n <= big[s] for s, n in got.items())
+    big = {10**6 + 7: 500, 1: 10**7, 3: 10**6}
+    assert sum(s * n for s, n in choose(big, 15 * 10**6).items()) == 15 * 10**6
     plan = quotas({1: 1000, 7: 30, 300: 2}, {"v": 181, "t": 181})
     assert sum(s * n["v"] for s, n in plan.items()) == 181 and sum(s * n["t"] for s, n in plan.items()) == 181
 
 
+def test_totals_of_many_sizes_in_little_memory():
+    import tracemalloc
+
+    sizes = dict.fromkeys(range(1, 100_001), 1)
+    target = sum(sizes) // 10
+    tracemalloc.start()
+    got = choose(sizes, target)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(s * n for s, n in got.items()) == target and peak < 200e6
+
+
+def test_reserved_components():
+    rng = random.Random(9)
+    for _ in range(300):
+        units = [str(k) for k in range(rng.randint(3, 7))]
+        labels_of = {x: c for x in "ABCD"[: rng.randint(1, 4)] if (c := [u for u in units if rng.random() < 0.6])}
+        full = [c for c in labels_of.values() if len(c) >= 3]
+        can = any(all({a[units.index(u)] for u in c} == {0, 1, 2} for c in full) for a in itertools.product(range(3), repeat=len(units)))
+        got = reserve(labels_of, ["p", "q", "r"])
+        assert all({got.get(u) for u in c} >= {"p", "q", "r"} for c in full) == can
+
+
+def test_each_label_in_each_split(rows):
+    hosts = [("KIC 1", "AB"), ("KIC 2", "BC"), ("KIC 3", "BBB")] + [(f"KIC {k}", x * 5) for k, x in enumerate("AC" * 20, 10)]
+    data = [(n, h, x) for n, (h, x) in enumerate((h, x) for h, xs in hosts for x in xs)]
+    got = grouped_splits(rows(data, "label_id bigint, host_star string, label string"), rows([], CATALOG)).collect()
+    for x in "ABC":
+        assert {r["split"] for r in got if r["label"] == x} == {"train", "validation", "test"}
+    with pytest.raises(ValueError):
+        grouped_splits(rows([(n, "KIC 1", str(n)) for n in range(501)], "label_id bigint, host_star string, label string"), rows([], CATALOG))
+
+
 def labels(n, seed):
     rng = random.Random(seed)
     out = []
@@ -152,9 +191,27 @@ def plain_overlaps(data, star):
 
 
 def test_chunks():
-    names = stream()
-    chunks = cut(names)
-    assert sorted(sum(chunks, [])) == list(range(17)) and set(names) == set(FEATURES) - set(FLAGS) and len(chunks) < 6
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(0, 1 << 63, (500, 17), dtype=np.uint64)
+    there = rng.random((500, 17)) < 0.8
+    lengths, digests = np.zeros(500, int), [set() for _ in range(500)]
+    for rows_, digest, length in overlaps.chunks(tokens, there):
+        assert (length <= overlaps.LONGEST).all()
+        np.add.at(lengths, rows_, length)
+        for r, d in zip(rows_, digest):
+            digests[r].add(int(d))
+    assert (lengths == there.sum(axis=1)).all()
+    # content decides: without the first few tokens the later chunks are the same
+    later = there.copy()
+    later[:, :4] = False
+    again = [set() for _ in range(500)]
+    for rows_, digest, _ in overlaps.chunks(tokens, later):
+        for r, d in zip(rows_, digest):
+            again[r].add(int(d))
+    assert np.mean([len(a & d) / max(1, len(a)) for a, d in zip(again, digests)]) > 0.5
+    # six features in five groups: two of one
+    pairs = overlaps.index_groups(17, 5)
+    assert len(pairs) == 21 and all(any(i in s and j in s for i, j in pairs) for s in map(set, itertools.islice(itertools.combinations(range(17), 6), 0, None, 7)))
 
 
 @pytest.mark.parametrize("seed", [6, 7])
@@ -226,6 +283,18 @@ def test_nothing_to_pack(rows):
     assert sorted((r["doc_id"], r["piece"], r["tokens"], r["container"] is None) for r in got) == [(1, 0, 4, False), (1, 1, 2, False), (2, 0, 0, True), (3, 0, 0, True)]
 
 
+@pytest.mark.parametrize("at_once", [3, 7, 100])
+def test_packing_a_few_at_once(rows, at_once):
+    rng = random.Random(at_once)
+    data = [(k, rng.choice([rng.randint(1, 99), 60, 5])) for k in range(400)]
+    got = pack(rows(data, "doc_id bigint, tokens bigint").repartition(5), 100, fan_in=2, at_once=at_once).collect()
+    assert sorted((r["doc_id"], r["tokens"]) for r in got) == data
+    fill = {}
+    for r in got:
+        fill[r["container"]] = fill.get(r["container"], 0) + r["tokens"]
+    assert max(fill.values()) <= 100 and sum(2 * f <= 100 for f in fill.values()) <= 1
+
+
 def test_items_that_never_fit_together(rows):
     got = pack(rows([(k, 60) for k in range(50)], "doc_id bigint, tokens bigint").repartition(9), 100).collect()
     assert len({r["container"] for r in got}) == 50
