@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .config import Config, from_dict
 from .operators.calibration import completeness, recovery
-from .operators.events import candidate_rows
+from .operators.events import detect
 from .operators.matching import one_to_one
-from .operators.series import normalised, smoothed
+from .operators.series import normalised
 from .sources.truth import gate, passed, truth
 
 
@@ -40,9 +40,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = parser().parse_args(args)
     config = from_dict(json.load(open(a.config))) if a.config else Config()
     spark = spark or SparkSession.builder.appName("dipweave").getOrCreate()
-    rows = normalised(spark.read.parquet(a.readings))
+    readings = spark.read.parquet(a.readings)
     if a.command == "inject":
-        found = recovery(rows, tuple(d * 1e-6 for d in a.depths), a.per_depth, config=config, detrend=a.detrend)
+        found = recovery(normalised(readings), tuple(d * 1e-6 for d in a.depths), a.per_depth, config=config, detrend=a.detrend)
         for r in completeness(found).orderBy("depth").collect():
             print(f"{r['depth'] * 1e6:.0f} ppm: {r['detected']:.0%} detected, {r['flagged']:.0%} flagged of {r['n']}")
         return 0
@@ -52,7 +52,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         except (ValueError, OSError) as e:
             print(e, file=sys.stderr)
             return 2
-    found = candidate_rows(smoothed(rows, config, a.detrend), config)
+    found = detect(readings, config, a.detrend)
     if a.command == "run":
         (found.where("flagged") if a.flagged else found).write.mode("overwrite").json(a.out)
         return 0

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.numbers import is_finite
-from ..sources.shared import kept
+from ..sources.shared import kept, scratch
 from .kernels import compare_profiles, measure, periodogram_sums
-from .series import cadences, loose
+from .series import KEYS, cadences, flattened_twice, loose
 
 #: Readings of a bucket of places, for joining events with their readings.
 BUCKET = 512
@@ -25,45 +25,50 @@ def significance(flux: Column, baseline: Column, sigma: Column) -> Column:
 
 
 def runs(rows: DataFrame, config: Config | None = None) -> DataFrame:
-    """(series, start, end, n, cadence): merged runs of significant readings. Only those readings are shuffled.
+    """(series, start, end, start_time, end_time, n, cadence): merged runs of significant readings. Only those readings are shuffled.
 
     A run has at least min_consecutive readings in a row above the threshold; runs with at most max_gap_cadences readings between them are one.
     """
     c = (config or Config()).candidates
-    hit = rows.where(significance(F.col("flux"), F.col("baseline"), F.col("sigma")) > c.sigma_threshold).select("series", "pos", "n", "cadence")
+    hit = rows.where(significance(F.col("flux"), F.col("baseline"), F.col("sigma")) > c.sigma_threshold).select("series", "pos", "time", "n", "cadence")
     w = Window.partitionBy("series").orderBy("pos")
     islands = hit.withColumn("_island", F.col("pos") - F.row_number().over(w))
-    each = islands.groupBy("series", "_island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.max("n").alias("n"), F.max("cadence").alias("cadence")).where(F.col("end") - F.col("start") + 1 >= c.min_consecutive)
+    each = islands.groupBy("series", "_island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.max("n").alias("n"), F.max("cadence").alias("cadence")).where(F.col("end") - F.col("start") + 1 >= c.min_consecutive)
     v = Window.partitionBy("series").orderBy("start")
     apart = F.coalesce(F.col("start") - F.lag("end").over(v) - 1 > c.max_gap_cadences, F.lit(True))
-    return each.withColumn("_run", F.sum(apart.cast("int")).over(v)).groupBy("series", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("n"), F.max("cadence").alias("cadence")).drop("_run")
+    return each.withColumn("_run", F.sum(apart.cast("int")).over(v)).groupBy("series", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), F.max("n").alias("n"), F.max("cadence").alias("cadence")).drop("_run")
 
 
-def windows(rows: DataFrame, config: Config | None = None) -> DataFrame:
-    """(series, n, start, end, start_time, end_time): disjoint windows around the runs, in time order.
+def bounds(rows: DataFrame, config: Config | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(series, n, start, end): disjoint windows around the runs, in time order; found: the runs, if they are known already.
 
     Runs entirely within the edge margin go. A run grows on each side until the significance is no more than recovery_sigma or the time is more than half the
     longest window from that of its middle reading; it never shrinks. A window begins after the end of the one before; one with nothing left goes.
     """
     c = (config or Config()).candidates
     margin = cadences(c.edge_margin_days, F.coalesce(F.col("cadence"), F.lit(1.0)))
-    inner = runs(rows, config).where((F.col("end") >= margin) & (F.col("start") <= F.col("n") - 1 - margin))
+    inner = (runs(rows, config) if found is None else found).where((F.col("end") >= margin) & (F.col("start") <= F.col("n") - 1 - margin))
     half = c.max_window_days / 2
     slot = lambda t: F.floor(t / c.max_window_days)
-    mid = F.floor((F.col("start") + F.col("end")) / 2)
-    timed = inner.withColumn("mid", mid).join(rows.select("series", F.col("pos").alias("mid"), F.col("time").alias("center")), ["series", "mid"])
-    near = timed.select("series", "start", "end", "n", "center", F.explode(F.array_distinct(F.array(slot(F.col("center") - half), slot(F.col("center") + half)))).alias("slot"))
+    # the middle reading is somewhere in the run, so what is near it is near the run
+    near = inner.select("series", "start", "end", "n", F.explode(F.sequence(slot(F.col("start_time") - half), slot(F.col("end_time") + half))).alias("slot"))
     sig = significance(F.col("flux"), F.col("baseline"), F.col("sigma"))
-    around = near.join(rows.select("series", slot(F.col("time")).alias("slot"), "pos", "time", (sig <= c.recovery_sigma).alias("low")), ["series", "slot"]).where(F.abs(F.col("time") - F.col("center")) <= half)
+    around = near.join(rows.select("series", slot(F.col("time")).alias("slot"), "pos", "time", (sig <= c.recovery_sigma).alias("low")), ["series", "slot"])
+    mid = F.floor((F.col("start") + F.col("end")) / 2)
+    around = around.withColumn("center", F.max(F.when(F.col("pos") == mid, F.col("time"))).over(Window.partitionBy("series", "start"))).where(F.abs(F.col("time") - F.col("center")) <= half)
     pos, stop = F.col("pos"), F.coalesce(F.col("low"), F.lit(True))
     left, right = pos < F.col("start"), pos > F.col("end")
-    grown = around.groupBy("series", "start", "end").agg(
-        F.max("n").alias("n"), F.max(F.when(left & stop, pos)).alias("_lstop"), F.min(F.when(left, pos)).alias("_lmin"), F.min(F.when(right & stop, pos)).alias("_rstop"), F.max(F.when(right, pos)).alias("_rmax"),
+    grown = around.groupBy("series", "start").agg(
+        F.max("n").alias("n"), F.max("end").alias("end"), F.max(F.when(left & stop, pos)).alias("_lstop"), F.min(F.when(left, pos)).alias("_lmin"), F.min(F.when(right & stop, pos)).alias("_rstop"), F.max(F.when(right, pos)).alias("_rmax"),
     ).select("series", "n", F.coalesce(F.col("_lstop") + 1, "_lmin", "start").alias("a"), F.coalesce(F.col("_rstop") - 1, "_rmax", "end").alias("b"), F.col("start").alias("run"))
     before = F.coalesce(F.max("b").over(Window.partitionBy("series").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    apart = grown.withColumn("a", F.greatest("a", before + 1)).where("a <= b")
-    at = rows.select("series", "pos", "time")
-    return apart.join(at.select("series", F.col("pos").alias("a"), F.col("time").alias("start_time")), ["series", "a"]).join(at.select("series", F.col("pos").alias("b"), F.col("time").alias("end_time")), ["series", "b"]).select("series", "n", F.col("a").alias("start"), F.col("b").alias("end"), "start_time", "end_time")
+    return grown.withColumn("a", F.greatest("a", before + 1)).where("a <= b").select("series", "n", F.col("a").alias("start"), F.col("b").alias("end"))
+
+
+def windows(rows: DataFrame, config: Config | None = None) -> DataFrame:
+    """(series, n, start, end, start_time, end_time): the windows of bounds() with the times of their first and last reading."""
+    ends = bounds(rows, config).withColumn("pos", F.explode(F.array_distinct(F.array("start", "end"))))
+    return ends.join(rows.select("series", "pos", "time"), ["series", "pos"]).groupBy("series", "start", "end").agg(F.max("n").alias("n"), F.min("time").alias("start_time"), F.max("time").alias("end_time")).select("series", "n", "start", "end", "start_time", "end_time")
 
 
 def with_readings(found: DataFrame, rows: DataFrame, padding: float) -> DataFrame:
@@ -79,27 +84,28 @@ GEOMETRY = "t_min double, f_min double, depth double, ingress_duration_days doub
 SCORES = "delta_bic double, tau_over_sigma double, a_dur_sigma double"
 
 
-def measured(rows: DataFrame, config: Config | None = None, score: bool = True, near: DataFrame | None = None, tolerance: float = 0.5) -> DataFrame:
+def measured(rows: DataFrame, config: Config | None = None, score: bool = True, near: DataFrame | None = None, tolerance: float = 0.5, found: DataFrame | None = None) -> DataFrame:
     """Windows with their geometry and, with score, the comparison of profiles and the bootstrap error of a_dur; NULL is what couldn't be measured.
 
-    With near (series, at), one row per series, only events whose minimum is within the tolerance of that time are scored and returned.
+    found: the runs, if they are known already. With near (series, at), one row per series, only events whose minimum is within the tolerance of that time are scored and returned.
 
     Each event is one group of at most 1 + 2 search_padding_factor times its window's readings, which max_window_days bounds. The random draws of an event depend on the seed and on its
     place only, not on the order of events.
     """
     c = config or Config()
     a, s, seed = c.asymmetry, c.scoring, c.runtime.rng_seed
-    found = windows(rows, c)
-    found = found.withColumn("at", F.lit(None).cast("double")) if near is None else found.join(near.select("series", "at"), "series")
-    data = with_readings(kept(found), rows, a.search_padding_factor)
+    wins = bounds(rows, c, found)
+    wins = wins.withColumn("at", F.lit(None).cast("double")) if near is None else wins.join(near.select("series", "at"), "series")
+    data = with_readings(wins, rows, a.search_padding_factor)
     kind = rows.schema["series"].dataType.simpleString()
     names = [x.split()[0] for x in (GEOMETRY + ", " + SCORES).split(", ")]
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")
-        v = {k: t[k][0].as_py() for k in ("n", "start", "end", "start_time", "end_time")}
+        v = {k: t[k][0].as_py() for k in ("n", "start", "end")}
         pos, time, flux, err, base = (t[k].to_numpy() for k in ("pos", "time", "flux", "flux_err", "baseline"))
         window = (int(v["start"] - pos[0]), int(v["end"] - pos[0]))
+        v |= {"start_time": float(time[window[0]]), "end_time": float(time[window[1]])}
         level = float(np.median(base[window[0] : window[1] + 1]))
         args = (level, window, (0, len(pos) - 1), a.half_depth_fraction, a.min_points_per_side)
         m = {k: x[0] for k, x in measure(time, flux[None, :], *args).items()}
@@ -123,7 +129,9 @@ def measured(rows: DataFrame, config: Config | None = None, score: bool = True,
         row = pa.table({"series": t["series"].slice(0, 1).cast(loose(t["series"].type)), **{k: pa.array([x], pa.float64() if "time" in k else pa.int64()) for k, x in v.items()}, **{k: pa.array([None if got.get(k) is None or got[k] != got[k] else float(got[k])], pa.float64()) for k in names}})
         return row if near_enough else row.slice(0, 0)
 
-    return data.groupBy("series", "start").applyInArrow(one, f"series {kind}, n bigint, start bigint, end bigint, start_time double, end_time double, {GEOMETRY}, {SCORES}")
+    # an event costs time, not space, so its task isn't merged with others for being small
+    spread = data.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series", "start")
+    return spread.groupBy("series", "start").applyInArrow(one, f"series {kind}, n bigint, start bigint, end bigint, start_time double, end_time double, {GEOMETRY}, {SCORES}")
 
 
 def periodicity(rows: DataFrame, config: Config | None = None) -> DataFrame:
@@ -133,10 +141,10 @@ def periodicity(rows: DataFrame, config: Config | None = None) -> DataFrame:
     period; standard normalisation; Baluev's bound on the probability, for frequencies up to five times the mean Nyquist frequency. A series with fewer than 10 readings or no extent has no period.
     """
     s = (config or Config()).scoring
-    weight = F.when(F.col("flux_err") > 0, 1 / F.col("flux_err") ** 2).otherwise(F.lit(1.0))
-    stats = rows.groupBy("series").agg(F.count("*").alias("n"), F.min("time").alias("t0"), (F.max("time") - F.min("time")).alias("extent"), F.var_pop("time").alias("spread"), F.sum(weight).alias("w"), F.sum(weight * F.col("flux")).alias("wy"))
-    long = stats.where("n >= 10 AND extent > 0").select("series", "n", "t0", "extent", "spread", "w", (F.col("wy") / F.col("w")).alias("mean"))
-    data = rows.join(rows.select("series", "block").distinct().join(long.select("series", "t0", "extent", "mean"), "series"), ["series", "block"]).select("series", "block", (F.col("time") - F.col("t0")).alias("t"), (F.col("flux") - F.col("mean")).alias("y"), weight.alias("weight"), "extent")
+    weight = F.expr("CASE WHEN flux_err > 0 THEN 1 / (flux_err * flux_err) ELSE 1.0D END")
+    stats = rows.withColumn("weight", weight).groupBy("series").agg(F.count("*").alias("n"), F.min("time").alias("t0"), F.expr("max(time) - min(time)").alias("extent"), F.var_pop("time").alias("spread"), F.sum("weight").alias("w"), F.expr("sum(weight * flux)").alias("wy"))
+    long = stats.where("n >= 10 AND extent > 0")
+    data = rows.select("series", "block", "time", "flux", weight.alias("weight")).join(rows.select("series", "block").distinct().join(long.selectExpr("series", "t0", "extent", "wy / w AS mean", "w"), "series"), ["series", "block"]).selectExpr("series", "block", "time - t0 AS t", "flux - mean AS y", "weight / w AS weight", "extent")
     low, high = 1 / s.periodicity_max_period_days, 1 / s.periodicity_min_period_days
     kind = rows.schema["series"].dataType.simpleString()
 
@@ -145,35 +153,25 @@ def periodicity(rows: DataFrame, config: Config | None = None) -> DataFrame:
         f = low + step * np.arange(1 + int(round((high - low) / step)))
         x, y, w = (t[k].to_numpy() for k in ("t", "y", "weight"))
         out = periodogram_sums(x, y, w, low, step, len(f))
-        return pa.table({"series": pa.array([t["series"][0].as_py()] * len(f), loose(t["series"].type)), "frequency": f, "k": np.arange(len(f)), **{c: out[k] for k, c in enumerate(("c", "s", "yc", "ys", "cc", "cs"))}, "yy": np.full(len(f), float((w * y * y).sum()))})
+        return pa.table({"series": t["series"].slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(f), np.int64))).cast(loose(t["series"].type)), "frequency": f, "k": np.arange(len(f)), **{c: out[k] for k, c in enumerate(("c", "s", "yc", "ys", "cc", "cs"))}, "yy": np.full(len(f), float((w * y * y).sum()))})
 
     parts = data.groupBy("series", "block").applyInArrow(sums, f"series {kind}, frequency double, k bigint, c double, s double, yc double, ys double, cc double, cs double, yy double")
     total = parts.groupBy("series", "k").agg(F.max("frequency").alias("frequency"), *(F.sum(c).alias(c) for c in ("c", "s", "yc", "ys", "cc", "cs", "yy")))
-    x = total.join(long.select("series", "n", "spread", "w"), "series")
-    c, sn = F.col("c") / F.col("w"), F.col("s") / F.col("w")
-    yc, ys, yy = F.col("yc") / F.col("w"), F.col("ys") / F.col("w"), F.col("yy") / F.col("w")
-    cc, cs = F.col("cc") / F.col("w") - c * c, F.col("cs") / F.col("w") - c * sn
-    ss = 1 - F.col("cc") / F.col("w") - sn * sn
-    d = cc * ss - cs * cs
-    power = F.when((d > 0) & (yy > 0), (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * d))
-    best = x.withColumn("power", F.least(power, F.lit(1.0))).groupBy("series").agg(F.max(F.struct("power", -F.col("k"), "frequency")).alias("b"), F.first("n").alias("n"), F.first("spread").alias("spread"))
-    z, n = F.col("b.power"), F.col("n")
-    extent = long.select("series", "extent")
-    joined = best.join(extent, "series")
-    top = 5 * 0.5 * n / F.col("extent")
-    gamma = F.sqrt(2 / (n - 1)) * F.exp(_log_gamma((n - 1) / 2) - _log_gamma((n - 2) / 2))
-    tau = gamma * top * F.sqrt(4 * math.pi * F.col("spread")) * F.pow(1 - z, 0.5 * (n - 4)) * F.sqrt(0.5 * (n - 1) * z)
-    false_alarm = 1 - (1 - F.pow(1 - z, 0.5 * (n - 3))) * F.exp(-tau)
-    return stats.select("series").join(joined.select("series", (F.coalesce(false_alarm, F.lit(1.0)) < s.periodicity_fap_threshold).alias("periodic"), (1 / F.col("b.frequency")).alias("period_days")), "series", "left").select("series", F.coalesce("periodic", F.lit(False)).alias("periodic"), "period_days")
-
-
-def _log_gamma(x: Column) -> Column:
-    """Stirling's series, shifted so that it holds to 1e-10 from 1 on."""
-    y = x + 7
-    log = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
-    for k in range(7):
-        log = log - F.log(x + k)
-    return log
+    x = total.selectExpr("series", "k", "frequency", "yc", "ys", "yy", "cc - c * c AS cc", "cs - c * s AS cs", "1 - cc - s * s AS ss").selectExpr("*", "cc * ss - cs * cs AS d")
+    power = F.expr("least(CASE WHEN d > 0 AND yy > 0 THEN (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * d) END, 1.0D)")
+    best = x.groupBy("series").agg(F.max(F.struct(power.alias("power"), -F.col("k"), "frequency")).alias("b"))
+    joined = stats.select("series", "n", "extent", "spread").join(best.selectExpr("series", "b.power AS z", "b.frequency AS frequency"), "series", "left")
+    top, gamma = "5 * 0.5 * n / extent", f"sqrt(2 / (n - 1)) * exp({_log_gamma('(n - 1) / 2')} - ({_log_gamma('(n - 2) / 2')}))"
+    tau = f"{gamma} * {top} * sqrt(4 * pi() * spread) * pow(1 - z, 0.5 * (n - 4)) * sqrt(0.5 * (n - 1) * z)"
+    false_alarm = F.expr(f"CASE WHEN z IS NOT NULL THEN 1 - (1 - pow(1 - z, 0.5 * (n - 3))) * exp(-({tau})) END")
+    return joined.select("series", F.coalesce(F.coalesce(false_alarm, F.lit(1.0)) < s.periodicity_fap_threshold, F.lit(False)).alias("periodic"), F.expr("1 / frequency").alias("period_days"))
+
+
+def _log_gamma(x: str) -> str:
+    """SQL of Stirling's series, shifted so that it holds to 1e-10 from 1 on."""
+    y = f"({x} + 7.0D)"
+    log = f"({y} - 0.5D) * ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}D + 1 / (12 * {y}) - 1 / (360 * pow({y}, 3)) + 1 / (1260 * pow({y}, 5))"
+    return log + "".join(f" - ln({x} + {k}.0D)" for k in range(7))
 
 
 def flagged(delta_bic: Column, tau_over_sigma: Column, config: Config | None = None) -> Column:
@@ -188,9 +186,9 @@ def strength() -> Column:
     return F.when(sigma.isNull(), 0.0).when(sigma <= 0, F.when(a != 0, F.lit(float("inf"))).otherwise(F.lit(0.0))).otherwise(F.abs(a) / sigma)
 
 
-def candidate_rows(rows: DataFrame, config: Config | None = None) -> DataFrame:
+def candidate_rows(rows: DataFrame, config: Config | None = None, found: DataFrame | None = None) -> DataFrame:
     """The output relation: one row for each event with its 18 columns, series' keys in front. The periodogram is worked out only for series with events."""
-    events = kept(measured(rows, config))
+    events = kept(measured(rows, config, found=found))
     with_events = rows.join(events.select("series").distinct(), "series", "left_semi")
     all_columns = events.join(periodicity(with_events, config), "series", "left")
     a = F.col("a_dur")
@@ -199,3 +197,12 @@ def candidate_rows(rows: DataFrame, config: Config | None = None) -> DataFrame:
         strength().alias("significance"), "delta_bic", "tau_over_sigma", F.coalesce((F.signum(a) == F.signum("a_slope")) & (a != 0), F.lit(False)).alias("signs_agree"), flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config).alias("flagged"),
         F.coalesce("periodic", F.lit(False)).alias("periodic"), "period_days", F.lit("candidate").alias("vetting_status"), F.lit("").alias("vetting_reasons"), (F.col("end") - F.col("start") + 1).alias("n_points_in_window"), "ingress_slope", "ingress_slope_err", "egress_slope", "egress_slope_err",
     )
+
+
+def detect(readings: DataFrame, config: Config | None = None, detrend: str = "savgol", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """candidate_rows of raw readings, in two rounds: the first finds the runs, the second goes back only to series that have some, whose flattened readings are written once and go at the end."""
+    with scratch(readings.sparkSession) as keep:
+        flat, only = flattened_twice(readings, config, detrend, keys)
+        found = keep(runs(flat, config))
+        own = keep(only(found))
+        return kept(candidate_rows(own, config, found))

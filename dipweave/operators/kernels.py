@@ -47,12 +47,34 @@ def spline_trend(t: np.ndarray, x: np.ndarray, knots: np.ndarray) -> np.ndarray:
             values[:, k] = saved + right * share
             saved = left * share
         values[:, d] = saved
-    m = len(full) - 4
-    design = np.zeros((len(t), m))
-    np.put_along_axis(design, (span - 3)[:, None] + np.arange(4), values, axis=1)
-    normal = design.T @ design
-    normal[np.arange(m), np.arange(m)] += 1e-12 * max(1.0, normal.max())  # knots without readings between them
-    return design @ np.linalg.solve(normal, design.T @ x)
+    m, at = len(full) - 4, span - 3
+    # the normal equations have four diagonals on either side of the main one at most
+    band = np.zeros((4, m))
+    for j in range(4):
+        for k in range(j + 1):
+            band[j - k] += np.bincount(at + k, values[:, j] * values[:, k], m)
+    right = sum(np.bincount(at + k, values[:, k] * x, m) for k in range(4))
+    band[0] += 1e-12 * max(1.0, band[0].max())  # knots without readings between them
+    factors = solve_banded(band, right)
+    return sum(values[:, k] * factors[at + k] for k in range(4))
+
+
+def solve_banded(band: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solves a symmetric positive system given by its main diagonal and those below it: band[d, j] stands at row j + d, column j."""
+    reach, m = len(band) - 1, band.shape[1]
+    low, y = band.copy(), right.astype(float).copy()
+    for j in range(m):
+        low[0, j] = math.sqrt(max(low[0, j], 1e-300))
+        n = min(reach, m - 1 - j)
+        low[1 : n + 1, j] /= low[0, j]
+        for d in range(1, n + 1):
+            low[: n + 1 - d, j + d] -= low[d, j] * low[d : n + 1, j]
+        y[j] /= low[0, j]
+        y[j + 1 : j + n + 1] -= low[1 : n + 1, j] * y[j]
+    for j in range(m - 1, -1, -1):
+        n = min(reach, m - 1 - j)
+        y[j] = (y[j] - low[1 : n + 1, j] @ y[j + 1 : j + n + 1]) / low[0, j]
+    return y
 
 
 def measure(t: np.ndarray, flux: np.ndarray, level: float, window: tuple[int, int], bounds: tuple[int, int], half: float, least: int) -> dict[str, np.ndarray]:

@@ -20,11 +20,11 @@ def _rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _plain(spark: SparkSession, folder: str) -> DataFrame:
-    return se.smoothed(_rows(spark, folder), detrend="none")
+    return se.flattened(table(spark, folder, "light_curves"), detrend="none")
 
 
 def _detrended(spark: SparkSession, folder: str) -> DataFrame:
-    return se.smoothed(_rows(spark, folder))
+    return se.flattened(table(spark, folder, "light_curves"))
 
 
 def _digits(c, n: int = 9):
@@ -131,11 +131,11 @@ def detrend_savgol(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detrend_spline(spark: SparkSession, folder: str) -> DataFrame:
-    return se.smoothed(_rows(spark, folder), detrend="spline").select("series.*", "pos", "time", "flux", "trend")
+    return se.flattened(table(spark, folder, "light_curves"), detrend="spline").select("series.*", "pos", "time", "flux", "trend")
 
 
 def detect_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.candidate_rows(_detrended(spark, folder))
+    return ev.detect(table(spark, folder, "light_curves"))
 
 
 def periodicity(spark: SparkSession, folder: str) -> DataFrame:
