@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
@@ -57,9 +57,8 @@ def _usable(readings: DataFrame, keys: tuple[str, ...], bounds: tuple[float, flo
 def _long(rows: DataFrame) -> DataFrame | None:
     """(series, part): the blocks by idx of series that don't fit one block, or whose readings can't be told by idx; None if there is no such series. A small job over the keys."""
     each = rows.groupBy("series").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-    there = Observation()
-    found = kept(each.where((F.col("n") > 2 * BLOCK) | (F.col("low") != 0) | (F.col("high") != 0)).observe(there, F.count("*").alias("n")).select("series", F.explode(F.sequence("low", "high")).alias("part")))
-    return found if there.get["n"] else None
+    found = kept(each.where((F.col("n") > 2 * BLOCK) | (F.col("low") != 0) | (F.col("high") != 0)).select("series", F.explode(F.sequence("low", "high")).alias("part")))
+    return found if found.head(1) else None
 
 
 def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
