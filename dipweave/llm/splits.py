@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from functools import cache
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stars import catalog_links, designation, star_keys
@@ -38,9 +38,9 @@ def components(edges: DataFrame) -> DataFrame:
             # hooking: the node's parent and the node itself move under it; shortcutting: the node moves under its grandparent
             moves = seen.select(F.explode(F.array(F.struct(F.col("parent").alias("node"), F.col("least").alias("parent")), F.struct("node", F.least("least", "grand", "parent").alias("parent")))).alias("m")).select("m.*")
             new = moves.groupBy("node").agg(F.min("parent").alias("new"))
-            moved = Observation()
-            parents = keep(parents.join(new, "node").observe(moved, F.count_if(F.col("new") < F.col("parent")).alias("n")).select("node", F.least("parent", "new").alias("parent")))
-            if not moved.get["n"]:
+            changed = keep(parents.join(new, "node").select("node", F.least("parent", "new").alias("parent"), (F.col("new") < F.col("parent")).alias("moved")))
+            parents = changed.select("node", "parent")
+            if not changed.where("moved").head(1):
                 return kept(parents.select("node", F.col("parent").alias("component")))
 
 
