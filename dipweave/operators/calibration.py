@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.numbers import finite, is_finite, known
+from ..functions.stars import designation
 from .events import candidate_rows, flagged, measured, strength
 from .training import FEATURES, features
 from .medians import exact_median
@@ -113,6 +114,11 @@ def completeness(results: DataFrame, by: str = "depth") -> DataFrame:
     return results.groupBy(by).agg(F.count("*").alias("n"), F.avg(F.col("detected").cast("double")).alias("detected"), F.avg(F.col("flagged").cast("double")).alias("flagged"))
 
 
+def overall(results: DataFrame) -> DataFrame:
+    """The number of injections and the fractions detected and flagged over all depths."""
+    return results.agg(F.count("*").alias("n"), F.avg(F.col("detected").cast("double")).alias("detected"), F.avg(F.col("flagged").cast("double")).alias("flagged"))
+
+
 def detection_floor(by_depth: DataFrame, target: float = 0.5, by: str = "depth") -> DataFrame:
     """The smallest depth whose flagged fraction reaches the target; NULL if none does."""
     return by_depth.agg(F.min(F.when(F.col("flagged") >= target, F.col(by))).alias("floor"))
@@ -136,9 +142,10 @@ def clean_labels(labels: DataFrame, keep_unmeasured: bool = False) -> DataFrame:
 
 
 def coverage(hosts: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host_star, place, n_rows) of a list of hosts: order by (n_rows, place) for the least covered first."""
-    counts = labels.groupBy("host_star").agg(F.count("*").alias("n_rows"))
-    return hosts.join(counts, "host_star", "left").select("host_star", "place", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+    """(host_star, place, n_rows) of a list of hosts: order by (n_rows, place) for the least covered first. Spelling doesn't matter; a host that is no designation is compared as it is."""
+    name = F.coalesce(designation(F.col("host_star")), F.col("host_star")).alias("_name")
+    counts = labels.groupBy(name).agg(F.count("*").alias("n_rows"))
+    return hosts.select("host_star", "place", name).join(counts, "_name", "left").select("host_star", "place", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 def ratio_summary(rows: DataFrame, key: str, ratio: Column) -> DataFrame:

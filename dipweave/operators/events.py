@@ -81,7 +81,7 @@ def with_readings(found: DataFrame, rows: DataFrame, padding: float) -> DataFram
 
 
 GEOMETRY = "t_min double, f_min double, depth double, ingress_duration_days double, ingress_slope double, ingress_slope_err double, egress_duration_days double, egress_slope double, egress_slope_err double, a_dur double, a_slope double"
-SCORES = "delta_bic double, tau_over_sigma double, a_dur_sigma double"
+SCORES = "delta_bic double, tau_over_sigma double, fitted_depth double, a_dur_sigma double"
 
 
 def measured(rows: DataFrame, config: Config | None = None, score: bool = True, near: DataFrame | None = None, tolerance: float = 0.5, found: DataFrame | None = None) -> DataFrame:

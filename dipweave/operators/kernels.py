@@ -182,20 +182,21 @@ def bounded_fit(model, t: np.ndarray, y: np.ndarray, err: np.ndarray, start: lis
 
 
 def compare_profiles(t: np.ndarray, y: np.ndarray, err: np.ndarray, t_min: float, depth: float, level: float, begin: float, end: float, widen: float = 0.25) -> dict[str, float]:
-    """Both profiles fitted to one event over its window, widened by a part of it on either side: delta_bic (how much the tailed dip is preferred; -inf if a fit failed) and tau_over_sigma; NaN with fewer than 8 readings."""
+    """Both profiles fitted to one event over its window, widened by a part of it on either side: delta_bic (how much the tailed dip is preferred; -inf if a fit failed), tau_over_sigma and the depth of the tailed dip; NaN with fewer than 8 readings."""
     span = max(end - begin, 1e-6)
     lo, hi = begin - widen * span, end + widen * span
     within = (t >= lo) & (t <= hi)
     t, y, err = t[within], y[within], err[within]
     if len(t) < 8:
-        return {"delta_bic": math.nan, "tau_over_sigma": math.nan}
+        return {"delta_bic": math.nan, "tau_over_sigma": math.nan, "fitted_depth": math.nan}
     err = np.where(err > 0, err, 1.0)
+    # fixed values: where the fits start, and how far the parameters may go
     d, w = max(depth, 1e-9), max(span / 4, 10 * MIN_WIDTH)
     levels = (level - 10 * d, level + 10 * d)
     a, chi_a, ok_a = bounded_fit(dip, t, y, err, [t_min, d, w, level], [lo, 0, MIN_WIDTH, levels[0]], [hi, 10 * d, span, levels[1]])
     b, chi_b, ok_b = bounded_fit(tailed_dip, t, y, err, [t_min, d, w, w, level], [lo, 0, MIN_WIDTH, MIN_WIDTH, levels[0]], [hi, 10 * d, span, 10 * span, levels[1]])
     delta = chi_a + 4 * math.log(len(t)) - chi_b - 5 * math.log(len(t)) if ok_a and ok_b else -math.inf
-    return {"delta_bic": delta if math.isfinite(delta) else -math.inf, "tau_over_sigma": float(b[3] / b[2]) if b[2] > 0 else math.nan}
+    return {"delta_bic": delta if math.isfinite(delta) else -math.inf, "tau_over_sigma": float(b[3] / b[2]) if b[2] > 0 else math.nan, "fitted_depth": float(b[1]) if ok_b else math.nan}
 
 
 def periodogram_sums(t: np.ndarray, y: np.ndarray, weight: np.ndarray, low: float, step: float, count: int, width: int = 32) -> np.ndarray:

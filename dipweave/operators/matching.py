@@ -113,7 +113,11 @@ def control_stars(targets: DataFrame, catalog: DataFrame, radii: tuple[float, ..
     wanted = targets.select("tic_id").where("tic_id IS NOT NULL").distinct()
     centers = stars.join(wanted, "tic_id").select(F.col("tic_id").alias("target"), F.col("ra_deg").alias("c_ra"), F.col("dec_deg").alias("c_dec"), F.col("tmag").alias("c_mag"), F.col("distance").alias("c_distance"))
     others = stars.join(wanted, "tic_id", "left_anti").select("tic_id", "ra_deg", "dec_deg", "tmag", "distance")
-    near = within_radius(centers, others, radii[-1]).withColumn("dmag", F.round(F.abs(F.col("tmag") - F.col("c_mag")), 9)).where(F.col("dmag") <= magnitudes)
-    alike = near.where(F.coalesce(F.abs(F.col("distance") - F.col("c_distance")) <= distances * F.col("c_distance"), F.lit(True)))
-    rung = F.coalesce(*(F.when(F.col("sep") <= r, F.lit(r)) for r in radii))
-    return alike.groupBy("target").agg(F.min(F.struct(rung.alias("radius"), "dmag", "sep", "tic_id")).alias("m")).select(F.col("target").alias("tic_id"), F.col("m.tic_id").alias("control_id"), "m.radius", "m.dmag", "m.sep")
+    answers = None
+    for r in radii:  # only targets that have none yet look farther
+        near = within_radius(centers, others, r).withColumn("dmag", F.round(F.abs(F.col("tmag") - F.col("c_mag")), 9)).where(F.col("dmag") <= magnitudes)
+        alike = near.where(F.coalesce(F.abs(F.col("distance") - F.col("c_distance")) <= distances * F.col("c_distance"), F.lit(True)))
+        got = kept(alike.groupBy("target").agg(F.min(F.struct("dmag", "sep", "tic_id")).alias("m")).select(F.col("target").alias("tic_id"), F.col("m.tic_id").alias("control_id"), F.lit(float(r)).alias("radius"), "m.dmag", "m.sep"))
+        answers = got if answers is None else answers.unionByName(got)
+        centers = centers.join(got.select(F.col("tic_id").alias("target")), "target", "left_anti")
+    return answers

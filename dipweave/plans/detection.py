@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Config, Scoring
 from ..operators import calibration as cal
 from ..operators import events as ev
 from ..operators import series as se
 from ..operators.training import FEATURES, features
-from ..sources.shared import kept
+from ..sources.shared import kept, scratch
 from ..sources.tables import table
 
 KEYS = list(se.KEYS)
@@ -116,14 +117,18 @@ def baseline_sweep(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def depth_five_ways(spark: SparkSession, folder: str) -> DataFrame:
-    """Depth of each event against the local level and against its flanks, with the trend divided out and with it left in."""
-    out = None
-    for name, r in (("detrended", _detrended(spark, folder)), ("raw", _plain(spark, folder))):
-        e = kept(ev.measured(r, score=False))
-        flat = cal.flank_levels(r, e.select("series", F.col("start").alias("event"), "t_min", (F.col("end_time") - F.col("start_time")).alias("duration_days")))
-        part = e.join(flat.select("series", F.col("event").alias("start"), F.col("level").alias("flank")), ["series", "start"], "left").select("series.*", F.lit(name).alias("flux"), F.round("t_min", 6).alias("t_min"), (F.col("depth") * 1e6).alias("current_ppm"), ((F.col("flank") - F.col("f_min")) * 1e6).alias("flank_ppm"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Depths in ppm of the events of the detrended flux: against the local level, against the flanks (h1), of the fitted profile (h2), and both of the first two on the same window of the flux that still has its trend (h3, h1h3)."""
+    readings = table(spark, folder, "light_curves")
+    with scratch(spark) as keep:
+        flat = keep(se.flattened(readings))
+        e = keep(ev.measured(flat, Config(scoring=Scoring(bootstrap_draws=0))).withColumn("duration_days", F.col("end_time") - F.col("start_time")))
+        raw = se.flattened(readings, detrend="none")
+        spots = e.select("series", F.col("start").alias("event"), "t_min", "duration_days")
+        level = lambda rows, name: cal.flank_levels(rows, spots).select("series", F.col("event").alias("start"), F.col("level").alias(name))
+        inside = ev.with_readings(e.select("series", "n", "start", "end"), raw, 0.0).groupBy("series", "start").agg(F.percentile("baseline", 0.5).alias("raw_level"), F.min("flux").alias("raw_min"))
+        all_ways = e.join(level(flat, "flank"), ["series", "start"], "left").join(level(raw, "raw_flank"), ["series", "start"], "left").join(inside, ["series", "start"])
+        ppm = {"current": "depth", "h1": "flank - f_min", "h2": "fitted_depth", "h3": "raw_level - raw_min", "h1h3": "raw_flank - raw_min"}
+        return kept(all_ways.select("series.*", F.round("t_min", 6).alias("t_min"), *(F.expr(f"({x}) * 1e6D").alias(f"{k}_ppm") for k, x in ppm.items())))
 
 
 def detrend_savgol(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import calibration as cal
 from ..operators import ledger as le
 from ..operators import matching as ma
 from ..operators import training as tr
+from ..operators.hold_out import without_held_out
 from ..operators.medians import exact_quantile
 from ..sources.shared import new_folder
 from ..sources.tables import table
@@ -161,10 +162,36 @@ def impute_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def train_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Out-of-fold scores of labelled rows by a forest of 200 trees, and whether they exceed the threshold for 1 % false positives."""
-    scored, threshold = tr.out_of_fold(table(spark, folder, "training_labels"))
+    scored, threshold = tr.out_of_fold(table(spark, folder, "training_labels"), table(spark, folder, "tic_catalog"))
     return scored.select("label_id", "label", "score", "calibrated", (F.col("score") >= threshold).alias("accepted"))
 
 
+def classifier_completeness(spark: SparkSession, folder: str) -> DataFrame:
+    """By injected depth, the part of the dips that the classifier takes for dips."""
+    return tr.completeness_by_depth(*tr.out_of_fold(table(spark, folder, "training_labels"), table(spark, folder, "tic_catalog")))
+
+
+def classifier_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows and folds of each star that the classifier is trained on."""
+    return tr.folded(table(spark, folder, "training_labels"), table(spark, folder, "tic_catalog")).groupBy("star").agg(F.count("*").alias("n_rows"), F.countDistinct("fold").alias("n_folds"))
+
+
+def backtest_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored candidates scored by a forest over all labelled rows; features that candidates don't have take the training medians."""
+    labels, c = table(spark, folder, "training_labels"), table(spark, folder, "candidates")
+    latest = c.groupBy("candidate_id").agg(F.max(F.struct("found_at", *(x for x in c.columns if x not in ("candidate_id", "found_at")))).alias("c")).select("candidate_id", "c.*")
+    made = {"log_depth_ppm": tr.safe_log(F.col("depth_ppm")), "abs_a_dur": F.abs("a_dur"), "log_tau_over_sigma": tr.safe_log(F.col("tau_over_sigma"))}
+    features = latest.select("candidate_id", *(made.get(f, F.col(f) if f in c.columns else F.lit(None)).cast("double").alias(f) for f in tr.FEATURES))
+    model, medians = tr.train(labels)
+    return tr.backtest(model, features, medians, 0.5).select("candidate_id", "score", "accepted")
+
+
+def training_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows without those of stars of the validation list."""
+    labels, held, catalog = (table(spark, folder, t) for t in ("training_labels", "validation_targets", "tic_catalog"))
+    return without_held_out(labels, held.select("target_id"), catalog).select("label_id", "host_star", "label")
+
+
 def slugify(spark: SparkSession, folder: str) -> DataFrame:
     names = table(spark, folder, "candidates").select("target_id").distinct()
     return names.select("target_id", text.slug(F.col("target_id")).alias("slug"), text.file_name(F.col("target_id")).alias("file"), text.kic_number(F.col("target_id")).alias("kic"), text.last_number(F.col("target_id")).alias("last"))
@@ -233,6 +260,7 @@ def new_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _NAME = r"CASE WHEN regexp_matches(upper({0}), '^[\s_\-]*(KIC|EPIC|TIC)[\s_\-]*0*([0-9]+)[\s_\-]*$') THEN regexp_extract(upper({0}), '^[\s_\-]*(KIC|EPIC|TIC)[\s_\-]*0*([0-9]+)[\s_\-]*$', 1) || ' ' || regexp_extract(upper({0}), '^[\s_\-]*(KIC|EPIC|TIC)[\s_\-]*0*([0-9]+)[\s_\-]*$', 2) END"
+_NAME_OR = "coalesce(" + _NAME + ", {0})"
 _LINK = "link AS (SELECT DISTINCT 'TIC ' || tic_id AS name, 'KIC ' || kic AS star FROM tic_catalog WHERE tic_id IS NOT NULL AND kic IS NOT NULL)"
 _LATEST = "cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY found_at DESC) AS rn FROM candidates) WHERE rn = 1)"
 _MATCH = f"""
@@ -244,6 +272,14 @@ c AS (SELECT c0.*, coalesce(star, c0.name) AS star FROM c0 LEFT JOIN link ON c0.
 pairs AS (SELECT DISTINCT dip_id, candidate_id, dt, t, round(abs(dt - t), 9) AS off, depth, sig, dur FROM d JOIN c ON d.star = c.star WHERE round(abs(dt - t), 9) <= 0.5)"""
 
 
+#: All pairs in order, each with what is taken before it.
+_GREEDY = f"""{_MATCH.replace("WITH", "WITH RECURSIVE", 1)},
+o AS (SELECT dip_id, candidate_id, off, row_number() OVER (ORDER BY off, dip_id, candidate_id) AS k FROM pairs),
+g AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS dip_id, NULL::BIGINT AS candidate_id, NULL::DOUBLE AS off, false AS free, []::BIGINT[] AS ds, []::BIGINT[] AS cs
+UNION ALL SELECT o.k, o.dip_id, o.candidate_id, o.off, NOT (list_contains(ds, o.dip_id) OR list_contains(cs, o.candidate_id)), CASE WHEN list_contains(ds, o.dip_id) OR list_contains(cs, o.candidate_id) THEN ds ELSE list_append(ds, o.dip_id) END,
+  CASE WHEN list_contains(ds, o.dip_id) OR list_contains(cs, o.candidate_id) THEN cs ELSE list_append(cs, o.candidate_id) END FROM g JOIN o ON o.k = g.k + 1)"""
+
+
 def _first(order: str) -> str:
     return f"{_MATCH} SELECT dip_id, candidate_id FROM (SELECT *, row_number() OVER (PARTITION BY dip_id ORDER BY {order}, t, candidate_id) AS k FROM pairs) WHERE k = 1"
 
@@ -263,7 +299,7 @@ last AS (SELECT * FROM led WHERE back = 1)"""
 _MEDIANS = ", ".join(f"(SELECT coalesce(median({f}) FILTER (isfinite({f})), 0) FROM training_labels) AS m_{f}" for f in tr.FEATURES)
 _SUMS = " UNION ALL ".join([f"SELECT {k} AS k, round(sum(CASE WHEN isfinite({f}) THEN {f} ELSE m_{f} END), 3) AS total FROM training_labels, md" for k, f in enumerate(tr.FEATURES)] + [f"SELECT {k + len(tr.FEATURES)} AS k, round(sum(CASE WHEN isfinite({f}) THEN 1.0 ELSE 0.0 END), 3) AS total FROM training_labels" for k, f in enumerate(tr.FEATURES)])
 
-QUERIES = {f.__name__: f for f in (match_all, match_max_significance, match_deepest, match_nearest_start, match_one_to_one, match_truth, best_cross_match, match_control, cone_search, catalog_stars, completeness_by_depth, detection_floor, fpr_threshold, host_vetting, candidates_summary, a_dur_histogram, flag_rule, dedup_labels, least_covered, hold_out_guard, ratio_summary, impute_features, train_classifier, slugify, latest_attempts, written_ledger, next_targets, targets_view, newest_runs, export_rows, fresh_cache, new_products)}
+QUERIES = {f.__name__: f for f in (match_all, match_max_significance, match_deepest, match_nearest_start, match_one_to_one, match_truth, best_cross_match, match_control, cone_search, catalog_stars, completeness_by_depth, detection_floor, fpr_threshold, host_vetting, candidates_summary, a_dur_histogram, flag_rule, dedup_labels, least_covered, hold_out_guard, ratio_summary, impute_features, train_classifier, classifier_completeness, classifier_folds, backtest_candidates, training_rows, slugify, latest_attempts, written_ledger, next_targets, targets_view, newest_runs, export_rows, fresh_cache, new_products)}
 SQL = {
     "match_all": f"{_MATCH} SELECT dip_id, candidate_id, round(off, 6) AS \"offset\" FROM pairs",
     "match_max_significance": _first("-coalesce(sig, '-inf'::DOUBLE)"),
@@ -285,9 +321,14 @@ h AS (SELECT {_NAME.format("target_id")} AS star FROM light_curves UNION SELECT
     "a_dur_histogram": "SELECT CASE WHEN a_dur < -1 THEN 0 WHEN a_dur >= 1 THEN 41 ELSE floor((a_dur + 1) / 2 * 40)::BIGINT + 1 END AS bin, count(*) AS n FROM candidates WHERE NOT isnan(a_dur) GROUP BY 1",
     "flag_rule": "SELECT candidate_id, bool_or((isfinite(delta_bic) AND isfinite(tau_over_sigma) AND delta_bic > 10 AND tau_over_sigma > 1) IS TRUE) AS again, count(*) AS n FROM candidates GROUP BY 1",
     "dedup_labels": "SELECT min(label_id) AS label_id, host_star, label FROM training_labels WHERE host_star <> '' AND (coalesce(label, '') NOT IN ('comet', 'symmetric', 'reversed', 'flare', 'starspot') OR (isfinite(injected_depth) AND injected_depth > 0)) GROUP BY host_star, label, seed, CASE WHEN NOT isnan(injected_depth) THEN injected_depth END, CASE WHEN NOT isnan(depth_ppm) THEN depth_ppm END",
-    "least_covered": "SELECT v.target_id AS host_star, min(target_no) AS place, (SELECT count(*) FROM training_labels t WHERE t.host_star = v.target_id) AS n_rows FROM validation_targets v WHERE target_id IS NOT NULL GROUP BY 1",
+    "least_covered": "SELECT v.target_id AS host_star, min(target_no) AS place, any_value(coalesce(n, 0)) AS n_rows FROM validation_targets v LEFT JOIN (SELECT " + _NAME_OR.format("host_star") + " AS name, count(*) AS n FROM training_labels GROUP BY 1) t ON t.name = " + _NAME_OR.format("v.target_id") + " WHERE target_id IS NOT NULL GROUP BY 1",
     "hold_out_guard": f"""WITH {_LINK}, h AS (SELECT DISTINCT coalesce(star, n.name) AS star FROM (SELECT {_NAME.format("target_id")} AS name FROM validation_targets) n LEFT JOIN link ON n.name = link.name WHERE n.name IS NOT NULL),
 l AS (SELECT split, {_NAME.format("host_star")} AS name, count(*) AS n FROM training_labels GROUP BY ALL) SELECT split, sum(n)::BIGINT AS n_rows, count(*) AS n_hosts FROM l WHERE name IN (SELECT star FROM h) OR name IN (SELECT name FROM link WHERE star IN (SELECT star FROM h)) GROUP BY 1""",
+    "classifier_folds": f"WITH {_LINK}, s AS (SELECT coalesce(min(star), any_value(n.name), any_value(host_star)) AS star FROM (SELECT label_id, host_star, {_NAME.format('host_star')} AS name FROM training_labels WHERE label IS NOT NULL AND host_star <> '') n LEFT JOIN link ON n.name = link.name GROUP BY label_id) SELECT star, count(*) AS n_rows, 1::BIGINT AS n_folds FROM s GROUP BY 1",
+    "training_rows": f"""WITH {_LINK}, h AS (SELECT DISTINCT coalesce(star, n.name) AS star FROM (SELECT {_NAME.format("target_id")} AS name FROM validation_targets) n LEFT JOIN link ON n.name = link.name WHERE n.name IS NOT NULL),
+l AS (SELECT label_id, host_star, label, {_NAME.format("host_star")} AS name FROM training_labels) SELECT label_id, host_star, label FROM l WHERE name IS NULL OR NOT (name IN (SELECT star FROM h) OR name IN (SELECT name FROM link WHERE star IN (SELECT star FROM h)))""",
+    "match_one_to_one": f"{_GREEDY} SELECT dip_id, candidate_id, round(off, 6) AS \"offset\" FROM g WHERE free",
+    "match_truth": f"{_GREEDY}, w AS (SELECT DISTINCT dip_id, mission FROM known_dips WHERE NOT isnan(t_min_bkjd)) SELECT mission, count(*) AS n_dips, count(g.dip_id) AS n_recovered FROM w LEFT JOIN (SELECT DISTINCT dip_id FROM g WHERE free) g ON w.dip_id = g.dip_id GROUP BY 1",
     "ratio_summary": "WITH r AS (SELECT label, depth_ppm / (injected_depth * 1e6) AS ratio FROM training_labels WHERE label IS NOT NULL AND isfinite(depth_ppm) AND isfinite(injected_depth) AND injected_depth > 0) SELECT label, count(*) AS n, round(stddev_pop(ratio), 6) AS spread, round(median(ratio), 6) AS median FROM r GROUP BY 1",
     "impute_features": f"WITH md AS (SELECT {_MEDIANS}) SELECT * FROM ({_SUMS})",
     "slugify": r"SELECT DISTINCT target_id, coalesce(nullif(regexp_replace(regexp_replace(lower(target_id), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'target') AS slug, translate(target_id, ' /\', '___') AS file, TRY_CAST(nullif(regexp_extract(target_id, '(?i)^\s*kic\s*(\d+)\s*$', 1), '') AS BIGINT) AS kic, TRY_CAST(nullif(regexp_extract(target_id, '(\d+)\s*$', 1), '') AS INT) AS last FROM candidates",

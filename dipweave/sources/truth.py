@@ -7,11 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DIPS = "target_id string, mission string, expected_dip_count int, t_min_bkjd double, depth_ppm double, note string"
+from ..operators.hold_out import HoldOutError, check_held_out
 
+__all__ = ["DIPS", "HoldOutError", "first_present", "gate", "load_labels", "passed", "synthetic", "truth"]
 
-class HoldOutError(ValueError):
-    """A star that is kept for validation turned up in training data."""
+DIPS = "target_id string, mission string, expected_dip_count int, t_min_bkjd double, depth_ppm double, note string"
 
 
 def truth(spark: SparkSession, spec: dict) -> tuple[DataFrame, float]:
@@ -48,12 +48,13 @@ def passed(states: DataFrame) -> bool:
     return r["ok"] > 0 and r["bad"] == 0
 
 
-def load_labels(spark: SparkSession, *paths: str, held_out: tuple[str, ...] = ()) -> DataFrame:
-    """Labelled rows of all paths; HoldOutError if a host is among those held out."""
+def load_labels(spark: SparkSession, *paths: str, held_out: tuple[str, ...] = (), catalog: DataFrame | None = None) -> DataFrame:
+    """Labelled rows of all paths; HoldOutError if a host is one of those held out, in any spelling and, with a catalogue, by any of its numbers."""
     rows = spark.read.parquet(*paths)
-    if held_out and rows.where(F.col("host_star").isin(*held_out)).head(1):
-        raise HoldOutError(f"a host held out for validation is in {', '.join(paths)}")
-    return rows
+    if not held_out:
+        return rows
+    links = spark.createDataFrame([], "tic_id bigint, kic bigint") if catalog is None else catalog
+    return check_held_out(rows, spark.createDataFrame([(h,) for h in held_out], "name string"), links)
 
 
 def first_present(columns: list[str], names: tuple[str, ...]) -> str | None:

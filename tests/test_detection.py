@@ -239,17 +239,21 @@ def test_truth_and_gate(spark, tmp_path):
     assert tr.load_labels(spark, str(tmp_path / "l"), held_out=("KIC 2",)).count() == 1
     with pytest.raises(tr.HoldOutError):
         tr.load_labels(spark, str(tmp_path / "l"), held_out=("KIC 1",))
+    with pytest.raises(tr.HoldOutError):
+        tr.load_labels(spark, str(tmp_path / "l"), held_out=("kic_0001",))
+    with pytest.raises(tr.HoldOutError):
+        tr.load_labels(spark, str(tmp_path / "l"), held_out=("TIC 7",), catalog=spark.createDataFrame([(7, 1)], "tic_id bigint, kic bigint"))
     assert tr.first_present(["RA", "dec"], ("ra_deg", "RA")) == "RA" and tr.first_present([], ("a",)) is None
     assert tr.synthetic(spark, 100).count() == 100
 
 
-def test_classifier(spark):
+def test_classifier(spark, tmp_path):
     from dipweave.operators import training as tn
 
     rng = np.random.default_rng(8)
     data = [(n, f"KIC {n % 20}", "comet" if n % 3 == 0 else "noise", 1e-3, *[float(rng.normal(3 * (n % 3 == 0))) if rng.random() > 0.1 else None for _ in FEATURES]) for n in range(240)]
     df = spark.createDataFrame(data, "label_id bigint, host_star string, label string, injected_depth double, " + ", ".join(f"{f} double" for f in FEATURES))
-    scored, threshold = tn.out_of_fold(df, folds=3, trees=15)
+    scored, threshold = tn.out_of_fold(df, spark.createDataFrame([], "tic_id bigint, kic bigint"), folds=3, trees=15)
     got = scored.toPandas()
     assert len(got) == 240 and got[got.label == "comet"].score.mean() > 0.8 > 0.2 > got[got.label == "noise"].score.mean()
     assert (got[got.label == "noise"].score > threshold).mean() <= 0.02
@@ -257,6 +261,14 @@ def test_classifier(spark):
     model = tn.forest(tn.imputed(df).withColumn("y", (F.col("label") == "comet").cast("double")), 10, 1)
     assert tn.backtest(model, df.select("label_id", *FEATURES), {}, 0.5).where("accepted").count() > 40
     assert tn.nth_last(df, "label_id", 2).first()["label_id"] == 237
+    assert (got[got.label == "comet"].calibrated > 0.5).mean() > 0.8 and tn.completeness_by_depth(scored, threshold).first()["n"] == 80
+    for day, n in (("2024-01-01", 5), ("2024-01-02", 7)):
+        tn.save_model(model, {"a_dur": 0.5}, threshold, df, str(tmp_path / "m"), str(tmp_path / "manifest"), day, matched=n)
+    manifest = spark.read.schema("date_utc string, n_rows bigint, threshold double, numbers map<string,double>").json(str(tmp_path / "manifest"))
+    assert {r["name"]: (r["previous"], r["current"]) for r in tn.compare(manifest).collect()} == {"n_rows": (240.0, 240.0), "threshold": (threshold, threshold), "matched": (5.0, 7.0)}
+    # one star in several spellings and catalogues is in one fold
+    odd = df.limit(40).withColumn("host_star", F.element_at(F.array(*map(F.lit, ("KIC 3", "kic_003", "TIC 9", "Kic-3"))), (F.pmod("label_id", F.lit(4)) + 1).cast("int")))
+    assert tn.folded(odd, spark.createDataFrame([(9, 3)], "tic_id bigint, kic bigint")).select("fold", "star").distinct().count() == 1
 
 
 def test_command_line(spark, rows, tmp_path, capsys):

@@ -191,3 +191,18 @@ def test_attempts_are_numbered_by_blocks(rows):
     df = rows(data, "target_id string, mission string, status string, timestamp_utc string, seq bigint")
     for digits in (4, 7, 10):
         assert sorted(map(repr, map(tuple, ledger.numbered(df, digits).collect()))) == sorted(map(repr, want))
+
+
+def test_held_out_stars_go(rows):
+    from dipweave.operators.hold_out import HoldOutError, check_held_out, without_held_out
+
+    catalog = rows([(5, 2), (6, 8)], "tic_id bigint, kic bigint")
+    held = rows([("KIC 2",), ("x",), (None,), ("tic 06",)], "target_id string")
+    data = [("kic_002", 0), ("KIC 22", 1), ("TIC-5", 2), (None, 3), ("EPIC 2", 4), ("KIC 8", 5), ("TIC 2", 6), ("x", 7)]
+    df = rows([(k, h, f"c{k}") for h, k in data], "label_id bigint, host_star string, _extra string")
+    kept_rows = without_held_out(df, held, catalog).orderBy("label_id").collect()
+    assert [r["label_id"] for r in kept_rows] == [1, 3, 4, 6, 7] and kept_rows[0]["_extra"] == "c1"
+    assert check_held_out(without_held_out(df, held, catalog), held, catalog).count() == 5
+    with pytest.raises(HoldOutError):
+        check_held_out(df, held, catalog)
+    assert without_held_out(df.limit(0), held, catalog).count() == 0
