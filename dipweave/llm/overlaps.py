@@ -75,7 +75,7 @@ def index_groups(n: int, groups: int) -> list[tuple[int, int]]:
 
 
 def _digests(records: DataFrame, names: tuple[str, ...], groups: int, tolerance: float, probing: bool) -> DataFrame:
-    """(key, class, what, weight, present) of each record (star, class, x): its chunks on both grids (what -1 and -2, weight their length), and its pairs of cells (what their number); probing: in each cell a partner's value can be in."""
+    """(key, class, what, weight, present) of each record (star, class, measures): its chunks on both grids (what -1 and -2, weight their length), and its pairs of cells (what their number); probing: in each cell a partner's value can be in."""
     delta = -math.log(1 - tolerance) * (1 + 1e-9)
     pairs = index_groups(len(names), groups)
 
@@ -111,15 +111,15 @@ def _digests(records: DataFrame, names: tuple[str, ...], groups: int, tolerance:
             out = [np.concatenate(keys).view(np.int64), of_class[r], np.concatenate(what).astype(np.int8), np.concatenate(weight).astype(np.int8), present[r].astype(np.int32)]
             yield from pa.Table.from_arrays([pa.array(c) for c in out], names=["key", "class", "what", "weight", "present"]).to_batches(max_chunksize=20_000)
 
-    plain = records.select(F.xxhash64("star").alias("star"), "class", *(F.col(f"x.{f}").alias(f) for f in names))
+    plain = records.select(F.xxhash64("star").alias("star"), "class", *names)
     return plain.mapInArrow(make, "key bigint, class bigint, what tinyint, weight tinyint, present int")
 
 
 def agree(a: str, b: str, features: tuple[str, ...], tolerance: float, least: int) -> Column:
-    """For structs in columns a and b: at least `least` features are present in both, and each of these differs by at most the tolerance times the larger absolute value; an infinite one must be equal."""
-    n = " + ".join(f"int({a}.{f} IS NOT NULL AND {b}.{f} IS NOT NULL)" for f in features)
+    """For features in columns that begin with a and b: at least `least` are present in both, and each of these differs by at most the tolerance times the larger absolute value; an infinite one must be equal."""
+    n = " + ".join(f"int({a}{f} IS NOT NULL AND {b}{f} IS NOT NULL)" for f in features)
     big = "double('Infinity')"
-    close = " AND ".join(f"coalesce({a}.{f} = {b}.{f} OR (abs({a}.{f} - {b}.{f}) <= greatest(abs({a}.{f}), abs({b}.{f})) * {tolerance!r}D AND abs({a}.{f}) < {big} AND abs({b}.{f}) < {big}), true)" for f in features)
+    close = " AND ".join(f"coalesce({a}{f} = {b}{f} OR (abs({a}{f} - {b}{f}) <= greatest(abs({a}{f}), abs({b}{f})) * {tolerance!r}D AND abs({a}{f}) < {big} AND abs({b}{f}) < {big}), true)" for f in features)
     return F.expr(f"{n} >= {least} AND {close}")
 
 
@@ -136,37 +136,38 @@ def overlapping(rows: DataFrame, catalog: DataFrame, features: tuple[str, ...] =
     shared is the overlap fraction: the part of the evaluation row's tokens in chunks that both have on one grid, the larger of the two. It doesn't decide: pairs from a fraction of `likely` on, and pairs that the index finds,
     are compared exactly. Missing features (NULL or NaN) are passed over. Rows that name no star, or have
     another split or none (in any letter case), or no label_id, overlap with nothing. Rows with exactly the same features are one class, compared once and
-    expanded at the end, so heaps of copies cost no more than their pairs. Keys with more than 1/hot of the training rows' digests are joined in `hot` parts. Further columns are left out; an empty table gives an empty result.
+    expanded at the end, so heaps of copies cost no more than their pairs. Keys that more than 1/hot of the training rows have are joined in parts of no more. Further columns are left out; an empty table gives an empty result.
     """
     measures = tuple(f for f in features if f not in flags)
     groups = least - sum(f in flags for f in features) - 1
     if groups < 1:
         raise ValueError(f"{least} features in common are too few for an index of measured ones")
     links = catalog_links(catalog)
-    values = F.struct(*(known(F.col(f).cast("double")).alias(f) for f in features))
     side = F.lower(F.trim("split"))
-    base = rows.where("label_id IS NOT NULL").select("label_id", "author", side.alias("split"), values.alias("x"), "host_star").where(F.col("split").isin("train", "validation", "test")).withColumn("train", F.col("split") == "train")
+    base = rows.where("label_id IS NOT NULL").select("label_id", "author", side.alias("split"), "host_star", *(known(F.col(f).cast("double")).alias(f) for f in features)).where(F.col("split").isin("train", "validation", "test")).withColumn("train", F.col("split") == "train")
     starred = with_star(base, "host_star", links, "label_id")
     # 128 bits stand for a star and its features; 0.0 and -0.0 are the same
-    text = ", ".join(f"coalesce(string(x.{f} + 0.0D), '')" for f in features)
+    text = ", ".join(f"coalesce(string({f} + 0.0D), '')" for f in features)
     with scratch(rows.sparkSession) as keep:
-        members = keep(starred.select("label_id", "author", "split", "train", "star", "x", F.expr(f"xxhash64(1, star, {text})").alias("class"), F.expr(f"xxhash64(2, star, {text})").alias("more")))
-        classes = members.groupBy("star", "train", "class", "more").agg(F.first("x").alias("x"))
+        members = keep(starred.select("label_id", "author", "split", "train", "star", F.expr(f"xxhash64(1, star, {text})").alias("class"), F.expr(f"xxhash64(2, star, {text})").alias("more"), *features))
+        classes = keep(members.groupBy("star", "train", "class", "more").agg(*(F.first(f).alias(f) for f in features)))
         ours, theirs = (_digests(classes.where(f"train = {t}"), measures, groups, tolerance, not t) for t in (False, True))
-        theirs = keep(theirs)
-        # keys that a large part of the training rows has; fewer than `hot` whatever the data
-        total = theirs.select(F.count("*").alias("total"))
-        common = F.broadcast(theirs.groupBy("key").count().join(F.broadcast(total)).where(F.col("count") * hot > F.greatest("total", F.lit(1_000_000))).select("key", F.lit(True).alias("common")))
-        part = lambda df, of: df.join(common, "key", "left").withColumn("part", F.when(F.col("common"), of).otherwise(F.lit(0)))
-        left = part(ours, F.lit(None).cast("int")).withColumn("part", F.explode(F.when(F.col("part").isNull(), F.sequence(F.lit(0), F.lit(hot - 1))).otherwise(F.array("part"))))
-        right = part(theirs, F.pmod(F.col("class"), F.lit(hot)).cast("int")).select("key", "part", F.col("class").alias("train_class"), F.col("present").alias("train_present"))
+        # keys that more than a given part of the training rows has, which only keys of stars with as many of them can be
+        per_star = classes.where("train").groupBy("star").agg(F.count("*").alias("n"))
+        most = per_star.select((F.greatest(F.sum("n"), F.lit(1_000_000)) / hot).alias("most"))
+        large = F.broadcast(per_star.join(F.broadcast(most)).where("n > most").select("star"))  # fewer than `hot`
+        inner = _digests(classes.where("train").join(large, "star", "left_semi"), measures, groups, tolerance, False)
+        common = F.broadcast(inner.groupBy("key").count().join(F.broadcast(most)).where("count > most").select("key", F.expr("ceil(count / most)").alias("parts")))  # a few for each of those stars' share
+        part = lambda df, of: df.join(common, "key", "left").withColumn("part", F.expr(of))
+        left = part(ours, "explode(sequence(0L, coalesce(parts, 1L) - 1))")
+        right = part(theirs, "pmod(class, coalesce(parts, 1L))").select("key", "part", F.col("class").alias("train_class"), F.col("present").alias("train_present"))
         met = left.join(right, ["key", "part"])
         met = met.groupBy("class", "train_class", F.expr("present & train_present").alias("both"), "present").agg(F.expr("bit_or(CASE WHEN what >= 0 THEN shiftleft(1L, int(what)) ELSE 0L END)").alias("found"), *(F.sum(F.expr(f"CASE WHEN what = {-1 - g} THEN int(weight) ELSE 0 END")).alias(f"grid{g}") for g in range(2)))
         due = " + ".join(f"int(both & {(1 << i) | (1 << j)} = {(1 << i) | (1 << j)})" for i, j in index_groups(len(measures), groups))
         shared = F.greatest("grid0", "grid1") / F.bit_count("present")
         close = met.withColumn("shared", shared).where((F.col("shared") >= likely) | ((F.col("found") != 0) & (F.bit_count("found") == F.expr(due)))).select("class", "train_class", "shared")
-        of = lambda t, p, x: classes.where(f"train = {t}").select(F.col("star").alias(f"{p}star"), F.col("class").alias(f"{p}class"), F.col("more").alias(f"{p}more"), F.col("x").alias(x))
-        pairs = close.join(of(False, "", "x"), "class").join(of(True, "train_", "y"), "train_class").where("star = train_star").where(agree("x", "y", features, tolerance, least)).select("class", "more", "train_class", "train_more", "shared")
+        of = lambda t, p, x: classes.where(f"train = {t}").select(*(F.col(c).alias(p + c) for c in ("star", "class", "more")), *(F.col(f).alias(x + f) for f in features))
+        pairs = close.join(of(False, "", "x_"), "class").join(of(True, "train_", "y_"), "train_class").where("star = train_star").where(agree("x_", "y_", features, tolerance, least)).select("class", "more", "train_class", "train_more", "shared")
         found = members.where("NOT train").select(F.col("label_id").alias("eval_id"), "split", "author", "class", "more").join(pairs, ["class", "more"])
         train = members.where("train").select(F.col("label_id").alias("train_id"), F.col("class").alias("train_class"), F.col("more").alias("train_more"))
         return kept(found.join(train, ["train_class", "train_more"]).groupBy("eval_id", "train_id").agg(F.first("split").alias("split"), F.first("author").alias("author"), F.max("shared").alias("shared")))
