@@ -147,7 +147,7 @@ def overlapping(rows: DataFrame, catalog: DataFrame, features: tuple[str, ...] =
     base = rows.where("label_id IS NOT NULL").select("label_id", "author", side.alias("split"), "host_star", *(known(F.col(f).cast("double")).alias(f) for f in features)).where(F.col("split").isin("train", "validation", "test")).withColumn("train", F.col("split") == "train")
     starred = with_star(base, "host_star", links, "label_id")
     # 128 bits stand for a star and its features; 0.0 and -0.0 are the same
-    text = ", ".join(f"coalesce(string({f} + 0.0D), '')" for f in features)
+    text = " + ".join(f"shiftleft(int({f} IS NOT NULL), {k})" for k, f in enumerate(features)) + "".join(f", {f} + 0.0D" for f in features)
     with scratch(rows.sparkSession) as keep:
         members = keep(starred.select("label_id", "author", "split", "train", "star", F.expr(f"xxhash64(1, star, {text})").alias("class"), F.expr(f"xxhash64(2, star, {text})").alias("more"), *features))
         classes = keep(members.groupBy("star", "train", "class", "more").agg(*(F.first(f).alias(f) for f in features)))
