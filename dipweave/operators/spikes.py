@@ -169,12 +169,19 @@ def _flag(b: _Block, carry: dict, noise: float, error: float, limits: dict) -> d
         before = np.concatenate([[np.nan if carry["time"] is None else carry["time"]], b.time[at][:-1]])
         repeated[at] = b.time[at] == before
     if len(at := np.flatnonzero(b.finite)):
-        starts = _runs(b.flux[at])
-        lengths = np.diff(np.append(starts, len(at)))
-        total = lengths.copy()
-        total[0] = max(total[0], carry["head_total"] or 0)
-        total[-1] = max(total[-1], carry["tail_total"] or 0)
-        stuck[at] = np.repeat(total >= limits["stuck_run"], lengths)
+        v = b.flux[at]
+        with np.errstate(all="ignore"):
+            flat = ~(np.abs(details(v)[0]) > 0)  # no detail at all; also where it can't be told
+        flat[[0, -1]] = True  # runs that begin or end in other blocks
+        if flat.any():
+            # within a run of equal values there is no detail; nor is there on a slope, so the values have to confirm it
+            starts = _runs(v)
+            lengths = np.diff(np.append(starts, len(at)))
+            total = lengths.copy()
+            total[0] = max(total[0], carry["head_total"] or 0)
+            total[-1] = max(total[-1], carry["tail_total"] or 0)
+            inner = np.add.reduceat(flat.astype(np.int64), starts) >= np.maximum(lengths - 2, 1)
+            stuck[at] = np.repeat((total >= limits["stuck_run"]) & inner, lengths)
     if len(at := np.flatnonzero(b.usable)):
         before, after = (np.array(carry[k] or [], np.float64) for k in ("before", "after"))
         x = np.concatenate([before, b.flux[at], after])

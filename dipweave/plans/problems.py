@@ -86,6 +86,14 @@ out AS (
   UNION SELECT target_id, mission, quarter_no, idx FROM sp WHERE spike)
 SELECT target_id, mission, quarter_no, idx FROM out"""
 
+_WHY = {
+    "impossible_flux": "FROM b WHERE NOT isnan(f) AND NOT usable", "impossible_error": "FROM b WHERE NOT isnan(e) AND NOT eok", "impossible_time": "FROM b WHERE NOT isnan(t) AND NOT timed",
+    "large_error": "FROM (SELECT b.* FROM b JOIN s ON b.target_id IS NOT DISTINCT FROM s.target_id AND b.mission IS NOT DISTINCT FROM s.mission AND b.quarter_no IS NOT DISTINCT FROM s.quarter_no WHERE eok AND e > 10 * em)",
+    "repeated_time": "FROM tm WHERE again", "stuck_flux": "FROM r WHERE stuck", "spike": "FROM sp WHERE spike",
+}
+_REASONS = f"""{_FLAGS[: _FLAGS.rindex("out AS (")]}why AS ({" UNION ALL ".join(f"SELECT target_id, mission, quarter_no, idx, '{k}' AS reason {v}" for k, v in _WHY.items())})
+SELECT target_id, mission, quarter_no, count(DISTINCT idx) AS n_flagged, {", ".join(f"count(*) FILTER (reason = '{k}') AS n_{k}" for k in _WHY)} FROM why GROUP BY ALL"""
+
 _USABLE = "time > 0 AND time < 40000 AND isfinite(flux) AND flux > 0"
 _GRID = f"""
 WITH u AS (SELECT DISTINCT target_id, mission, quarter_no, idx, time, flux, floor(time / 0.25)::BIGINT AS cell FROM light_curves WHERE {_USABLE}),
@@ -108,6 +116,7 @@ SQL = {
     "p2_loaded": f"{_LINES} SELECT line_id, {', '.join(_LOADED[kind].format(c) if c != 'vetting_status' else 'lower(vetting_status) AS vetting_status' for c, kind in COLUMNS.items())} FROM judged WHERE reason IS NULL",
     "p2_reasons": f"{_LINES} SELECT file_name, reason, count(*) AS n_lines, min(line_no) AS first_line FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
     "p5_found": _FLAGS,
+    "p5_reasons": _REASONS,
     "p6_found": f"""
 WITH u AS (SELECT DISTINCT target_id, mission, quarter_no, floor(time / 0.25)::BIGINT AS cell FROM light_curves WHERE {_USABLE}),
 n AS (SELECT *, lead(cell) OVER (PARTITION BY target_id, mission, quarter_no ORDER BY cell) AS nx FROM u)

@@ -167,6 +167,45 @@ def test_ingest_resumes(spark, tmp_path):
     assert got == {"KIC 1": (10, 0), "KIC 2": (20, 4), "KIC 3": (30, 14)}
 
 
+def test_a_target_that_fails(spark, tmp_path):
+    schema = "target_id string, mission string, quarter_no int, idx bigint, flux double"
+    rows = [(f"KIC {k}", "Kepler", 1, n, float(n)) for k in range(6) for n in range(5)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    bad = F.when(F.col("target_id") == "KIC 3", F.raise_error(F.lit("x" * 5000))).otherwise(F.col("flux"))
+    process = lambda df: df.withColumn("flux", bad).where("flux > 2").select("target_id", "mission", "idx", "flux")
+    read = lambda: st.readings_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, files_per_batch=1)
+    paths = dict(ledger=str(tmp_path / "led"), checkpoint=str(tmp_path / "state"))
+    wanted = spark.createDataFrame(rows + [("KIC 9", "Kepler", 1, 0, 0.0)], schema)
+    assert st.run(spark, read(), process, str(tmp_path / "res"), budget_seconds=0.0, targets=wanted, **paths) == {"succeeded": 0, "failed": 0, "left": 7}
+    assert st.run(spark, read(), process, str(tmp_path / "res"), targets=wanted, **paths) == {"succeeded": 5, "failed": 1, "left": 1}
+    ledger = spark.read.schema(st.LEDGER).option("recursiveFileLookup", True).parquet(str(tmp_path / "led"))
+    row = ledger.where("status = 'failed'").first()
+    assert row["target_id"] == "KIC 3" and 0 < len(row["error"]) <= 2000 and row["n_results"] is None
+    assert le.next_targets(wanted.selectExpr("target_id", "mission", "idx AS place").where("place = 0"), ledger).where("is_retry").first()["target_id"] == "KIC 3"
+    assert ledger.agg(F.sum("n_results")).first()[0] == 10
+
+
+def test_series_in_two_files(spark, tmp_path):
+    import numpy as np
+
+    from dipweave.operators.spikes import flag_readings
+
+    rng = np.random.default_rng(3)
+    schema = "target_id string, mission string, quarter_no int, idx bigint, time double, flux double, flux_err double"
+    # the second half is ten times as noisy; what stands off is for the whole series to say
+    flux = 1000 + rng.normal(size=400) * np.where(np.arange(400) < 200, 1, 10)
+    flux[[50, 150]] += 30
+    df = spark.createDataFrame([("KIC 1", "Kepler", 1, n, n * 0.02 + 1, float(flux[n]), 1.0) for n in range(400)], schema)
+    for low, high in ((0, 200), (200, 400)):
+        df.where(f"idx >= {low} AND idx < {high}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = st.readings_stream(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
+    p = {k: str(tmp_path / k) for k in ("results", "ledger", "checkpoint", "store")}
+    st.run(spark, stream, flag_readings, p["results"], ledger=p["ledger"], checkpoint=p["checkpoint"], store=p["store"])
+    want = flag_readings(df)
+    got = st.latest_results(spark, p["results"], p["ledger"], p["store"], want.schema)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_first_deliveries(spark, tmp_path):
     df = spark.sql("SELECT 'KIC 1' AS target_id, 'Kepler' AS mission, 1 AS quarter_no, id % 5 AS idx, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, CAST(id AS INT)) AS received_at FROM range(10)")
     df.write.parquet(str(tmp_path / "in"))
