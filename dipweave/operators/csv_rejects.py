@@ -96,6 +96,7 @@ class _Reader:
 
         self.folder = tempfile.TemporaryDirectory(prefix="csv-", dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.failures = duckdb.Error
         self.db.execute("SET preserve_insertion_order = false")
 
     def scan(self, numbers: pa.Array, lines: pa.Array) -> tuple[pa.Table, dict[int, str | None], set[int]]:
@@ -117,9 +118,9 @@ class _Reader:
         self.db.execute("DROP TABLE IF EXISTS reject_errors; DROP TABLE IF EXISTS reject_scans")
         self.db.register("records", records)
         try:
-            rows = self.db.execute(f"""SELECT record_no, end_no, {select} FROM read_csv('{path}', header=false, auto_detect=false, delim=',', quote='"', escape='"', new_line='\\n', columns={{'record_no': 'BIGINT', {names}, 'end_no': 'VARCHAR'}}, store_rejects=true, rejects_limit=0, strict_mode=false, parallel=false{size})""").fetch_arrow_table()
+            rows = self.db.sql(f"""SELECT record_no, end_no, {select} FROM read_csv('{path}', header=false, auto_detect=false, delim=',', quote='"', escape='"', new_line='\\n', columns={{'record_no': 'BIGINT', {names}, 'end_no': 'VARCHAR'}}, store_rejects=true, rejects_limit=0, strict_mode=false, parallel=false{size})""").to_arrow_table()
             errors = self.db.execute("SELECT r.record, contains(rtrim(e.csv_line, chr(10)), chr(10)), e.error_type::VARCHAR, e.column_name FROM reject_errors e JOIN records r ON r.start = e.line_byte_position").fetchall()
-        except Exception:  # a state the reader can't leave: find the record by halves
+        except self.failures:  # a state the reader can't leave: find the record by halves
             if len(numbers) == 1:
                 return _EMPTY, {numbers[0].as_py(): None}, set()
             h = len(numbers) // 2

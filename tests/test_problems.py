@@ -40,6 +40,17 @@ def test_lines(rows):
     assert got[7]["vetting_reasons"] == 'a, "b"\nc' and got[8]["duration_days"] is None
 
 
+def test_the_reader_says_why():
+    import pyarrow as pa
+
+    from dipweave.operators.csv_rejects import REASONS, _Reader
+
+    texts = [GOOD, line(t_min="x"), line(depth_ppm="y"), line(t_min="x", depth_ppm="y"), "a,b", GOOD + ",1", line(reasons="note")]
+    rows_, why = _Reader().read(pa.array(texts))
+    assert why == {1: REASONS[2], 2: REASONS[3], 3: REASONS[2], 4: REASONS[1], 5: REASONS[1]}
+    assert sorted(rows_["record_no"].to_pylist()) == [0, 6] and set(rows_["depth_ppm"].to_pylist()) == {200.0}
+
+
 def test_lines_around_broken_ones_survive(rows):
     bad = [line(reasons='"open'), line(reasons='"a"b,c"d"'), line(reasons='x"'), line(status='"candidate"\'')]
     table = [(n, "f", n, bad[n % 4] if n % 3 == 0 else line(reasons=f'"note {n}\nmore"')) for n in range(400)]
