@@ -6,7 +6,7 @@ that come back neither as a row nor as an error are read again without the culpr
 behind a text that no line has, for the reader drops surplus columns without an error when it is made lenient enough to go on after a broken quote; a row with another end has too many.
 
 In a few points the reader isn't the format, and there the letter of the format decides: lines with quotes or line breaks (it is laxer on quotes within a field), digits with `_` between them (it takes them for a number), columns it couldn't
-read as a number that have only characters of numbers (it is stricter), and records it lost. A reject of one column says nothing of the columns before it, so these are looked at too.
+read as a number that have only characters of numbers (it is stricter), and records it lost. A reject of one column says nothing of the columns before it nor of surplus ones, so these are looked at too.
 """
 
 from __future__ import annotations
@@ -164,6 +164,8 @@ def _judged(line: str, reason: str | None) -> str | None:
     """Why a line of plain fields is set apart that the reader rejected for a reason; see the beginning of this file."""
     if reason is None:
         return exact_reason(line)
+    if line.count(",") != len(COLUMNS) - 1:
+        return REASONS[1]
     fields = dict(zip(COLUMNS, line.split(",")))
     column = reason.removeprefix("invalid ")
     if column in fields and (_LIKE_A_NUMBER.match(fields[column]) or column == "depth_ppm"):

@@ -59,6 +59,12 @@ def test_lines_around_broken_ones_survive(rows):
     assert sum(r is None for r in got.values()) == sum(n % 3 != 0 for n in range(400))
 
 
+def test_a_surplus_column_before_a_number(rows):
+    table = [(1, "f", 1, GOOD.replace("KIC 1,", "KIC 1,A,")), (2, "f", 2, line(depth_ppm="x", t_min="-1")), (3, "f", 3, line(depth_ppm="x", status="none"))]
+    got = {r["line_id"]: r["reason"] for r in load_lines(rows(table, "line_id bigint, file_name string, line_no int, raw_line string")).collect()}
+    assert got == {1: "wrong column count", 2: "invalid t_min", 3: "invalid depth_ppm"}
+
+
 def test_surplus_numbers_are_no_end(rows):
     table = [(n, "f", n, GOOD + (",{}", ",\ue000{}", ",{},x", "")[n % 4].format(n)) for n in range(200)]
     df = rows(table, "line_id bigint, file_name string, line_no int, raw_line string").coalesce(1)
