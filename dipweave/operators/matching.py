@@ -109,7 +109,7 @@ def control_stars(targets: DataFrame, catalog: DataFrame, radii: tuple[float, ..
     targets: tic_id. A control isn't a target; its brightness is known and within `magnitudes` of the target's; if both distances are known they differ by
     at most the part `distances` of the target's. In the smallest radius with one, the nearest in brightness is taken, then on the sky, then by number. Targets without a place or brightness have none.
     """
-    stars = stars_of(catalog).where("ra_deg IS NOT NULL AND dec_deg IS NOT NULL AND tmag IS NOT NULL").withColumn("distance", distance_pc(F.col("plx")))
+    stars = kept(stars_of(catalog).where("ra_deg IS NOT NULL AND dec_deg IS NOT NULL AND tmag IS NOT NULL").select("tic_id", "ra_deg", "dec_deg", "tmag", distance_pc(F.col("plx")).alias("distance")))
     wanted = targets.select("tic_id").where("tic_id IS NOT NULL").distinct()
     centers = stars.join(wanted, "tic_id").select(F.col("tic_id").alias("target"), F.col("ra_deg").alias("c_ra"), F.col("dec_deg").alias("c_dec"), F.col("tmag").alias("c_mag"), F.col("distance").alias("c_distance"))
     others = stars.join(wanted, "tic_id", "left_anti").select("tic_id", "ra_deg", "dec_deg", "tmag", "distance")
