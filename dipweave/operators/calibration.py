@@ -14,7 +14,7 @@ from .events import candidate_rows, flagged, measured, strength
 from .training import FEATURES, features
 from .medians import exact_median
 from ..sources.shared import kept
-from .series import smoothed
+from .series import has_long, smoothed
 
 #: Classes with an injection, which have a positive depth.
 INJECTED = ("comet", "symmetric", "reversed", "flare", "starspot")
@@ -59,7 +59,7 @@ def recovery(rows: DataFrame, depths: tuple[float, ...], per_depth: int = 20, in
     blocks = rows.select("series", "block").distinct().join(plan, "series")
     t0, d = F.col("t0"), F.col("depth")
     injected = rows.join(blocks, ["series", "block"]).withColumn("flux", F.col("flux") - ramp(F.col("time"), t0, d, F.lit(ingress), F.lit(egress))).withColumn("series", F.struct("series", "trial")).drop("t0", "depth", "trial")
-    near = measured(smoothed(injected, config, detrend), config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance)
+    near = measured(smoothed(injected, config, detrend, has_long(rows)), config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance)
     scored = near.withColumns({"significance": strength(), "flagged": flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config)})
     top = scored.groupBy("series.series", "series.trial").agg(F.max(F.struct("significance", -F.col("t_min"), "flagged", "t_min", "a_dur", "delta_bic")).alias("m"))
     return plan.join(top, ["series", "trial"], "left").select("series", "trial", "t0", "depth", F.col("m").isNotNull().alias("detected"), F.coalesce("m.flagged", F.lit(False)).alias("flagged"), F.col("m.t_min").alias("recovered_t0"), F.col("m.a_dur").alias("recovered_a_dur"), F.col("m.delta_bic").alias("delta_bic"))
@@ -102,7 +102,7 @@ def labelled(rows: DataFrame, per_class: int = 20, tolerance: float = 0.5, confi
     change = F.when(F.col("label").isin("comet", "symmetric", "reversed"), -ramp(t, t0, a, F.col("ingress"), F.col("egress"))).when(F.col("label") == "flare", flare(t, t0, a, F.col("ingress"), F.col("egress"))).when(F.col("label") == "starspot", starspot(t, F.col("period"), a, F.col("phase"))).otherwise(0.0)
     flux = F.when(F.col("label") == "time_reversed_real", F.col("_back")).otherwise(F.col("flux") + change)
     injected = both.join(blocks, ["series", "block"]).withColumn("flux", flux).withColumn("series", F.struct("series", "trial")).select(*rows.columns)
-    flat = smoothed(injected, config)
+    flat = smoothed(injected, config, long=has_long(rows))
     found = kept(candidate_rows(flat, config))
     near = plan.join(found, ["series", "trial"]).withColumn("apart", F.when(F.col("label").isin("noise", "time_reversed_real"), F.col("t_min")).otherwise(F.abs(F.col("t_min") - F.col("duration_days") / 2 - t0)))
     answer = near.where((F.col("apart") <= tolerance) | F.col("label").isin("starspot", "noise", "time_reversed_real")).groupBy("series", "trial").agg(F.min(F.struct("apart", "t_min", "label", "amplitude")).alias("m")).select("series", "trial", "m.t_min", "m.label", F.col("m.amplitude").alias("injected_depth"))

@@ -165,6 +165,11 @@ def clipped(rows: DataFrame, sigma: float, value: str = "flux") -> DataFrame:
     return _by_block(rows, _spread(rows, value)).withColumn("clipped", F.when(high, F.col("median")).otherwise(F.col(value))).drop("mad", "median")
 
 
+def has_long(rows: DataFrame) -> bool:
+    """Whether any series of placed rows has more than one block."""
+    return bool(rows.where(F.col("n") > BLOCK).head(1))
+
+
 class _Smoother:
     """The arithmetic of smoothed() for one block of a series."""
 
@@ -212,7 +217,7 @@ def smoothed(rows: DataFrame, config: Config | None = None, detrend: str = "savg
     names = [x.split()[0] for x in SMOOTHED.split(", ")]
     schema = f"series {rows.schema['series'].dataType.simpleString()}, {SMOOTHED}"
     if long is None:
-        long = bool(rows.where(n > BLOCK).head(1))
+        long = has_long(rows)
 
     def smooth(key: tuple, t: pa.Table, about: pa.Table | None = None) -> pa.Table:
         t = t.sort_by("pos")
