@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from ..functions.stars import designation
 from .events import candidate_rows, flagged, measured, strength
 from .training import FEATURES, features
 from .medians import exact_median
-from ..sources.shared import kept
-from .series import has_long, smoothed
+from ..sources.shared import kept, scratch
+from . import series as se
+from .series import has_long
+from .variants import long_variants, smoothed_variants
 
 #: Classes with an injection, which have a positive depth.
 INJECTED = ("comet", "symmetric", "reversed", "flare", "starspot")
@@ -29,6 +33,11 @@ def ramp(time: Column, t0: Column, depth: Column, ingress: Column, egress: Colum
     return F.when((dt >= -ingress) & (dt <= 0), depth * (1 + dt / ingress)).when((dt > 0) & (dt <= egress), depth * (1 - dt / egress)).otherwise(0.0)
 
 
+def _ramp(time: np.ndarray, t0: float, depth: float, ingress: float, egress: float) -> np.ndarray:
+    """ramp() of an array."""
+    return np.interp(time, [t0 - ingress, t0, t0 + egress], [0.0, depth, 0.0])
+
+
 def flare(time: Column, t0: Column, amplitude: Column, rise: Column, decay: Column) -> Column:
     """The flux that a flare with a linear rise and an exponential decay adds."""
     dt = time - t0
@@ -53,16 +62,20 @@ def trials(rows: DataFrame, depths: tuple[float, ...], per_depth: int, ingress:
 def recovery(rows: DataFrame, depths: tuple[float, ...], per_depth: int = 20, ingress: float = 0.1, egress: float = 0.5, tolerance: float = 0.5, config: Config | None = None, detrend: str = "savgol") -> DataFrame:
     """One row for each injection into the normalised series of rows: (series, trial, t0, depth, detected, flagged, recovered_t0, recovered_a_dur, delta_bic).
 
-    All trials of all series are one table, detected in one plan: a trial is a series of its own. Of several events within the tolerance the most significant counts; no other is scored.
+    A trial is a series of its own, of which only the readings around its runs are kept, until the result is written. Of several events within the tolerance the most significant counts; no other is scored.
     """
-    plan = trials(rows, depths, per_depth, ingress, egress, config)
-    blocks = rows.select("series", "block").distinct().join(plan, "series")
-    t0, d = F.col("t0"), F.col("depth")
-    injected = rows.join(blocks, ["series", "block"]).withColumn("flux", F.col("flux") - ramp(F.col("time"), t0, d, F.lit(ingress), F.lit(egress))).withColumn("series", F.struct("series", "trial")).drop("t0", "depth", "trial")
-    near = measured(smoothed(injected, config, detrend, has_long(rows)), config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance)
-    scored = near.withColumns({"significance": strength(), "flagged": flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config)})
-    top = scored.groupBy("series.series", "series.trial").agg(F.max(F.struct("significance", -F.col("t_min"), "flagged", "t_min", "a_dur", "delta_bic")).alias("m"))
-    return plan.join(top, ["series", "trial"], "left").select("series", "trial", "t0", "depth", F.col("m").isNotNull().alias("detected"), F.coalesce("m.flagged", F.lit(False)).alias("flagged"), F.col("m.t_min").alias("recovered_t0"), F.col("m.a_dur").alias("recovered_a_dur"), F.col("m.delta_bic").alias("delta_bic"))
+    depth, t0 = F.col("depth"), F.col("t0")
+    with scratch(rows.sparkSession) as keep:
+        plan = keep(trials(rows, depths, per_depth, ingress, egress, config))
+        flat = smoothed_variants(rows, plan, lambda time, flux, v: flux - _ramp(time, v["t0"], v["depth"], ingress, egress), config, detrend)
+        if has_long(rows):
+            flux = F.col("flux") - ramp(F.col("time"), t0, depth, F.lit(ingress), F.lit(egress))
+            flat = flat.unionByName(long_variants(rows.where(F.col("n") > se.BLOCK), plan, flux, config, detrend))
+        near = measured(keep(flat), config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance)
+        scored = near.withColumns({"significance": strength(), "flagged": flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config)})
+        top = scored.groupBy("series.series", "series.trial").agg(F.max(F.struct("significance", -F.col("t_min"), "flagged", "t_min", "a_dur", "delta_bic")).alias("m"))
+        found = plan.join(top, ["series", "trial"], "left")
+        return kept(found.select("series", "trial", "t0", "depth", F.col("m").isNotNull().alias("detected"), F.coalesce("m.flagged", F.lit(False)).alias("flagged"), F.col("m.t_min").alias("recovered_t0"), F.col("m.a_dur").alias("recovered_a_dur"), F.col("m.delta_bic").alias("delta_bic")))
 
 
 def label_trials(rows: DataFrame, per_class: int, config: Config | None = None) -> DataFrame:
@@ -92,21 +105,50 @@ def label_trials(rows: DataFrame, per_class: int, config: Config | None = None)
 def labelled(rows: DataFrame, per_class: int = 20, tolerance: float = 0.5, config: Config | None = None) -> DataFrame:
     """Feature rows of detected injections into normalised series: series, trial, label, injected_depth and FEATURES, at most one row per trial.
 
-    All trials are one table, injected, then detrended, then detected in one plan. A trial is answered by the event whose window begins nearest to its epoch, within the tolerance (spots: however far); one without injection by its first event.
+    A trial is injected, then detrended, then detected; it is answered by the event whose window begins nearest to its epoch, within the tolerance (spots: however far); one without injection by its first event.
+    Of all trials only readings around their runs are kept, of answered ones all for the periodogram and the noise, both until the result is written.
     """
-    plan = kept(label_trials(rows, per_class, config))
-    back = rows.select("series", (F.col("n") - 1 - F.col("pos")).alias("pos"), F.col("flux").alias("_back"))
-    both = rows.join(back, ["series", "pos"])
-    blocks = both.select("series", "block").distinct().join(plan, "series")
-    t, t0, a = F.col("time"), F.col("t0"), F.col("amplitude")
-    change = F.when(F.col("label").isin("comet", "symmetric", "reversed"), -ramp(t, t0, a, F.col("ingress"), F.col("egress"))).when(F.col("label") == "flare", flare(t, t0, a, F.col("ingress"), F.col("egress"))).when(F.col("label") == "starspot", starspot(t, F.col("period"), a, F.col("phase"))).otherwise(0.0)
-    flux = F.when(F.col("label") == "time_reversed_real", F.col("_back")).otherwise(F.col("flux") + change)
-    injected = both.join(blocks, ["series", "block"]).withColumn("flux", flux).withColumn("series", F.struct("series", "trial")).select(*rows.columns)
-    flat = smoothed(injected, config, long=has_long(rows))
-    found = kept(candidate_rows(flat, config))
-    near = plan.join(found, ["series", "trial"]).withColumn("apart", F.when(F.col("label").isin("noise", "time_reversed_real"), F.col("t_min")).otherwise(F.abs(F.col("t_min") - F.col("duration_days") / 2 - t0)))
-    answer = near.where((F.col("apart") <= tolerance) | F.col("label").isin("starspot", "noise", "time_reversed_real")).groupBy("series", "trial").agg(F.min(F.struct("apart", "t_min", "label", "amplitude")).alias("m")).select("series", "trial", "m.t_min", "m.label", F.col("m.amplitude").alias("injected_depth"))
-    return answer.join(features(found, flat, ("series", "trial")), ["series", "trial", "t_min"]).select("series", "trial", "label", "injected_depth", *FEATURES)
+    with scratch(rows.sparkSession) as keep:
+        plan = keep(label_trials(rows, per_class, config))
+        far = rows.where(F.col("n") > se.BLOCK) if has_long(rows) else None
+        if far is not None:
+            far = far.join(far.select("series", (F.col("n") - 1 - F.col("pos")).alias("pos"), F.col("flux").alias("_back")), ["series", "pos"])
+
+        def flat(some: DataFrame, whole: bool) -> DataFrame:
+            near = smoothed_variants(rows, some, _changed, config, whole=whole)
+            return keep(near if far is None else near.unionByName(long_variants(far, some, _changed_column(), config)))
+
+        events = keep(measured(flat(plan, False), config))
+        begin = F.abs(F.col("t_min") - (F.col("end_time") - F.col("start_time")) / 2 - F.col("t0"))
+        free = F.col("label").isin("noise", "time_reversed_real")
+        near = plan.join(events.select("series.*", "t_min", "start_time", "end_time"), ["series", "trial"]).withColumn("apart", F.when(free, F.col("t_min")).otherwise(begin))
+        answer = near.where((F.col("apart") <= tolerance) | free | (F.col("label") == "starspot")).groupBy("series", "trial").agg(F.min(F.struct("apart", "t_min", "label", "amplitude")).alias("m")).select("series", "trial", "m.t_min", "m.label", F.col("m.amplitude").alias("injected_depth"))
+        answer = keep(answer)
+        rest = flat(plan.join(answer.select("series", "trial"), ["series", "trial"], "left_semi"), True)
+        theirs = events.join(answer.select(F.struct("series", "trial").alias("series")), "series", "left_semi")
+        made = features(candidate_rows(rest, config, events=theirs), rest, ("series", "trial"))
+        return kept(answer.join(made, ["series", "trial", "t_min"]).select("series", "trial", "label", "injected_depth", *FEATURES))
+
+
+def _changed(time: np.ndarray, flux: np.ndarray, trial: Mapping) -> np.ndarray:
+    """The flux of a trial of label_trials."""
+    label, t0, a = trial["label"], trial["t0"], trial["amplitude"]
+    if label in ("comet", "symmetric", "reversed"):
+        return flux - _ramp(time, t0, a, trial["ingress"], trial["egress"])
+    if label == "flare":
+        dt = time - t0
+        return flux + a * np.where(dt > 0, np.exp(-np.maximum(dt, 0) / trial["egress"]), np.maximum(1 + np.minimum(dt, 0) / trial["ingress"], 0))
+    if label == "starspot":
+        return flux + a * np.sin(2 * math.pi * time / trial["period"] + trial["phase"])
+    return np.ascontiguousarray(flux[::-1]) if label == "time_reversed_real" else flux
+
+
+def _changed_column() -> Column:
+    """The same by columns, with `_back` for the flux of the series turned round."""
+    t, t0, a, label = F.col("time"), F.col("t0"), F.col("amplitude"), F.col("label")
+    dip = label.isin("comet", "symmetric", "reversed")
+    change = F.when(dip, -ramp(t, t0, a, F.col("ingress"), F.col("egress"))).when(label == "flare", flare(t, t0, a, F.col("ingress"), F.col("egress"))).when(label == "starspot", starspot(t, F.col("period"), a, F.col("phase"))).otherwise(0.0)
+    return F.when(label == "time_reversed_real", F.col("_back")).otherwise(F.col("flux") + change)
 
 
 def completeness(results: DataFrame, by: str = "depth") -> DataFrame:

@@ -186,9 +186,12 @@ def strength() -> Column:
     return F.when(sigma.isNull(), 0.0).when(sigma <= 0, F.when(a != 0, F.lit(float("inf"))).otherwise(F.lit(0.0))).otherwise(F.abs(a) / sigma)
 
 
-def candidate_rows(rows: DataFrame, config: Config | None = None, found: DataFrame | None = None) -> DataFrame:
-    """The output relation: one row for each event with its 18 columns, series' keys in front. The periodogram is worked out only for series with events."""
-    events = kept(measured(rows, config, found=found))
+def candidate_rows(rows: DataFrame, config: Config | None = None, found: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """The output relation: one row for each event with its 18 columns, series' keys in front. The periodogram is worked out only for series with events.
+
+    found: the runs, events: the measured ones, if they are known already.
+    """
+    events = kept(measured(rows, config, found=found)) if events is None else events
     with_events = rows.join(events.select("series").distinct(), "series", "left_semi")
     all_columns = events.join(periodicity(with_events, config), "series", "left")
     a = F.col("a_dur")

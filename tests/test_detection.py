@@ -148,6 +148,36 @@ def test_recovery(rows):
     assert by == {0.004: 1.0}
 
 
+@pytest.mark.parametrize("block", [65536, 700])
+def test_variants_are_trials_as_series(rows, monkeypatch, block):
+    """Made where the series is or block by block, a trial gives what a series with that injection gives."""
+    monkeypatch.setattr(se, "BLOCK", block)
+    r = se.normalised(table(rows, flat=CURVES["flat"], comet=CURVES["comet"]))
+    plan = cal.label_trials(r, 1, QUICK).persist()
+    t = {(x["series"]["target_id"], x["trial"]): x for x in plan.collect()}
+    level = {x["target_id"]: x["level"] for x in se.series_stats(table(rows, flat=CURVES["flat"], comet=CURVES["comet"])).collect()}
+    each = {f"{k}/{n}": (CURVES[k][0], cal._changed(CURVES[k][0], CURVES[k][1] / level[k], x), CURVES[k][2] / level[k]) for (k, n), x in t.items()}
+    alone = se.normalised(table(rows, **each))
+    back = alone.withColumns({"flux": F.col("flux") * F.col("level"), "flux_err": F.col("flux_err") * F.col("level")})  # trials aren't normalised again
+    c = ev.candidate_rows(se.smoothed(back, QUICK), QUICK).toPandas()
+    got = cal.labelled(r, 1, config=QUICK).toPandas()
+    want = {}
+    for (k, n), x in t.items():
+        e = c[c.target_id == f"{k}/{n}"]
+        free = x["label"] in ("noise", "time_reversed_real")
+        apart = e.t_min if free else (e.t_min - e.duration_days / 2 - x["t0"]).abs()
+        e = e.assign(apart=apart)[(apart <= 0.5) | free | (x["label"] == "starspot")].sort_values("apart")
+        if len(e):
+            want[k, n] = e.iloc[0]
+    assert len(want) >= 3 and {(s["target_id"], n) for s, n in zip(got.series, got.trial)} == want.keys()
+    for _, g in got.iterrows():
+        w = want[g.series["target_id"], g.trial]
+        for name in ("depth_ppm", "duration_days", "a_dur", "delta_bic", "tau_over_sigma", "periodic", "n_points_in_window"):
+            np.testing.assert_allclose(float(g[name]), float(w[name]), rtol=1e-4)
+    dips = cal.recovery(r, (2e-3,), per_depth=2, config=QUICK).toPandas()
+    assert len(dips) == 4 and dips.detected.all()
+
+
 def test_recovery_makes_every_trial(spark, rows, monkeypatch):
     from dipweave import __main__ as command
     from dipweave.plans import detection
