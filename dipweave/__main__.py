@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -14,12 +13,12 @@ from .operators.calibration import completeness, recovery
 from .operators.events import detect
 from .operators.matching import one_to_one
 from .operators.series import normalised
-from .sources.truth import gate, passed, truth
+from .sources.truth import gate, passed, read_spec, save_report, truth
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="dipweave", description=__doc__)
-    p.add_argument("--config", help="JSON file with sections of the configuration")
+    p.add_argument("--config", help="JSON or YAML file with sections of the configuration")
     commands = p.add_subparsers(dest="command", required=True)
     run = commands.add_parser("run", help="find dips and write one JSON line for each")
     inject = commands.add_parser("inject", help="inject dips and print how many come back, by depth")
@@ -31,14 +30,15 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--flagged", action="store_true", help="only flagged ones")
     inject.add_argument("--depths", type=float, nargs="+", default=[200.0, 500.0, 1000.0, 2000.0, 3000.0, 5000.0], help="in ppm")
     inject.add_argument("--per-depth", type=int, default=20)
-    validate.add_argument("truth", help="JSON file with match_tolerance_days and targets")
+    validate.add_argument("truth", help="JSON or YAML file with match_tolerance_days and targets")
     validate.add_argument("--strict", action="store_true", help="a target without published dips fails")
+    validate.add_argument("--report", help="folder for the states as JSON lines")
     return p
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(args)
-    config = from_dict(json.load(open(a.config))) if a.config else Config()
+    config = from_dict(read_spec(a.config)) if a.config else Config()
     spark = spark or SparkSession.builder.appName("dipweave").getOrCreate()
     readings = spark.read.parquet(a.readings)
     if a.command == "inject":
@@ -48,7 +48,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     if a.command == "validate":
         try:
-            dips, tolerance = truth(spark, json.load(open(a.truth)))
+            dips, tolerance = truth(spark, read_spec(a.truth))
         except (ValueError, OSError) as e:
             print(e, file=sys.stderr)
             return 2
@@ -60,6 +60,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     offset = F.abs(F.col("t_min") - F.col("t_min_bkjd"))
     near = known.join(found.select("target_id", "t_min").withColumn("candidate_id", F.xxhash64("target_id", "t_min")), "target_id").withColumn("offset", offset).where(F.col("offset") <= tolerance)
     states = gate(dips, known.join(one_to_one(near.select("dip_id", "candidate_id", "offset")).select("dip_id"), "dip_id"), a.strict)
+    if a.report:
+        save_report(states, a.report)
     for r in states.orderBy("target_id").collect():
         print(f"{r['target_id']}: {r['state']}, {r['n_recovered']} of {r['n_dips']}")
     return 0 if passed(states) else 1

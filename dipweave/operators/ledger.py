@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,24 @@ def targets_view(ledger: DataFrame, results: DataFrame, processed: DataFrame, ma
     return joined.select(*KEY, "status", "attempt", number("n").alias("n_candidates"), number("f").alias("n_flagged"), F.when(F.col("status") == "failed", F.greatest(max_attempts - F.col("attempt"), F.lit(0))).alias("retries_left"))
 
 
+def candidates_view(ledger: DataFrame, results: DataFrame, processed: DataFrame) -> DataFrame:
+    """The results of targets that have an entry and a results file; a target without one has none here, as in targets_view."""
+    return results.join(latest(ledger).select(*KEY).join(processed.select(*KEY).distinct(), KEY, "left_semi"), KEY, "left_semi")
+
+
+def rebuild(ledger: DataFrame, results: DataFrame, processed: DataFrame, folder: str, max_attempts: int = 3) -> None:
+    """Writes the tables attempts, targets and candidates below a folder anew, each in place of the one that was there."""
+    tables = {"attempts": ledger, "targets": targets_view(ledger, results, processed, max_attempts), "candidates": candidates_view(ledger, results, processed)}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def united(*lists: DataFrame) -> DataFrame:
+    """(target_id, list, place): targets of several lists (target_id, place), each once, in the first list that has it, at its first place there. Order by (list, place); places of all lists have one type."""
+    tagged = [x.select("target_id", F.struct(F.lit(k).alias("list"), "place").alias("at")) for k, x in enumerate(lists)]
+    return reduce(DataFrame.unionByName, tagged).groupBy("target_id").agg(F.min("at").alias("at")).select("target_id", "at.*")
+
+
 def target_list(spark: SparkSession, path: str) -> DataFrame:
     """(target_id, place): the lines of a text list, without comments (from `#` on) and blanks around; empty lines go, repeated ones count once. Their order is that of place: the file's time, its name, the place in it."""
     lines = spark.read.text(path).select(F.trim(F.split("value", "#")[0]).alias("target_id"), _place().alias("place")).where("target_id <> ''")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.numbers import is_finite
+from ..functions.numbers import is_finite, known
 from ..sources.shared import kept
 from .kernels import rolling_median, savgol, spline_trend
 from .medians import exact_medians
@@ -146,6 +146,19 @@ def _normalised_long(usable: DataFrame) -> DataFrame:
     return _by_block(rows, scalars, blocks).withColumns({"flux": F.col("flux") / F.col("level"), "flux_err": F.col("flux_err") / F.col("level")}).select("series", *named)
 
 
+def time_order(readings: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Per series n, the readings with a known time, each idx once with its least time, and n_back, those of them that aren't later than the one before by idx: 0 for times in order.
+
+    A series is cut into blocks by idx, and the last time of a block is handed to the next. Readings without idx are one block, before the others, in no order but that of time.
+    """
+    once = readings.select(F.struct(*keys).alias("series"), "idx", known(F.col("time")).alias("time")).where("time IS NOT NULL")
+    once = once.groupBy("series", "idx").agg(F.min("time").alias("time")).withColumn("part", F.floor(F.col("idx") / BLOCK))
+    rows = once.withColumn("before", F.lag("time").over(Window.partitionBy("series", "part").orderBy("idx")))
+    blocks = rows.groupBy("series", "part").agg(F.count("*").alias("n"), F.count_if(F.col("time") <= F.col("before")).alias("back"), F.min_by("time", "idx").alias("first"), F.max_by("time", "idx").alias("last"))
+    border = F.col("first") <= F.lag("last").over(Window.partitionBy("series").orderBy("part"))
+    return blocks.withColumn("back", F.col("back") + F.coalesce(border.cast("int"), F.lit(0))).groupBy("series").agg(F.sum("n").alias("n"), F.sum("back").alias("n_back")).select("series.*", "n", "n_back")
+
+
 def series_stats(readings: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One row per series: n_points, n_dropped (readings that aren't usable or repeat a time), level, cadence_days, baseline_days."""
     rows = normalised(readings, keys).groupBy("series").agg(F.max("n").alias("n_points"), F.max("level").alias("level"), F.max("cadence").alias("cadence_days"), (F.max("time") - F.min("time")).alias("baseline_days"))

@@ -42,6 +42,12 @@ def features(candidates: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> D
     return joined.select(*keys, "t_min", *(made.get(f, F.col(f)).cast("double").alias(f) for f in FEATURES))
 
 
+def found_rows(candidates: DataFrame, now) -> DataFrame:
+    """What a watch over new data adds to its list: the flagged candidates with `features`, a map of their FEATURES (missing ones have NULL), in place of those that are no columns of a candidate, and found_utc, an ISO text."""
+    entries = [x for f in FEATURES for x in (F.lit(f), finite(F.col(f).cast("double")))]
+    return candidates.where("flagged").withColumns({"features": F.create_map(*entries), "found_utc": F.date_format(F.lit(now).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")})
+
+
 def feature_medians(rows: DataFrame, names: tuple[str, ...] = FEATURES) -> dict[str, float]:
     """The exact median of each feature, one number each; a feature that is never there has none."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(n).alias("k"), finite(F.col(n).cast("double")).alias("v")) for n in names))).alias("e")).select("e.*")

@@ -41,6 +41,11 @@ def normalised_readings(spark: SparkSession, folder: str) -> DataFrame:
     return _rows(spark, folder).select("series.*", "pos", "time", _digits("flux").alias("flux"), _digits("flux_err").alias("flux_err"))
 
 
+def time_order(spark: SparkSession, folder: str) -> DataFrame:
+    """How many readings of each series are not later than the one before."""
+    return se.time_order(table(spark, folder, "light_curves"))
+
+
 def rolling_baseline(spark: SparkSession, folder: str) -> DataFrame:
     return _plain(spark, folder).select("series.*", "pos", _digits("baseline").alias("baseline"), _digits("sigma").alias("sigma"))
 
@@ -225,8 +230,9 @@ _FLANKS = f"""{_BASE},
 f AS (SELECT {_SERIES}, span, count(*) AS n, CASE WHEN count(*) >= 10 THEN round(median(flux), 9) END AS level FROM m, (SELECT unnest([2.0621, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 14.0, 20.0])::DOUBLE AS span) sp
   WHERE abs(time - (t_first + t_last) / 2) >= 1 AND abs(time - (t_first + t_last) / 2) <= 1 + span GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (normalise_series, normalised_readings, rolling_baseline, depth_significance, upper_clip, dip_runs, event_windows, event_geometry, time_reverse, inject_comet, inject_flare, inject_starspot, out_of_event_level, baseline_sweep, depth_five_ways, detrend_savgol, detrend_spline, detect_pipeline, periodicity, event_features, injection_recovery, generate_labels, sector_lists)}
+QUERIES = {f.__name__: f for f in (time_order, normalise_series, normalised_readings, rolling_baseline, depth_significance, upper_clip, dip_runs, event_windows, event_geometry, time_reverse, inject_comet, inject_flare, inject_starspot, out_of_event_level, baseline_sweep, depth_five_ways, detrend_savgol, detrend_spline, detect_pipeline, periodicity, event_features, injection_recovery, generate_labels, sector_lists)}
 SQL = {
+    "time_order": f"WITH o AS (SELECT {_SERIES}, idx, min(time) FILTER (NOT isnan(time)) AS time FROM light_curves GROUP BY ALL HAVING min(time) FILTER (NOT isnan(time)) IS NOT NULL), b AS (SELECT *, lag(time) OVER (PARTITION BY {_SERIES} ORDER BY idx) AS before FROM o) SELECT {_SERIES}, count(*) AS n, count(*) FILTER (time <= before) AS n_back FROM b GROUP BY ALL",
     "normalise_series": f"{_BASE}, a AS (SELECT {_SERIES}, count(*) AS every FROM light_curves GROUP BY ALL) SELECT st.{_SERIES.replace(', ', ', st.')}, n AS n_points, every - n AS n_dropped, round(level, 6) AS level, round(cad, 9) AS cadence_days, round(t_last - t_first, 6) AS baseline_days FROM st JOIN a ON {_ON.format('st', 'a')}",
     "normalised_readings": f"{_BASE} SELECT {_SERIES}, pos, time, round(flux, 9) AS flux, round(flux_err, 9) AS flux_err FROM m",
     "rolling_baseline": f"{_LEVELS} SELECT {_SERIES}, pos, round(baseline, 9) AS baseline, round(sigma, 9) AS sigma FROM s",

@@ -12,6 +12,7 @@ from ..operators import calibration as cal
 from ..operators import ledger as le
 from ..operators import matching as ma
 from ..operators import training as tr
+from ..operators.events import flagged
 from ..operators.hold_out import without_held_out
 from ..operators.medians import exact_quantile
 from ..sources.shared import new_folder
@@ -118,8 +119,6 @@ def a_dur_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 def flag_rule(spark: SparkSession, folder: str) -> DataFrame:
     """The flag rule applied again to the stored statistics."""
-    from ..operators.events import flagged
-
     c = table(spark, folder, "candidates")
     return c.select("candidate_id", "found_at", flagged(F.col("delta_bic"), F.col("tau_over_sigma")).alias("again")).groupBy("candidate_id").agg(F.max("again").alias("again"), F.count("*").alias("n"))
 
@@ -229,10 +228,41 @@ def next_targets(spark: SparkSession, folder: str) -> DataFrame:
 
 def targets_view(spark: SparkSession, folder: str) -> DataFrame:
     """Attempts with the orders of a customer as results, urgent ones flagged; customers with a negative balance have no results file."""
-    key = F.col("o_custkey").cast("string").alias("target_id"), F.lit("Kepler").alias("mission")
-    results = table(spark, folder, "orders").select(*key, (F.col("o_orderpriority") == "1-URGENT").alias("flagged"))
-    processed = table(spark, folder, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").cast("string").alias("target_id"), F.lit("Kepler").alias("mission"))
-    return le.targets_view(_ledger(spark, folder), results, processed).drop("mission")
+    return le.targets_view(_ledger(spark, folder), *_orders(spark, folder)).drop("mission")
+
+
+def attempts_view(spark: SparkSession, folder: str) -> DataFrame:
+    """All attempts, numbered."""
+    return _ledger(spark, folder).select("target_id", "status", "attempt", "timestamp_utc", "seq")
+
+
+def _orders(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as results, urgent ones flagged; customers without a negative balance have a results file."""
+    key = lambda c: (F.col(c).cast("string").alias("target_id"), F.lit("Kepler").alias("mission"))
+    results = table(spark, folder, "orders").select(*key("o_custkey"), "o_orderkey", (F.col("o_orderpriority") == "1-URGENT").alias("flagged"))
+    return results, table(spark, folder, "customer").where("c_acctbal >= 0").select(*key("c_custkey"))
+
+
+def candidates_view(spark: SparkSession, folder: str) -> DataFrame:
+    return le.candidates_view(_ledger(spark, folder), *_orders(spark, folder)).select("target_id", "o_orderkey", "flagged")
+
+
+def united_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """Targets of the validation list, then those of the published dips."""
+    name = lambda t, place: table(spark, folder, t).where("target_id IS NOT NULL").select("target_id", F.col(place).cast("bigint").alias("place"))
+    return le.united(name("validation_targets", "target_no"), name("known_dips", "dip_id"))
+
+
+def first_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 200 targets of the work queue, the share of one run."""
+    return next_targets(spark, folder).orderBy("is_retry", "retry_time", "place").limit(200)
+
+
+def monitor_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled rows that the rule flags, as additions to the list of a watch."""
+    rows = table(spark, folder, "training_labels").withColumn("flagged", flagged(F.col("delta_bic"), F.col("tau_over_sigma")))
+    f = F.col("features")
+    return tr.found_rows(rows, "2022-12-01 00:00:00").select("label_id", "found_utc", F.size(f).alias("n_features"), F.size(F.map_filter(f, lambda _, v: v.isNotNull())).alias("n_known"), f["delta_bic"].alias("delta_bic"))
 
 
 def newest_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,7 +329,7 @@ last AS (SELECT * FROM led WHERE back = 1)"""
 _MEDIANS = ", ".join(f"(SELECT coalesce(median({f}) FILTER (isfinite({f})), 0) FROM training_labels) AS m_{f}" for f in tr.FEATURES)
 _SUMS = " UNION ALL ".join([f"SELECT {k} AS k, round(sum(CASE WHEN isfinite({f}) THEN {f} ELSE m_{f} END), 3) AS total FROM training_labels, md" for k, f in enumerate(tr.FEATURES)] + [f"SELECT {k + len(tr.FEATURES)} AS k, round(sum(CASE WHEN isfinite({f}) THEN 1.0 ELSE 0.0 END), 3) AS total FROM training_labels" for k, f in enumerate(tr.FEATURES)])
 
-QUERIES = {f.__name__: f for f in (match_all, match_max_significance, match_deepest, match_nearest_start, match_one_to_one, match_truth, best_cross_match, match_control, cone_search, catalog_stars, completeness_by_depth, detection_floor, fpr_threshold, host_vetting, candidates_summary, a_dur_histogram, flag_rule, dedup_labels, least_covered, hold_out_guard, ratio_summary, impute_features, train_classifier, classifier_completeness, classifier_folds, backtest_candidates, training_rows, slugify, latest_attempts, written_ledger, next_targets, targets_view, newest_runs, export_rows, fresh_cache, new_products)}
+QUERIES = {f.__name__: f for f in (match_all, match_max_significance, match_deepest, match_nearest_start, match_one_to_one, match_truth, best_cross_match, match_control, cone_search, catalog_stars, completeness_by_depth, detection_floor, fpr_threshold, host_vetting, candidates_summary, a_dur_histogram, flag_rule, dedup_labels, least_covered, hold_out_guard, ratio_summary, impute_features, train_classifier, classifier_completeness, classifier_folds, backtest_candidates, training_rows, slugify, latest_attempts, written_ledger, next_targets, targets_view, attempts_view, candidates_view, united_lists, first_targets, monitor_rows, newest_runs, export_rows, fresh_cache, new_products)}
 SQL = {
     "match_all": f"{_MATCH} SELECT dip_id, candidate_id, round(off, 6) AS \"offset\" FROM pairs",
     "match_max_significance": _first("-coalesce(sig, '-inf'::DOUBLE)"),
@@ -336,6 +366,11 @@ l AS (SELECT label_id, host_star, label, {_NAME.format("host_star")} AS name FRO
     "written_ledger": f"{_ATTEMPTS} SELECT target_id, status, attempt, timestamp_utc FROM last",
     "next_targets": f"{_ATTEMPTS} SELECT c_custkey::VARCHAR AS target_id, c_custkey AS place, status IS NOT NULL AS is_retry, timestamp_utc AS retry_time FROM customer LEFT JOIN last ON last.target_id = c_custkey::VARCHAR WHERE status IS NULL OR (status = 'failed' AND attempt < 3)",
     "targets_view": f"{_ATTEMPTS}, c AS (SELECT o_custkey::VARCHAR AS target_id, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS f FROM orders GROUP BY 1), h AS (SELECT c_custkey::VARCHAR AS target_id FROM customer WHERE c_acctbal >= 0) SELECT last.target_id, status, attempt, CASE WHEN h.target_id IS NOT NULL THEN coalesce(n, 0) END AS n_candidates, CASE WHEN h.target_id IS NOT NULL THEN coalesce(f, 0) END AS n_flagged, CASE WHEN status = 'failed' THEN greatest(3 - attempt, 0) END AS retries_left FROM last LEFT JOIN c ON last.target_id = c.target_id LEFT JOIN h ON last.target_id = h.target_id",
+    "attempts_view": f"{_ATTEMPTS}, s AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY back DESC) AS seq FROM led) SELECT target_id, status, attempt, timestamp_utc, seq FROM s",
+    "candidates_view": f"{_ATTEMPTS} SELECT o_custkey::VARCHAR AS target_id, o_orderkey, o_orderpriority = '1-URGENT' AS flagged FROM orders WHERE o_custkey::VARCHAR IN (SELECT target_id FROM last) AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)",
+    "united_lists": "WITH a AS (SELECT target_id, 0 AS list, target_no::BIGINT AS place FROM validation_targets UNION ALL SELECT target_id, 1, dip_id::BIGINT FROM known_dips) SELECT target_id, list, place FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY list, place) AS k FROM a WHERE target_id IS NOT NULL) WHERE k = 1",
+    "first_targets": f"{_ATTEMPTS} SELECT c_custkey::VARCHAR AS target_id, c_custkey AS place, status IS NOT NULL AS is_retry, timestamp_utc AS retry_time FROM customer LEFT JOIN last ON last.target_id = c_custkey::VARCHAR WHERE status IS NULL OR (status = 'failed' AND attempt < 3) ORDER BY is_retry, retry_time NULLS FIRST, place LIMIT 200",
+    "monitor_rows": "SELECT label_id, '2022-12-01T00:00:00' AS found_utc, 19::INT AS n_features, (" + " + ".join(f"(isfinite({f}::DOUBLE) IS TRUE)::INT" for f in tr.FEATURES) + ")::INT AS n_known, delta_bic FROM training_labels WHERE isfinite(delta_bic) AND isfinite(tau_over_sigma) AND delta_bic > 10 AND tau_over_sigma > 1",
     "newest_runs": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
     "export_rows": "SELECT candidate_id, coalesce(target_id, 'unknown') || ' [' || mission || ']' AS target, CASE WHEN NOT isnan(t_min) THEN t_min END AS t_min, CASE WHEN NOT isnan(depth_ppm) THEN depth_ppm END AS depth_ppm FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY found_at DESC) AS k FROM candidates WHERE flagged) WHERE k = 1",
     "fresh_cache": "SELECT source, count(*) AS n, strftime(max(fetched_at AT TIME ZONE 'UTC'), '%Y-%m-%d') AS last_day FROM documents WHERE fetched_at >= TIMESTAMPTZ '2022-12-01 00:00:00+00' - INTERVAL 14 DAY GROUP BY 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators.hold_out import HoldOutError, check_held_out
 
-__all__ = ["DIPS", "HoldOutError", "first_present", "gate", "load_labels", "passed", "synthetic", "truth"]
+try:
+    import yaml
+except ImportError:  # JSON does
+    yaml = None
+
+__all__ = ["DIPS", "HoldOutError", "first_present", "gate", "load_labels", "passed", "read_spec", "save_report", "synthetic", "truth"]
 
 DIPS = "target_id string, mission string, expected_dip_count int, t_min_bkjd double, depth_ppm double, note string"
 
@@ -33,6 +39,24 @@ def truth(spark: SparkSession, spec: dict) -> tuple[DataFrame, float]:
     return spark.createDataFrame(rows, DIPS), float(tolerance)
 
 
+def read_spec(path: str) -> dict:
+    """A specification or configuration from a file: YAML for names that end so, where a parser for it is installed, else JSON. ValueError if it is neither or no mapping."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        if path.endswith((".yaml", ".yml")):
+            if yaml is None:
+                raise ValueError("no parser for YAML is installed")
+            spec = yaml.safe_load(text)
+        else:
+            spec = json.loads(text)
+    except (json.JSONDecodeError, *((yaml.YAMLError,) if yaml else ())) as e:
+        raise ValueError(f"{path}: {e}") from e
+    if not isinstance(spec, dict):
+        raise ValueError(f"{path} holds no mapping")
+    return spec
+
+
 def gate(dips: DataFrame, matched: DataFrame, strict: bool = False) -> DataFrame:
     """(target_id, n_dips, n_recovered, state) with state `passed`, `failed` or, for a target without published dips, `skipped` (`failed` if strict).
 
@@ -48,6 +72,11 @@ def passed(states: DataFrame) -> bool:
     return r["ok"] > 0 and r["bad"] == 0
 
 
+def save_report(states: DataFrame, path: str) -> None:
+    """Writes the states of gate() as JSON lines, one per target."""
+    states.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def load_labels(spark: SparkSession, *paths: str, held_out: tuple[str, ...] = (), catalog: DataFrame | None = None) -> DataFrame:
     """Labelled rows of all paths; HoldOutError if a host is one of those held out, in any spelling and, with a catalogue, by any of its numbers."""
     rows = spark.read.parquet(*paths)

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from dipweave.operators import ledger as le
 from dipweave.operators import matching as ma
+from dipweave.operators import series as se
+from dipweave.operators import training as tr
 from dipweave.sources import extracts as ex
+from dipweave.sources import truth
 from dipweave.streaming import ingest as st
 
 
@@ -245,3 +248,53 @@ def test_held_out_stars_go(rows):
     with pytest.raises(HoldOutError):
         check_held_out(df, held, catalog)
     assert without_held_out(df.limit(0), held, catalog).count() == 0
+
+
+def test_relations_are_rebuilt(spark, rows, tmp_path):
+    key = {"target_id": "string", "mission": "string"}
+    schema = ", ".join(f"{k} {v}" for k, v in key.items())
+    entries = rows([("a", "M", "failed", 1, 1), ("a", "M", "success", 1, 2), ("b", "M", "failed", 4, 3), ("c", "M", "success", 1, 4)], f"{schema}, status string, attempt int, seq bigint")
+    results = rows([("a", "M", 1.0, True), ("a", "M", 2.0, False), ("b", "M", 3.0, True), ("x", "M", 4.0, True)], f"{schema}, t_min double, flagged boolean")
+    for processed in ([("a", "M"), ("c", "M")], [("a", "M"), ("c", "M"), ("x", "M")]):
+        le.rebuild(entries, results, rows(processed, schema), str(tmp_path / "db"))
+        read = lambda t: spark.read.parquet(str(tmp_path / "db" / t))
+        assert read("attempts").count() == 4
+        got = {r["target_id"]: (r["status"], r["n_candidates"], r["n_flagged"], r["retries_left"]) for r in read("targets").collect()}
+        assert got == {"a": ("success", 2, 1, None), "b": ("failed", None, None, 0), "c": ("success", 0, 0, None)}
+        assert sorted(r["t_min"] for r in read("candidates").collect()) == [1.0, 2.0]
+
+
+def test_united_lists(rows):
+    schema = "target_id string, place bigint"
+    got = le.united(rows([("b", 1), ("a", 2), ("b", 3)], schema), rows([("c", 1), ("a", 0)], schema), rows([], schema))
+    assert [r["target_id"] for r in got.orderBy("list", "place").collect()] == ["b", "a", "c"]
+
+
+def test_found_rows(rows):
+    flags = [(1.0, True), (None, True), (float("nan"), True), (2.0, False), (3.0, None)]
+    df = rows(flags, "depth_ppm double, flagged boolean").select("*", *(F.lit(0.5).alias(f) for f in tr.FEATURES if f != "depth_ppm"))
+    got = tr.found_rows(df, "2024-05-06 07:08:09").collect()
+    assert [r["features"]["depth_ppm"] for r in got] == [1.0, None, None] and {r["found_utc"] for r in got} == {"2024-05-06T07:08:09"}
+    assert all(r["features"].keys() == set(tr.FEATURES) for r in got) and not tr.found_rows(df.where("false"), "2024-05-06").collect()
+
+
+@pytest.mark.parametrize("block", [65536, 4])
+def test_time_order(rows, monkeypatch, block):
+    monkeypatch.setattr(se, "BLOCK", block)
+    nan = float("nan")
+    times = {"up": [1.0, 2.0, None, 3.0, 4.0, 5.0], "back": [1.0, 3.0, 2.0, nan, 2.0, 1.0, 4.0], "none": [None, nan]}
+    data = [(k, n, t) for k, v in times.items() for n, t in enumerate(v)] + [("up", 1, 2.0)]
+    got = se.time_order(rows(data, "name string, idx bigint, time double"), ("name",)).collect()
+    assert {tuple(r) for r in got} == {("up", 5, 0), ("back", 6, 3)}
+
+
+def test_specification_files(tmp_path):
+    (tmp_path / "a.json").write_text('{"detrend": {"polyorder": 3}}')
+    assert truth.read_spec(str(tmp_path / "a.json")) == {"detrend": {"polyorder": 3}}
+    for name, text in (("b.json", "[1]"), ("c.json", "{"), ("d.yaml", "- 1")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(ValueError):
+            truth.read_spec(str(tmp_path / name))
+    if truth.yaml:
+        (tmp_path / "e.yml").write_text("targets:\n  - target_id: KIC 1\n")
+        assert truth.read_spec(str(tmp_path / "e.yml")) == {"targets": [{"target_id": "KIC 1"}]}
