@@ -18,6 +18,8 @@ from ..sources.shared import kept
 from .tokens import n_tokens
 
 _BIN = "ids array<bigint>, pieces array<int>, sizes array<bigint>, filled bigint"
+#: The same in Arrow. Spark's batches name the lists' items otherwise and say what is never NULL; tables are put together only if all that is alike.
+_BINS = pa.schema([("ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("filled", pa.int64())])
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -66,11 +68,14 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, enough: int, hosts:
 
     Best fit leaves at most one container that is half full or less. The others are too full for one another, so only the emptiest `hosts` of them are worth keeping open for what comes.
     """
-    left: pa.Table | None = None
-    waiting: list[pa.RecordBatch] = []
+    left = _BINS.empty_table()
+    waiting: list[pa.Table] = []
 
     def settle() -> tuple[pa.Table, pa.Table]:
-        t = _joined(pa.concat_tables(([left] if left is not None else []) + [pa.Table.from_batches([b]) for b in waiting]), capacity)
+        t = pa.concat_tables([left, *waiting])
+        if not len(t):
+            return t, t
+        t = _joined(t, capacity)
         filled = t["filled"].to_numpy()
         by_room = np.argsort(filled, kind="stable")
         by_room = by_room[filled[by_room] < enough][: hosts + 1]
@@ -80,15 +85,14 @@ def _pack(batches: Iterator[pa.RecordBatch], capacity: int, enough: int, hosts:
 
     for b in batches:
         if b.num_rows:
-            waiting.append(b)
+            waiting.append(pa.Table.from_batches([b]).cast(_BINS))
         if sum(x.num_rows for x in waiting) >= at_once:
             closed, left = settle()
             waiting = []
-            yield from closed.append_column("open", pa.array([False] * len(closed))).to_batches(max_chunksize=10_000)
-    if waiting or left is not None:
-        closed, left = settle()
-        for t, is_open in ((closed, False), (left, True)):
-            yield from t.append_column("open", pa.array([is_open] * len(t))).to_batches(max_chunksize=10_000)
+            yield from closed.append_column("open", pa.array([False] * len(closed), pa.bool_())).to_batches(max_chunksize=10_000)
+    closed, left = settle()
+    for t, is_open in ((closed, False), (left, True)):
+        yield from t.append_column("open", pa.array([is_open] * len(t), pa.bool_())).to_batches(max_chunksize=10_000)
 
 
 def pack(items: DataFrame, capacity: int, full: float = 0.995, fan_in: int = 8, at_once: int = 100_000) -> DataFrame:

@@ -295,6 +295,21 @@ def test_packing_a_few_at_once(rows, at_once):
     assert max(fill.values()) <= 100 and sum(2 * f <= 100 for f in fill.values()) <= 1
 
 
+@pytest.mark.parametrize("sizes", [[60, 30, 5, 100, 45] * 20, [100] * 40, [50] * 40])
+def test_packing_further_batches(spark, rows, sizes):
+    """A partition may have more than at_once items, in several batches, and may leave none of its containers open."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = pack(rows([*enumerate(sizes)], "doc_id bigint, tokens bigint").coalesce(1), 100, at_once=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["doc_id"], r["tokens"]) for r in got) == [*enumerate(sizes)]
+    fill = {}
+    for r in got:
+        fill[r["container"]] = fill.get(r["container"], 0) + r["tokens"]
+    assert max(fill.values()) <= 100 and sum(2 * f <= 100 for f in fill.values()) <= 1
+
+
 def test_items_that_never_fit_together(rows):
     got = pack(rows([(k, 60) for k in range(50)], "doc_id bigint, tokens bigint").repartition(9), 100).collect()
     assert len({r["container"] for r in got}) == 50
