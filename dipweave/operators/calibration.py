@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.numbers import finite, is_finite, known
 from ..functions.stars import designation
-from .events import candidate_rows, flagged, measured, strength
-from .training import FEATURES, features
+from .events import Event, candidate_rows, flagged, measured, periodicity, strength
+from .training import FEATURES, features, noise_of
 from .medians import exact_median
 from ..sources.shared import kept, scratch
 from . import series as se
 from .series import has_long
-from .variants import long_variants, smoothed_variants
+from .variants import Variant, long_variants, variant_events
 
 #: Classes with an injection, which have a positive depth.
 INJECTED = ("comet", "symmetric", "reversed", "flare", "starspot")
@@ -62,16 +62,16 @@ def trials(rows: DataFrame, depths: tuple[float, ...], per_depth: int, ingress:
 def recovery(rows: DataFrame, depths: tuple[float, ...], per_depth: int = 20, ingress: float = 0.1, egress: float = 0.5, tolerance: float = 0.5, config: Config | None = None, detrend: str = "savgol") -> DataFrame:
     """One row for each injection into the normalised series of rows: (series, trial, t0, depth, detected, flagged, recovered_t0, recovered_a_dur, delta_bic).
 
-    A trial is a series of its own, of which only the readings around its runs are kept, until the result is written. Of several events within the tolerance the most significant counts; no other is scored.
+    A trial is a series of its own, whose events are measured where it is made. Of several events within the tolerance the most significant counts; no other is scored, and where there is one only, its significance isn't asked for.
     """
     depth, t0 = F.col("depth"), F.col("t0")
     with scratch(rows.sparkSession) as keep:
         plan = keep(trials(rows, depths, per_depth, ingress, egress, config))
-        flat = smoothed_variants(rows, plan, lambda time, flux, v: flux - _ramp(time, v["t0"], v["depth"], ingress, egress), config, detrend)
+        near = variant_events(rows, plan, lambda time, flux, v: flux - _ramp(time, v["t0"], v["depth"], ingress, egress), lambda v: _near(v, tolerance), 2, config, detrend)
         if has_long(rows):
             flux = F.col("flux") - ramp(F.col("time"), t0, depth, F.lit(ingress), F.lit(egress))
-            flat = flat.unionByName(long_variants(rows.where(F.col("n") > se.BLOCK), plan, flux, config, detrend))
-        near = measured(keep(flat), config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance)
+            flat = keep(long_variants(rows.where(F.col("n") > se.BLOCK), plan, flux, config, detrend))
+            near = near.unionByName(measured(flat, config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance))
         scored = near.withColumns({"significance": strength(), "flagged": flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config)})
         top = scored.groupBy("series.series", "series.trial").agg(F.max(F.struct("significance", -F.col("t_min"), "flagged", "t_min", "a_dur", "delta_bic")).alias("m"))
         found = plan.join(top, ["series", "trial"], "left")
@@ -106,28 +106,45 @@ def labelled(rows: DataFrame, per_class: int = 20, tolerance: float = 0.5, confi
     """Feature rows of detected injections into normalised series: series, trial, label, injected_depth and FEATURES, at most one row per trial.
 
     A trial is injected, then detrended, then detected; it is answered by the event whose window begins nearest to its epoch, within the tolerance (spots: however far); one without injection by its first event.
-    Of all trials only readings around their runs are kept, of answered ones all for the periodogram and the noise, both until the result is written.
+    A trial's events, and the period and noise of an answered one, are worked out where the trial is made; the readings of trials of several blocks are kept until the result is written.
     """
     with scratch(rows.sparkSession) as keep:
         plan = keep(label_trials(rows, per_class, config))
-        far = rows.where(F.col("n") > se.BLOCK) if has_long(rows) else None
-        if far is not None:
+        events = keep(variant_events(rows, plan, _changed, lambda v: _answer(v, tolerance), config=config, periods=True))
+        if has_long(rows):
+            far = rows.where(F.col("n") > se.BLOCK)
             far = far.join(far.select("series", (F.col("n") - 1 - F.col("pos")).alias("pos"), F.col("flux").alias("_back")), ["series", "pos"])
-
-        def flat(some: DataFrame, whole: bool) -> DataFrame:
-            near = smoothed_variants(rows, some, _changed, config, whole=whole)
-            return keep(near if far is None else near.unionByName(long_variants(far, some, _changed_column(), config)))
-
-        events = keep(measured(flat(plan, False), config))
-        begin = F.abs(F.col("t_min") - (F.col("end_time") - F.col("start_time")) / 2 - F.col("t0"))
-        free = F.col("label").isin("noise", "time_reversed_real")
-        near = plan.join(events.select("series.*", "t_min", "start_time", "end_time"), ["series", "trial"]).withColumn("apart", F.when(free, F.col("t_min")).otherwise(begin))
-        answer = near.where((F.col("apart") <= tolerance) | free | (F.col("label") == "starspot")).groupBy("series", "trial").agg(F.min(F.struct("apart", "t_min", "label", "amplitude")).alias("m")).select("series", "trial", "m.t_min", "m.label", F.col("m.amplitude").alias("injected_depth"))
-        answer = keep(answer)
-        rest = flat(plan.join(answer.select("series", "trial"), ["series", "trial"], "left_semi"), True)
-        theirs = events.join(answer.select(F.struct("series", "trial").alias("series")), "series", "left_semi")
-        made = features(candidate_rows(rest, config, events=theirs), rest, ("series", "trial"))
-        return kept(answer.join(made, ["series", "trial", "t_min"]).select("series", "trial", "label", "injected_depth", *FEATURES))
+            events = events.unionByName(keep(_far_answers(keep(long_variants(far, plan, _changed_column(), config)), plan, tolerance, config, keep)))
+        made = features(candidate_rows(None, config, events=events.drop("periodic", "period_days", "_mad"), periods=events.select("series", "periodic", "period_days")), None, ("series", "trial"), events.select("series", "_mad"))
+        return kept(made.join(plan.select("series", "trial", "label", F.col("amplitude").alias("injected_depth")), ["series", "trial"]).select("series", "trial", "label", "injected_depth", *FEATURES))
+
+
+def _near(v: Variant, tolerance: float) -> list[Event]:
+    """The events of a trial whose minimum is within the tolerance of its injection."""
+    t0 = v.given["t0"]
+    events = [v.event(a, b) for a, b in v.windows if not v.away(a, b, t0, tolerance)]
+    return [e for e in events if abs(e.t_min - t0) <= tolerance]
+
+
+def _answer(v: Variant, tolerance: float) -> list[Event]:
+    """The event of a trial of label_trials that answers it, if there is one."""
+    label, t0 = v.given["label"], v.given["t0"]
+    free = label in ("noise", "time_reversed_real")
+    events = [v.event(a, b) for a, b in v.windows]
+    apart = [(e.t_min if free else abs(e.t_min - (e.end_time - e.start_time) / 2 - t0), e.t_min, n) for n, e in enumerate(events)]
+    return [events[n] for _, _, n in sorted(x for x in apart if free or label == "starspot" or x[0] <= tolerance)[:1]]
+
+
+def _far_answers(flat: DataFrame, plan: DataFrame, tolerance: float, config: Config | None, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The same for trials of series of several blocks, from their smoothed readings, with the period and the noise of their series."""
+    events = keep(measured(flat, config))
+    begin = F.abs(F.col("t_min") - (F.col("end_time") - F.col("start_time")) / 2 - F.col("t0"))
+    free = F.col("label").isin("noise", "time_reversed_real")
+    near = plan.join(events.select("series.*", "t_min", "start_time", "end_time"), ["series", "trial"]).withColumn("apart", F.when(free, F.col("t_min")).otherwise(begin))
+    answer = near.where((F.col("apart") <= tolerance) | free | (F.col("label") == "starspot")).groupBy(F.struct("series", "trial").alias("series")).agg(F.min(F.struct("apart", "t_min")).getField("t_min").alias("t_min"))
+    theirs = events.join(answer, ["series", "t_min"], "left_semi")
+    rest = flat.join(theirs.select("series"), "series", "left_semi")
+    return theirs.join(periodicity(rest, config), "series").join(noise_of(rest), "series")
 
 
 def _changed(time: np.ndarray, flux: np.ndarray, trial: Mapping) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.numbers import is_finite
 from ..sources.shared import kept, scratch
-from .kernels import compare_profiles, measure, periodogram_sums
+from .kernels import best_powers, compare_profiles, measure, periodogram_sums
 from .series import KEYS, cadences, flattened_twice, loose
 
 #: Readings of a bucket of places, for joining events with their readings.
@@ -84,6 +84,66 @@ GEOMETRY = "t_min double, f_min double, depth double, ingress_duration_days doub
 SCORES = "delta_bic double, tau_over_sigma double, fitted_depth double, a_dur_sigma double"
 
 
+#: The columns of both.
+EVENT = tuple(x.split()[0] for x in (GEOMETRY + ", " + SCORES).split(", "))
+
+
+class Event:
+    """One window with its padding, by arrays from place `first` on: its geometry, and what its scores are worked out from."""
+
+    def __init__(self, time: np.ndarray, flux: np.ndarray, err: np.ndarray, base: np.ndarray, first: int, start: int, end: int, c: Config) -> None:
+        self.time, self.flux, self.err, self.c, self.start, self.end = time, flux, err, c, int(start), int(end)
+        self.window = (self.start - first, self.end - first)
+        self.start_time, self.end_time = float(time[self.window[0]]), float(time[self.window[1]])
+        self.level = float(np.median(base[self.window[0] : self.window[1] + 1]))
+        self.args = (self.level, self.window, (0, len(time) - 1), c.asymmetry.half_depth_fraction, c.asymmetry.min_points_per_side)
+        m = {k: x[0] for k, x in measure(time, flux[None, :], *self.args).items()}
+        self.t_min = m["t_min"]
+        self.geometry = {k: m[k] for k in ("t_min", "f_min", "depth", "a_dur", "a_slope")}
+        for side in ("ingress", "egress"):
+            self.geometry |= {f"{side}_duration_days": m[f"{side}_duration"], f"{side}_slope": m[f"{side}_slope"], f"{side}_slope_err": m[f"{side}_slope_err"]}
+
+    def profiles(self) -> dict[str, float]:
+        return compare_profiles(self.time, self.flux, self.err, self.t_min, self.geometry["depth"], self.level, self.start_time, self.end_time)
+
+    def a_dur_sigma(self) -> float:
+        """The bootstrap error of a_dur; NaN if there is none."""
+        if not math.isfinite(self.geometry["a_dur"]):
+            return math.nan
+        draws_of = self.c.scoring.bootstrap_draws
+        low, high = max(self.window[0] - 1, 0), min(self.window[1] + 2, len(self.time))
+        rng = np.random.default_rng([self.c.runtime.rng_seed, self.start, self.end, int(abs(self.start_time) * 1e6)])
+        draws = np.repeat(self.flux[None, :], draws_of, axis=0)
+        draws[:, low:high] += rng.normal(size=(draws_of, high - low)) * np.abs(self.err[low:high])
+        values = measure(self.time, draws, *self.args)["a_dur"]
+        values = values[np.isfinite(values)]
+        return float(values.std(ddof=1)) if len(values) > 1 else math.nan
+
+
+def windows_of(time: np.ndarray, depth: np.ndarray, cadence: float | None, config: Config) -> list[tuple[int, int]]:
+    """(start, end) of bounds() of a whole series by arrays; depth: the significance of its readings."""
+    c, n, out, before = config.candidates, len(time), [], -1
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], depth > c.sigma_threshold, [False]])))
+    start, end = edges[::2], edges[1::2] - 1
+    enough = end - start + 1 >= c.min_consecutive
+    start, end = start[enough], end[enough]
+    if not len(start):
+        return out
+    apart = start[1:] - end[:-1] - 1 > c.max_gap_cadences
+    margin = max(round(c.edge_margin_days / (cadence or 1.0)), 1)
+    for a, b in zip(start[np.append(True, apart)].tolist(), end[np.append(apart, True)].tolist()):
+        if b < margin or a > n - 1 - margin:
+            continue
+        near = np.flatnonzero(np.abs(time - time[(a + b) // 2]) <= c.max_window_days / 2)
+        first, last = int(near[0]), int(near[-1])
+        left, right = np.flatnonzero(depth[first:a] <= c.recovery_sigma), np.flatnonzero(depth[b + 1 : last + 1] <= c.recovery_sigma)
+        a, b = (first + int(left[-1]) + 1 if len(left) else min(first, a)), (b + int(right[0]) if len(right) else max(last, b))
+        a, before = max(a, before + 1), max(before, b)
+        if a <= b:
+            out.append((a, b))
+    return out
+
+
 def measured(rows: DataFrame, config: Config | None = None, score: bool = True, near: DataFrame | None = None, tolerance: float = 0.5, found: DataFrame | None = None) -> DataFrame:
     """Windows with their geometry and, with score, the comparison of profiles and the bootstrap error of a_dur; NULL is what couldn't be measured.
 
@@ -93,40 +153,21 @@ def measured(rows: DataFrame, config: Config | None = None, score: bool = True,
     place only, not on the order of events.
     """
     c = config or Config()
-    a, s, seed = c.asymmetry, c.scoring, c.runtime.rng_seed
     wins = bounds(rows, c, found)
     wins = wins.withColumn("at", F.lit(None).cast("double")) if near is None else wins.join(near.select("series", "at"), "series")
-    data = with_readings(wins, rows, a.search_padding_factor)
+    data = with_readings(wins, rows, c.asymmetry.search_padding_factor)
     kind = rows.schema["series"].dataType.simpleString()
-    names = [x.split()[0] for x in (GEOMETRY + ", " + SCORES).split(", ")]
 
     def one(t: pa.Table) -> pa.Table:
         t = t.sort_by("pos")
         v = {k: t[k][0].as_py() for k in ("n", "start", "end")}
         pos, time, flux, err, base = (t[k].to_numpy() for k in ("pos", "time", "flux", "flux_err", "baseline"))
-        window = (int(v["start"] - pos[0]), int(v["end"] - pos[0]))
-        v |= {"start_time": float(time[window[0]]), "end_time": float(time[window[1]])}
-        level = float(np.median(base[window[0] : window[1] + 1]))
-        args = (level, window, (0, len(pos) - 1), a.half_depth_fraction, a.min_points_per_side)
-        m = {k: x[0] for k, x in measure(time, flux[None, :], *args).items()}
-        got = {"t_min": m["t_min"], "f_min": m["f_min"], "depth": m["depth"], "a_dur": m["a_dur"], "a_slope": m["a_slope"]}
-        for side in ("ingress", "egress"):
-            got |= {f"{side}_duration_days": m[f"{side}_duration"], f"{side}_slope": m[f"{side}_slope"], f"{side}_slope_err": m[f"{side}_slope_err"]}
+        event = Event(time, flux, err, base, int(pos[0]), v["start"], v["end"], c)
+        v |= {"start_time": event.start_time, "end_time": event.end_time}
         at = t["at"][0].as_py()
-        near_enough = at is None or abs(m["t_min"] - at) <= tolerance
-        if score and near_enough:
-            got |= compare_profiles(time, flux, err, m["t_min"], m["depth"], level, v["start_time"], v["end_time"])
-            sigma = math.nan
-            if math.isfinite(m["a_dur"]):
-                low, high = max(window[0] - 1, 0), min(window[1] + 2, len(pos))
-                rng = np.random.default_rng([seed, int(v["start"]), int(v["end"]), int(abs(v["start_time"]) * 1e6)])
-                draws = np.repeat(flux[None, :], s.bootstrap_draws, axis=0)
-                draws[:, low:high] += rng.normal(size=(s.bootstrap_draws, high - low)) * np.abs(err[low:high])
-                values = measure(time, draws, *args)["a_dur"]
-                values = values[np.isfinite(values)]
-                sigma = float(values.std(ddof=1)) if len(values) > 1 else math.nan
-            got["a_dur_sigma"] = sigma
-        row = pa.table({"series": t["series"].slice(0, 1).cast(loose(t["series"].type)), **{k: pa.array([x], pa.float64() if "time" in k else pa.int64()) for k, x in v.items()}, **{k: pa.array([None if got.get(k) is None or got[k] != got[k] else float(got[k])], pa.float64()) for k in names}})
+        near_enough = at is None or abs(event.t_min - at) <= tolerance
+        got = event.geometry | (event.profiles() | {"a_dur_sigma": event.a_dur_sigma()} if score and near_enough else {})
+        row = pa.table({"series": t["series"].slice(0, 1).cast(loose(t["series"].type)), **{k: pa.array([x], pa.float64() if "time" in k else pa.int64()) for k, x in v.items()}, **{k: pa.array([None if got.get(k) is None or got[k] != got[k] else float(got[k])], pa.float64()) for k in EVENT}})
         return row if near_enough else row.slice(0, 0)
 
     # an event costs time, not space, so its task isn't merged with others for being small
@@ -167,6 +208,23 @@ def periodicity(rows: DataFrame, config: Config | None = None) -> DataFrame:
     return joined.select("series", F.coalesce(F.coalesce(false_alarm, F.lit(1.0)) < s.periodicity_fap_threshold, F.lit(False)).alias("periodic"), F.expr("1 / frequency").alias("period_days"))
 
 
+def whole_periods(time: np.ndarray, fluxes: np.ndarray, err: np.ndarray, config: Config) -> list[tuple[bool, float | None]]:
+    """(periodic, period_days) of periodicity() for series of one block that share times and errors, a row of fluxes each."""
+    s, n, extent = config.scoring, len(time), float(time[-1] - time[0])
+    if n < 10 or extent <= 0:
+        return [(False, None)] * len(fluxes)
+    with np.errstate(all="ignore"):
+        weight = np.where(err > 0, 1 / (err * err), 1.0)
+        weight = weight / weight.sum()
+        y = fluxes - (fluxes @ weight)[:, None]
+        low, high, step = 1 / s.periodicity_max_period_days, 1 / s.periodicity_min_period_days, 1 / (5 * extent)
+        z, k = best_powers(time - time[0], y, weight, low, step, 1 + int(round((high - low) / step)))
+        gamma = math.sqrt(2 / (n - 1)) * math.exp(math.lgamma((n - 1) / 2) - math.lgamma((n - 2) / 2))
+        tau = gamma * 5 * 0.5 * n / extent * math.sqrt(4 * math.pi * float(time.var())) * (1 - z) ** (0.5 * (n - 4)) * np.sqrt(0.5 * (n - 1) * z)
+        false_alarm = 1 - (1 - (1 - z) ** (0.5 * (n - 3))) * np.exp(-tau)
+    return list(zip((false_alarm < s.periodicity_fap_threshold).tolist(), (1 / (low + step * k)).tolist()))
+
+
 def _log_gamma(x: str) -> str:
     """SQL of Stirling's series, shifted so that it holds to 1e-10 from 1 on."""
     y = f"({x} + 7.0D)"
@@ -186,14 +244,15 @@ def strength() -> Column:
     return F.when(sigma.isNull(), 0.0).when(sigma <= 0, F.when(a != 0, F.lit(float("inf"))).otherwise(F.lit(0.0))).otherwise(F.abs(a) / sigma)
 
 
-def candidate_rows(rows: DataFrame, config: Config | None = None, found: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+def candidate_rows(rows: DataFrame, config: Config | None = None, found: DataFrame | None = None, events: DataFrame | None = None, periods: DataFrame | None = None) -> DataFrame:
     """The output relation: one row for each event with its 18 columns, series' keys in front. The periodogram is worked out only for series with events.
 
-    found: the runs, events: the measured ones, if they are known already.
+    found: the runs, events: the measured ones, periods: what periodicity() gives for their series, if they are known already.
     """
     events = kept(measured(rows, config, found=found)) if events is None else events
-    with_events = rows.join(events.select("series").distinct(), "series", "left_semi")
-    all_columns = events.join(periodicity(with_events, config), "series", "left")
+    if periods is None:
+        periods = periodicity(rows.join(events.select("series").distinct(), "series", "left_semi"), config)
+    all_columns = events.join(periods, "series", "left")
     a = F.col("a_dur")
     return all_columns.select(
         "series.*", "t_min", (F.col("depth") * 1e6).alias("depth_ppm"), (F.col("end_time") - F.col("start_time")).alias("duration_days"), "a_dur", "a_slope", "ingress_duration_days", "egress_duration_days", "a_dur_sigma",

@@ -16,6 +16,49 @@ def rolling_median(x: np.ndarray, size: int) -> np.ndarray:
     return pd.Series(x).rolling(size, center=True, min_periods=1).median().to_numpy()
 
 
+def spans(at: np.ndarray, apart: int) -> list[tuple[int, int]]:
+    """Places in order as ranges (first, last + 1); places at most `apart` from one another share one."""
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > apart)
+    return [(int(a), int(b) + 1) for a, b in zip(at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)])]
+
+
+def medians_again(x: np.ndarray, x0: np.ndarray, medians: np.ndarray, size: int) -> np.ndarray:
+    """rolling_median of each row of x, where that of x0 is known: worked out only within reach of readings that differ from x0. Missing readings keep the pieces apart, as they aren't counted."""
+    half, n, out = size // 2, len(x0), np.repeat(medians[None], len(x), axis=0)
+    pieces, places = [], []
+    for r, row in enumerate(x):
+        for a, b in spans(np.flatnonzero(row != x0), 2 * half):
+            a, b = max(a - half, 0), min(b + half, n)
+            first = max(a - half, 0)
+            pieces += [row[first : min(b + half, n)], np.full(half, np.nan)]
+            places.append((r, a, b, a - first))
+    if pieces:
+        new, at = rolling_median(np.concatenate(pieces), size), 0
+        for (r, a, b, skip), piece in zip(places, pieces[::2]):
+            out[r, a:b] = new[at + skip : at + skip + b - a]
+            at += len(piece) + half
+    return out
+
+
+def savgol_again(x: np.ndarray, x0: np.ndarray, trend: np.ndarray, size: int, order: int) -> np.ndarray:
+    """savgol of each row of x, whole series, where that of x0 is `trend`: worked out only within reach of readings that differ from x0."""
+    half, n, out = size // 2, len(x0), np.repeat(trend[None], len(x), axis=0)
+    basis = np.vander(np.arange(-half, half + 1) / max(half, 1), order + 1, increasing=True)
+    weights = np.linalg.pinv(basis)
+    for r, row in enumerate(x):
+        for a, b in spans(np.flatnonzero(row != x0), 2 * half):
+            low, high = max(a - half, half), min(b + half, n - half)
+            if low < high:
+                out[r, low:high] = np.convolve(row[low - half : high + half], weights[0][::-1], "valid")
+            if a < size:
+                out[r, :half] = basis[:half] @ (weights @ row[:size])
+            if b > n - size:
+                out[r, n - half :] = basis[half + 1 :] @ (weights @ row[-size:])
+    return out
+
+
 def savgol(x: np.ndarray, size: int, order: int, at_start: bool, at_end: bool) -> np.ndarray:
     """Savitzky-Golay smoothing; at a true end of the series, the polynomial of the last full window. Elsewhere the first and last half windows are left as they are."""
     half = size // 2
@@ -149,25 +192,34 @@ def bounded_fit(model, t: np.ndarray, y: np.ndarray, err: np.ndarray, start: lis
     if ((p < lo) | (p > hi) | (lo >= hi)).any():
         return p, math.inf, False
     scale = np.maximum(np.abs(hi - lo), 1e-12)
-    r = (model(t, p) - y) / err
+    r = (model(t, p.tolist()) - y) / err
     chi, damping = float(r @ r), 1e-3
     for _ in range(rounds):
         step = np.maximum(1e-7 * scale, 1e-10)
         step = np.where(p + step > hi, -step, step)
-        jacobian = np.stack([((model(t, p + np.eye(len(p))[k] * step[k]) - y) / err - r) / step[k] for k in range(len(p))], axis=1) * scale
+        jacobian = np.empty((len(t), len(p)))
+        for k in range(len(p)):
+            q = p.copy()
+            q[k] += step[k]
+            jacobian[:, k] = ((model(t, q.tolist()) - y) / err - r) / step[k]
+        jacobian = jacobian * scale
         gradient, normal = jacobian.T @ r, jacobian.T @ jacobian
         free = ~(((p <= lo) & (gradient > 0)) | ((p >= hi) & (gradient < 0)))
         if not free.any() or np.max(np.abs(gradient[free])) < 1e-10 * max(chi, 1e-12):
             return p, chi, True
+        inner, falling, wide = (normal, -gradient, scale) if free.all() else (normal[np.ix_(free, free)], -gradient[free], scale[free])
+        diagonal, m = np.maximum(inner.diagonal(), 1e-12), len(inner) + 1
         while True:
-            a = normal[np.ix_(free, free)] + damping * np.diag(np.maximum(np.diag(normal)[free], 1e-12))
-            move = np.zeros(len(p))
+            a = inner.copy()
+            a.reshape(-1)[::m] += damping * diagonal
             try:
-                move[free] = np.linalg.solve(a, -gradient[free]) * scale[free]
+                move = np.linalg.solve(a, falling) * wide
             except np.linalg.LinAlgError:
                 return p, chi, False
-            q = np.clip(p + move, lo, hi)
-            s = (model(t, q) - y) / err
+            q = p.copy()
+            q[free] += move
+            q = np.minimum(np.maximum(q, lo), hi)
+            s = (model(t, q.tolist()) - y) / err
             new = float(s @ s)
             if new < chi:
                 done = chi - new < 1e-8 * chi
@@ -215,3 +267,26 @@ def periodogram_sums(t: np.ndarray, y: np.ndarray, weight: np.ndarray, low: floa
         out[:, a : a + width] = [single[:, 0].real, single[:, 0].imag, single[:, 1].real, single[:, 1].imag, (total + double.real) / 2, double.imag / 2]
         start = start * row
     return out[:, :count]
+
+
+def best_powers(t: np.ndarray, y: np.ndarray, weight: np.ndarray, low: float, step: float, count: int, width: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest power of the periodogram of each row of y, and the first place of it among the frequencies from low by step: periodogram_sums for rows that share times and weights (of sum 1)."""
+    turn = np.exp(2j * np.pi * step * np.arange(width)[:, None] * t)
+    start, row = np.exp(2j * np.pi * low * t), np.exp(2j * np.pi * step * width * t)
+    weighted, yy = (y * weight).T, (y * y) @ weight
+    power, place = np.full(len(y), -np.inf), np.zeros(len(y), np.int64)
+    for a in range(0, count, width):
+        z = (turn * start)[: count - a]
+        single, double, one = z @ weighted, (z * z) @ weight, z @ weight
+        c, s, cc, cs = one.real, one.imag, (1 + double.real) / 2, double.imag / 2
+        cc, cs, ss = (cc - c * c)[:, None], (cs - c * s)[:, None], (1 - cc - s * s)[:, None]
+        d = cc * ss - cs * cs
+        yc, ys = single.real, single.imag
+        with np.errstate(all="ignore"):
+            p = np.where((d > 0) & (yy > 0), np.minimum((ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * d), 1.0), 1.0)
+        k = p.argmax(axis=0)
+        top = p[k, np.arange(len(y))]
+        better = top > power
+        power, place = np.where(better, top, power), np.where(better, a + k, place)
+        start = start * row
+    return power, place

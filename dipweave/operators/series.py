@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.numbers import is_finite, known
 from ..sources.shared import kept
-from .kernels import rolling_median, savgol, spline_trend
+from .kernels import medians_again, rolling_median, savgol, savgol_again, spline_trend
 from .medians import exact_medians
 
 KEYS = ("target_id", "mission", "quarter_no")
@@ -192,10 +192,35 @@ class _Smoother:
         self.detrend, self.spacing, self.order, self.clip = detrend, c.detrend.spline_knot_spacing_days, c.detrend.polyorder, c.detrend.upper_sigma_clip
         self.days = (c.detrend.window_days, c.baseline.median_window_days, c.baseline.noise_window_days)
 
+    def _sizes(self, n: int, cadence: float | None) -> list[int]:
+        sizes = [min(max(round(d / (cadence or 1.0)), 1), n) for d in self.days]
+        return [max(w - (w % 2 == 0), 1) for w in sizes]
+
+    def many(self, time: np.ndarray, flux: np.ndarray, variants: np.ndarray, cadence: float | None) -> dict[str, np.ndarray]:
+        """flux, baseline and sigma of a call for each row of variants, which are whole series that differ from flux in some readings; filters go over what is within their reach only."""
+        n = len(time)
+        if self.detrend == "spline":  # every reading has a part in all of the trend
+            each = [self(time, v, n, cadence, (True, True), None) for v in variants]
+            return {k: np.stack([x[k] for x in each]) for k in ("flux", "baseline", "sigma")}
+        w_trend, w_base, w_noise = self._sizes(n, cadence)
+        both = clean = np.concatenate([flux[None], variants])
+        if self.detrend != "none":
+            mid = np.median(both, axis=1, keepdims=True)
+            mad = np.median(np.abs(both - mid), axis=1, keepdims=True)
+            clean = np.where((mad > 0) & (both > mid + self.clip * MAD_TO_SIGMA * mad), mid, both)
+        trend = np.ones(both.shape)
+        if self.detrend == "savgol" and w_trend > self.order:
+            trend = savgol_again(clean, clean[0], savgol(clean[0], w_trend, self.order, True, True), w_trend, self.order)
+        flat = both / np.where(np.abs(trend) < 1e-12, 1.0, trend)
+        level = medians_again(flat, flat[0], rolling_median(flat[0], w_base), w_base)
+        apart = np.abs(flat - level)
+        noise = MAD_TO_SIGMA * medians_again(apart, apart[0], rolling_median(apart[0], w_noise), w_noise)
+        least = np.maximum(MAD_TO_SIGMA * np.median(apart, axis=1, keepdims=True) * 1e-3, float(np.finfo(float).tiny))
+        return {"flux": flat[1:], "baseline": level[1:], "sigma": np.maximum(noise, least)[1:]}
+
     def __call__(self, time: np.ndarray, flux: np.ndarray, n: int, cadence: float | None, ends: tuple[bool, bool], about: dict | None) -> dict[str, np.ndarray]:
         """about: what belongs to the whole series; None if the block is the whole series."""
-        sizes = [min(max(round(d / (cadence or 1.0)), 1), n) for d in self.days]
-        w_trend, w_base, w_noise = (max(w - (w % 2 == 0), 1) for w in sizes)
+        w_trend, w_base, w_noise = self._sizes(n, cadence)
         clean, trend = flux, np.ones(len(flux))
         if self.detrend != "none":
             mid = about["median"] if about else float(np.median(flux))

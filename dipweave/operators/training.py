@@ -28,11 +28,16 @@ def safe_log(x: Column) -> Column:
     return F.when(finite(x) > 0, F.log(x))
 
 
-def features(candidates: DataFrame, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, t_min and FEATURES of each candidate, with the robust noise of its series in rows; NULL is what couldn't be measured."""
+def noise_of(rows: DataFrame) -> DataFrame:
+    """(series, _mad): the median distance of the readings of a series from their median."""
     middle = exact_median(rows, "series", "flux", "_m")
     apart = rows.join(rows.select("series", "block").distinct().join(middle, "series"), ["series", "block"]).select("series", F.abs(F.col("flux") - F.col("_m")).alias("r"))
-    noise = exact_median(apart, "series", "r", "_mad")
+    return exact_median(apart, "series", "r", "_mad")
+
+
+def features(candidates: DataFrame, rows: DataFrame | None, keys: tuple[str, ...], noise: DataFrame | None = None) -> DataFrame:
+    """keys, t_min and FEATURES of each candidate, with the robust noise of its series in rows; NULL is what couldn't be measured. noise: what noise_of() gives, if it is known already."""
+    noise = noise_of(rows) if noise is None else noise
     snr = lambda side: F.when(F.col(f"{side}_slope_err") > 0, F.abs(F.col(f"{side}_slope")) / F.col(f"{side}_slope_err"))
     made = {
         "log_depth_ppm": safe_log(F.col("depth_ppm")), "depth_snr": F.when(F.col("_mad") > 0, F.col("depth_ppm") * 1e-6 / (MAD_TO_SIGMA * F.col("_mad"))), "abs_a_dur": F.abs("a_dur"),

@@ -1,7 +1,7 @@
 """Many variants of each series, such as one for each injection, smoothed where the series is.
 
-A series and the list of its variants meet in one task, which makes one variant after the other, so the readings are shuffled once however many variants there are, and of each variant
-only the readings around its runs go on. Variants of series of several blocks are made as readings of their own and smoothed block by block.
+A series and the list of its variants meet in one task, which makes some variants at a time, smooths them where they differ from the series, and measures their events there, so the readings
+are shuffled once however many variants there are, and only events go on. Variants of series of several blocks are made as readings of their own and smoothed block by block.
 """
 
 from __future__ import annotations
@@ -15,61 +15,76 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from . import series as se
-from .series import SMOOTHED, loose, smoothed
-
-
-def around_runs(time: np.ndarray, depth: np.ndarray, config: Config) -> np.ndarray:
-    """Which readings the windows around the runs of a series and their padding can hold; depth is in units of the noise. Windows are taken as if none were before them, so these are at least the readings that events need."""
-    c, own = config.candidates, np.zeros(len(time), bool)
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], depth > c.sigma_threshold, [False]])))
-    start, end = edges[::2], edges[1::2] - 1
-    enough = end - start + 1 >= c.min_consecutive
-    start, end = start[enough], end[enough]
-    apart = start[1:] - end[:-1] - 1 > c.max_gap_cadences
-    low = depth <= c.recovery_sigma
-    for a, b in zip(start[np.append(True, apart)] if len(start) else start, end[np.append(apart, True)] if len(end) else end):
-        center = time[(a + b) // 2]
-        first = min(np.searchsorted(time, center - c.max_window_days / 2), a)
-        last = max(np.searchsorted(time, center + c.max_window_days / 2, "right") - 1, b)
-        left, right = np.flatnonzero(low[first:a]), np.flatnonzero(low[b + 1 : last + 1])
-        first, last = (first + left[-1] if len(left) else first), (b + 1 + right[0] if len(right) else last)
-        pad = int((last - first + 1) * config.asymmetry.search_padding_factor) + 1
-        own[max(first - pad, 0) : last + pad + 1] = True
-    return own
-
-
-def smoothed_variants(rows: DataFrame, plan: DataFrame, change: Callable[[np.ndarray, np.ndarray, Mapping], np.ndarray], config: Config | None = None, detrend: str = "savgol", whole: bool = False) -> DataFrame:
-    """smoothed() rows of the variants of normalised rows of one block each; their series is the struct (series, trial), and without `whole` only readings around runs are there.
-
-    plan: series, trial and what change(time, flux, row of plan) needs to give the variant's flux. A series without variants has no rows. Long series are left out: see long_variants.
+from .events import EVENT, GEOMETRY, SCORES, Event, whole_periods, windows_of
+from .series import loose, smoothed
+
+
+class Variant:
+    """One variant of a whole series, smoothed: its windows, and the events in them."""
+
+    def __init__(self, given: Mapping, time: np.ndarray, err: np.ndarray, cadence: float | None, new: dict[str, np.ndarray], c: Config) -> None:
+        self.given, self.time, self.err, self.c = given, time, err, c
+        self.flux, self.baseline = new["flux"], new["baseline"]
+        self.windows = windows_of(time, (new["baseline"] - new["flux"]) / new["sigma"], cadence, c)
+
+    def event(self, start: int, end: int) -> Event:
+        pad = round((end - start + 1) * self.c.asymmetry.search_padding_factor)
+        own = slice(max(start - pad, 0), min(end + pad, len(self.time) - 1) + 1)
+        return Event(self.time[own], self.flux[own], self.err[own], self.baseline[own], own.start, start, end, self.c)
+
+    def away(self, start: int, end: int, at: float, tolerance: float) -> bool:
+        """Whether the minimum of a window can't be within the tolerance of a time: it is less than half its neighbours' distance from the deepest reading."""
+        i = start + int(np.argmin(self.flux[start : end + 1]))
+        step = 0.5 * (self.time[min(i + 1, len(self.time) - 1)] - self.time[max(i - 1, 0)])
+        return abs(self.time[i] - at) > tolerance + step + 1e-9
+
+
+def variant_events(rows: DataFrame, plan: DataFrame, change: Callable[[np.ndarray, np.ndarray, Mapping], np.ndarray], answers: Callable[[Variant], list[Event]], least: int = 1, config: Config | None = None, detrend: str = "savgol", periods: bool = False) -> DataFrame:
+    """measured() rows of the events that answers() picks from the variants of normalised rows of one block each, with a_dur_sigma if it picks at least `least` of one variant; their series is the struct (series, trial).
+
+    plan: series, trial and what change(time, flux, row of plan) needs to give the variant's flux. With periods, an answer has `periodic`, `period_days` and `_mad` of its variant too, what
+    periodicity() and noise() give. Readings don't leave the task. Long series are left out: see long_variants.
     """
     c = config or Config()
     smoother, limit = se._Smoother(c, detrend), se.BLOCK
-    names = [x.split()[0] for x in SMOOTHED.split(", ")]
     kind = rows.schema["series"].dataType.simpleString()
+    whole, real = ("n", "start", "end"), ("start_time", "end_time", *EVENT, *(("period_days", "_mad") if periods else ()))
 
     def make(t: pa.Table, variants: pa.Table) -> pa.Table:
-        inner = loose(t.schema.field("series").type)
-        empty = pa.schema([("series", pa.struct([("series", inner), ("trial", pa.int64())])), *((n, pa.int64() if n in ("block", "pos", "n") else pa.float64()) for n in names)]).empty_table()
-        if not len(t) or not len(variants):
-            return empty
-        t = t.sort_by("pos")
-        time, flux, err = (t[k].to_numpy() for k in ("time", "flux", "flux_err"))
-        n, cadence, parts = len(time), t["cadence"][0].as_py(), [empty]
+        found: list[tuple[int, dict]] = []
         key = t["series"].slice(0, 1).combine_chunks()
-        for v in variants.drop_columns(["series"]).to_pylist():
-            new = smoother(time, change(time, flux, v), n, cadence, (True, True), None)
-            own = np.flatnonzero(np.ones(n, bool) if whole else around_runs(time, (new["baseline"] - new["flux"]) / new["sigma"], c))
-            if len(own):
-                same = np.zeros(len(own), np.int64)
-                fixed = {"block": 0, "n": n, "cadence": cadence}
-                series = pa.StructArray.from_arrays([key.take(pa.array(same)).cast(inner), pa.array(same + v["trial"])], ["series", "trial"])
-                values = {"pos": own, "time": time[own], "flux_err": err[own]} | {k: x[own] for k, x in new.items()}
-                parts.append(pa.table([series, *(pa.array([fixed[k]], empty.schema.field(k).type).take(pa.array(same)) if k in fixed else pa.array(values[k]) for k in names)], schema=empty.schema))
-        return pa.concat_tables(parts)
-
-    short = rows.where(F.col("n") <= limit).select("series", "pos", "n", "time", "flux", "flux_err", "cadence")
-    return short.groupBy("series").cogroup(plan.groupBy("series")).applyInArrow(make, f"series struct<series:{kind},trial:bigint>, {SMOOTHED}")
+        if len(t) and len(variants):
+            t = t.sort_by("pos")
+            time, flux, err = (t[k].to_numpy() for k in ("time", "flux", "flux_err"))
+            n, cadence = len(time), t["cadence"][0].as_py()
+            given, at_once = variants.drop_columns(["series"]).sort_by("trial").to_pylist(), max((1 << 20) // n, 1)
+            for a in range(0, len(given), at_once):
+                some = given[a : a + at_once]
+                new = smoother.many(time, flux, np.stack([change(time, flux, v) for v in some]), cadence)
+                part, fluxes = [], []
+                for r, v in enumerate(some):
+                    variant = Variant(v, time, err, cadence, {k: x[r] for k, x in new.items()}, c)
+                    picked = answers(variant) if variant.windows else []
+                    for e in picked:
+                        part.append((v["trial"], {"n": n, "start": e.start, "end": e.end, "start_time": e.start_time, "end_time": e.end_time} | e.geometry | ({"a_dur_sigma": e.a_dur_sigma()} if len(picked) >= least else {}) | e.profiles()))
+                        fluxes.append(variant.flux)
+                if periods and part:
+                    fluxes = np.stack(fluxes)
+                    spread = np.median(np.abs(fluxes - np.median(fluxes, axis=1, keepdims=True)), axis=1)
+                    for (_, row), mad, (periodic, days) in zip(part, spread.tolist(), whole_periods(time, fluxes, err, c)):
+                        row |= {"_mad": mad, "periodic": periodic, "period_days": days}
+                found += part
+        inner = loose(t.schema.field("series").type)
+        series = pa.StructArray.from_arrays([key.take(pa.array(np.zeros(len(found), np.int64))).cast(inner), pa.array([k for k, _ in found], pa.int64())], ["series", "trial"])
+        number = lambda x: None if x is None or x != x else float(x)
+        out = {"series": series} | {k: pa.array([x[k] for _, x in found], pa.int64()) for k in whole} | {k: pa.array([number(x.get(k)) for _, x in found], pa.float64()) for k in real}
+        return pa.table(out | ({"periodic": pa.array([x["periodic"] for _, x in found], pa.bool_())} if periods else {}))
+
+    # variants cost time, not space, so tasks aren't merged with others for being small
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short = rows.where(F.col("n") <= limit).select("series", "pos", "n", "time", "flux", "flux_err", "cadence").repartition(tasks, "series")
+    more = ", period_days double, _mad double, periodic boolean" if periods else ""
+    return short.groupBy("series").cogroup(plan.repartition(tasks, "series").groupBy("series")).applyInArrow(make, f"series struct<series:{kind},trial:bigint>, n bigint, start bigint, end bigint, start_time double, end_time double, {GEOMETRY}, {SCORES}{more}")
 
 
 def long_variants(far: DataFrame, plan: DataFrame, flux: Column, config: Config | None = None, detrend: str = "savgol") -> DataFrame:

@@ -1,6 +1,7 @@
 """The detection pipeline on series with a known answer, and its kernels against plain versions."""
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
@@ -192,6 +193,54 @@ def test_variants_by_block(rows, monkeypatch):
         np.testing.assert_allclose(v, cal._changed(t.time.to_numpy(), t.flux.to_numpy(), x), rtol=0, atol=1e-12)
 
 
+@pytest.mark.parametrize("detrend", ["savgol", "spline", "none"])
+def test_variants_smoothed_where_they_differ(detrend):
+    """Only what is within reach of an injection is smoothed again, and all readings are as if all had been."""
+    rng = np.random.default_rng(5)
+    for n in (5, 40, 1500):
+        time = np.sort(rng.uniform(0, n / 30, n))
+        flux = 1 + rng.normal(0, 1e-4, n) + 2e-3 * (rng.random(n) > 0.98)
+        more = np.stack([flux - cal._ramp(time, t0, d, 0.1, 0.5) for t0 in rng.choice(time, 4) for d in (2e-4, 1e-2)] + [flux[::-1], flux + 1e-3 * np.sin(time), flux])
+        smoother = se._Smoother(Config(), detrend)
+        got = smoother.many(time, flux, more, 1 / 30)
+        for r, v in enumerate(more):
+            want = smoother(time, v, n, 1 / 30, (True, True), None)
+            for k, x in got.items():
+                np.testing.assert_array_equal(x[r], want[k])
+
+
+def test_windows_by_arrays(rows):
+    """windows_of gives bounds() of each series, merged runs, margins and windows cut by the one before with them."""
+    rng = np.random.default_rng(6)
+    data, depths, times = [], {}, {}
+    for k in range(30):
+        n = 300
+        times[k], depths[k] = np.cumsum(rng.choice([0.02, 0.05, 1.0], n, p=[0.8, 0.19, 0.01])), rng.choice([0.5, 2.0, 5.0], n, p=[0.1 + 0.02 * k, 0.5 - 0.01 * k, 0.4 - 0.01 * k])
+        data += [(k, p, n, float(times[k][p]), 1.0 - float(depths[k][p]), 1.0, 1.0, 0.02) for p in range(n)]
+    got = {}
+    for r in ev.bounds(rows(data, "series bigint, pos bigint, n bigint, time double, flux double, baseline double, sigma double, cadence double")).collect():
+        got.setdefault(r["series"], []).append((r["start"], r["end"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: w for k in times if (w := ev.windows_of(times[k], depths[k], 0.02, Config()))} and sum(map(len, got.values())) > 30
+
+
+def test_readings_of_trials_stay_in_their_task(rows, monkeypatch):
+    """Of trials of series of one block only events leave the task, with an error by bootstrap if it decides, and periods and noise without their readings."""
+    written = []
+    monkeypatch.setattr(cal, "kept", lambda df: written.append(df.columns) or df)
+    shared = cal.scratch
+
+    @contextmanager
+    def seen(spark):
+        with shared(spark) as keep:
+            yield lambda df: written.append(df.columns) or keep(df)
+
+    monkeypatch.setattr(cal, "scratch", seen)
+    r = se.normalised(table(rows, flat=CURVES["flat"]))
+    cal.recovery(r, (2e-3,), per_depth=2, config=QUICK)
+    cal.labelled(r, 1, config=QUICK)
+    assert written and not any("flux" in c for c in written)
+
+
 def test_recovery_makes_every_trial(spark, rows, monkeypatch):
     from dipweave import __main__ as command
     from dipweave.plans import detection
