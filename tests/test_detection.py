@@ -13,6 +13,7 @@ from dipweave.operators import events as ev
 from dipweave.operators import kernels as ke
 from dipweave.operators import series as se
 from dipweave.operators.training import FEATURES, features
+from dipweave.operators.variants import variant_events
 
 SCHEMA = "target_id string, mission string, quarter_no int, idx bigint, time double, flux double, flux_err double"
 CADENCE = 0.02043
@@ -241,6 +242,16 @@ def test_readings_of_trials_stay_in_their_task(rows, monkeypatch):
     assert written and not any("flux" in c for c in written)
 
 
+def test_errors_only_where_they_decide(rows):
+    """A trial with one event near its injection has it without a bootstrap error, otherwise as with one."""
+    r = se.normalised(table(rows, flat=CURVES["flat"]))
+    plan = cal.trials(r, (2e-3,), 2, 0.1, 0.5, QUICK)
+    got = [variant_events(r, plan, lambda time, flux, v: flux - cal._ramp(time, v["t0"], v["depth"], 0.1, 0.5), lambda v: cal._near(v, 0.5), least, QUICK).orderBy("series.trial").toPandas() for least in (1, 2)]
+    assert len(got[0]) == len(got[1]) == 2 and got[0].a_dur_sigma.notna().all() and got[1].a_dur_sigma.isna().all()
+    for c in ("t_min", "a_dur", "delta_bic", "tau_over_sigma"):
+        np.testing.assert_array_equal(got[0][c], got[1][c])
+
+
 def test_recovery_makes_every_trial(spark, rows, monkeypatch):
     from dipweave import __main__ as command
     from dipweave.plans import detection
