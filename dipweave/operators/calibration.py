@@ -18,7 +18,7 @@ from .medians import exact_median
 from ..sources.shared import kept, scratch
 from . import series as se
 from .series import has_long
-from .variants import Variant, long_variants, variant_events
+from .variants import Variant, long_variants, near_events, variant_events
 
 #: Classes with an injection, which have a positive depth.
 INJECTED = ("comet", "symmetric", "reversed", "flare", "starspot")
@@ -67,11 +67,11 @@ def recovery(rows: DataFrame, depths: tuple[float, ...], per_depth: int = 20, in
     depth, t0 = F.col("depth"), F.col("t0")
     with scratch(rows.sparkSession) as keep:
         plan = keep(trials(rows, depths, per_depth, ingress, egress, config))
-        near = variant_events(rows, plan, lambda time, flux, v: flux - _ramp(time, v["t0"], v["depth"], ingress, egress), lambda v: _near(v, tolerance), 2, config, detrend)
+        near = near_events(rows, plan, ingress, egress, tolerance, config, detrend)
         if has_long(rows):
             flux = F.col("flux") - ramp(F.col("time"), t0, depth, F.lit(ingress), F.lit(egress))
             flat = keep(long_variants(rows.where(F.col("n") > se.BLOCK), plan, flux, config, detrend))
-            near = near.unionByName(measured(flat, config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance))
+            near = near.unionByName(measured(flat, config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance).select(near.columns))
         scored = near.withColumns({"significance": strength(), "flagged": flagged(F.col("delta_bic"), F.col("tau_over_sigma"), config)})
         top = scored.groupBy("series.series", "series.trial").agg(F.max(F.struct("significance", -F.col("t_min"), "flagged", "t_min", "a_dur", "delta_bic")).alias("m"))
         found = plan.join(top, ["series", "trial"], "left")

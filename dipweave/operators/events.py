@@ -120,9 +120,9 @@ class Event:
         return float(values.std(ddof=1)) if len(values) > 1 else math.nan
 
 
-def windows_of(time: np.ndarray, depth: np.ndarray, cadence: float | None, config: Config) -> list[tuple[int, int]]:
-    """(start, end) of bounds() of a whole series by arrays; depth: the significance of its readings."""
-    c, n, out, before = config.candidates, len(time), [], -1
+def windows_of(time: np.ndarray, depth: np.ndarray, cadence: float | None, config: Config, place: int = 0, size: int | None = None) -> list[tuple[int, int]]:
+    """(start, end) of bounds() of a whole series by arrays; depth: the significance of its readings. Of a part of a series of `size` readings: those from `place` on."""
+    c, n, out, before = config.candidates, size or len(time), [], -1
     edges = np.flatnonzero(np.diff(np.concatenate([[False], depth > c.sigma_threshold, [False]])))
     start, end = edges[::2], edges[1::2] - 1
     enough = end - start + 1 >= c.min_consecutive
@@ -132,7 +132,7 @@ def windows_of(time: np.ndarray, depth: np.ndarray, cadence: float | None, confi
     apart = start[1:] - end[:-1] - 1 > c.max_gap_cadences
     margin = max(round(c.edge_margin_days / (cadence or 1.0)), 1)
     for a, b in zip(start[np.append(True, apart)].tolist(), end[np.append(apart, True)].tolist()):
-        if b < margin or a > n - 1 - margin:
+        if b + place < margin or a + place > n - 1 - margin:
             continue
         near = np.flatnonzero(np.abs(time - time[(a + b) // 2]) <= c.max_window_days / 2)
         first, last = int(near[0]), int(near[-1])
@@ -140,7 +140,7 @@ def windows_of(time: np.ndarray, depth: np.ndarray, cadence: float | None, confi
         a, b = (first + int(left[-1]) + 1 if len(left) else min(first, a)), (b + int(right[0]) if len(right) else max(last, b))
         a, before = max(a, before + 1), max(before, b)
         if a <= b:
-            out.append((a, b))
+            out.append((a + place, b + place))
     return out
 
 

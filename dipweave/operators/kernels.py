@@ -16,6 +16,78 @@ def rolling_median(x: np.ndarray, size: int) -> np.ndarray:
     return pd.Series(x).rolling(size, center=True, min_periods=1).median().to_numpy()
 
 
+def local_medians(x: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
+    """Medians of each row of x over each of its runs of `size` places, an odd number, of what is there; what isn't must be infinite. NaN where nothing is.
+
+    Runs of a group of `g` places share all but g - 1 readings on either side. What they share is sorted once, by ranks, which small integers hold; the middle of a run is among
+    the middle ones of these and the others. Runs too long or too short for that take a running median.
+    """
+    b, w = x.shape
+    p, g = w - size + 1, 8 if size < 150 else 16
+    if size > 1000 or size < 2 * g:
+        return np.stack([rolling_median(row, size)[size // 2 : size // 2 + p] for row in np.where(there, x, np.nan)])
+    groups = -(-p // g)
+    kind = np.int16 if w + g < 1 << 15 else np.int32
+    most = np.iinfo(kind).max
+    order = np.argsort(x, axis=1)
+    rank = np.full((b, groups * g + size - 1), most, kind)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(w, dtype=kind), (b, w)), 1)
+    sums = np.zeros((b, w + 1), np.int32)
+    np.cumsum(there, axis=1, out=sums[:, 1:])
+    count = np.full((b, groups * g), size, np.int32)
+    count[:, :p] = sums[:, size:] - sums[:, :-size]
+    j, start = np.arange(g), g * np.arange(groups)[:, None]
+    beside = [start + np.where(e >= j, e, size + e) for e in range(g - 1)]
+    out, some, t = np.empty((b, p)), max((1 << 18) // (groups * (size + 2 * g * g)), 1), size // 2
+    for a in range(0, b, some):
+        own, n = rank[a : a + some], count[a : a + some]
+        k = len(own)
+        rows = np.arange(a, a + k)[:, None]
+        shared = np.sort(np.lib.stride_tricks.sliding_window_view(own, size - g + 1, axis=1)[:, g - 1 :: g][:, :groups], axis=2)
+        others = _in_order([own[:, i] for i in beside])
+        low = _least_of(g, [shared[:, :, t - g + 1 + i, None] for i in range(g)], others).reshape(k, -1)
+        part = (n != size).reshape(k, groups, g).any(axis=2)
+        if not part.any():
+            out[a : a + k] = x[rows, order[rows, low[:, :p]]]
+            continue
+        few = n.reshape(k, groups, g)[part]  # where readings are missing the middle is elsewhere, and may be two
+        m = len(few)
+        padded = np.concatenate([np.full((m, g - 1), -1, kind), shared[part], np.full((m, g + 1), most, kind)], axis=1)
+        first, others = np.maximum(few - 1, 0) // 2, [v[part] for v in others]
+        near = [padded[np.arange(m)[:, None], first + i] for i in range(g + 1)]
+        one, two = _least_of(g, near[:g], others), _least_of(g + 1, near, others)
+        high = low.copy()
+        low.reshape(k, groups, g)[part] = np.where(few > 0, one, 0)
+        high.reshape(k, groups, g)[part] = np.where(few > 0, np.where(few % 2 == 0, two, one), 0)
+        out[a : a + k] = np.where(n[:, :p] > 0, (x[rows, order[rows, low[:, :p]]] + x[rows, order[rows, high[:, :p]]]) / 2, np.nan)
+    return out
+
+
+def _in_order(x: list[np.ndarray]) -> list[np.ndarray]:
+    """The least of some arrays place by place, the next, and so on: a network of exchanges (Batcher)."""
+    x, n = list(x), len(x)
+    top = p = 1 << max((n - 1).bit_length() - 1, 0)
+    while p:
+        q, r, d = top, 0, p
+        while True:
+            for i in range(n - d):
+                if i & p == r:
+                    x[i], x[i + d] = np.minimum(x[i], x[i + d]), np.maximum(x[i], x[i + d])
+            if q == p:
+                break
+            d, q, r = q - p, q >> 1, p
+        p >>= 1
+    return x
+
+
+def _least_of(k: int, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """The k-th least of two lists of arrays, each in order, place by place; k is the length of a and more than that of b."""
+    out = a[k - 1]
+    for i in range(max(k - len(b), 1), k):
+        out = np.minimum(out, np.maximum(a[i - 1], b[k - i - 1]))
+    return out
+
+
 def spans(at: np.ndarray, apart: int) -> list[tuple[int, int]]:
     """Places in order as ranges (first, last + 1); places at most `apart` from one another share one."""
     if not len(at):
@@ -120,46 +192,53 @@ def solve_banded(band: np.ndarray, right: np.ndarray) -> np.ndarray:
     return y
 
 
-def measure(t: np.ndarray, flux: np.ndarray, level: float, window: tuple[int, int], bounds: tuple[int, int], half: float, least: int) -> dict[str, np.ndarray]:
+def measure(t: np.ndarray, flux: np.ndarray, level: float | np.ndarray, window: tuple, bounds: tuple, half: float, least: int) -> dict[str, np.ndarray]:
     """Geometry of an event in each row of flux (draws x readings): minimum, depth, and duration and slope of either side.
 
-    Places count within the arrays. The deepest reading of the window is refined by a parabola through its neighbours where these exist and the vertex is within a reading of
+    Rows may be events of their own: with times, a level, a window and bounds each, the last of which is the place of the last reading. Places count within the arrays. The deepest reading of the window is refined by a parabola through its neighbours where these exist and the vertex is within a reading of
     it. A side lasts from the minimum to where the flux first regains the level less `half` the depth, between two readings by interpolation, no
     farther out than the bounds; its slope is fitted over the readings within, at least `least` of them if the bounds allow. NaN is what can't be measured.
     """
-    rows, cols = np.arange(len(flux)), np.arange(len(t))
+    rows, cols = np.arange(len(flux)), np.arange(flux.shape[1])
     start, end = window
-    i = start + np.argmin(flux[:, start : end + 1], axis=1)
+    if t.ndim == 1:
+        i = start + np.argmin(flux[:, start : end + 1], axis=1)
+        last_place, when = len(t) - 1, lambda k: t[k]
+    else:
+        i = np.argmin(np.where((cols >= start[:, None]) & (cols <= end[:, None]), flux, np.inf), axis=1)
+        bounds = (bounds[0], bounds[1][:, None])
+        last_place, when = bounds[1][:, 0], lambda k: t[rows, k]
     here = flux[rows, i]
-    inside = (i > 0) & (i < len(t) - 1)
-    before, after = flux[rows, np.maximum(i - 1, 0)], flux[rows, np.minimum(i + 1, len(t) - 1)]
+    inside = (i > 0) & (i < last_place)
+    before, after = flux[rows, np.maximum(i - 1, 0)], flux[rows, np.minimum(i + 1, last_place)]
     with np.errstate(all="ignore"):
         bend = before - 2 * here + after
         shift = 0.5 * (before - after) / bend
         good = inside & (bend > 0) & (np.abs(shift) < 1)
-        step = 0.5 * (t[np.minimum(i + 1, len(t) - 1)] - t[np.maximum(i - 1, 0)])
-        t_min = np.where(good, t[i] + shift * step, t[i])
+        step = 0.5 * (when(np.minimum(i + 1, last_place)) - when(np.maximum(i - 1, 0)))
+        t_min = np.where(good, when(i) + shift * step, when(i))
         f_min = np.where(good, here - 0.25 * (before - after) * shift, here)
         depth = level - f_min
         target = (level - half * depth)[:, None]
+        last_bound = bounds[1] if t.ndim == 1 else bounds[1][:, 0]
         out = {"index": i, "t_min": t_min, "f_min": f_min, "depth": depth}
         for side in ("ingress", "egress"):
             if side == "egress":
                 found = (cols > i[:, None]) & (cols <= bounds[1]) & (flux >= target)
                 j = np.argmax(found, axis=1)
                 last = j - 1
-                low, high = i, np.maximum(last, np.minimum(i + least - 1, bounds[1]))
+                low, high = i, np.maximum(last, np.minimum(i + least - 1, last_bound))
             else:
                 found = (cols < i[:, None]) & (cols >= bounds[0]) & (flux >= target)
-                j = len(t) - 1 - np.argmax(found[:, ::-1], axis=1)
-                last = np.minimum(j + 1, len(t) - 1)
+                j = len(cols) - 1 - np.argmax(found[:, ::-1], axis=1)
+                last = np.minimum(j + 1, last_place)
                 low, high = np.minimum(last, np.maximum(i - least + 1, bounds[0])), i
             ok = found.any(axis=1) & (depth > 0) & (high - low + 1 >= least)
             f_in, f_out = flux[rows, last], flux[rows, j]
-            t_half = np.where(f_out == f_in, t[j], t[last] + (target[:, 0] - f_in) / (f_out - f_in) * (t[j] - t[last]))
+            t_half = np.where(f_out == f_in, when(j), when(last) + (target[:, 0] - f_in) / (f_out - f_in) * (when(j) - when(last)))
             used = ((cols >= low[:, None]) & (cols <= high[:, None])).astype(float)
             n = used.sum(axis=1)
-            x, y = (t[None, :] - t[i][:, None]) * used, flux * used
+            x, y = (t - when(i)[:, None]) * used, flux * used
             dx = (x - (x.sum(axis=1) / n)[:, None]) * used
             dy = (y - (y.sum(axis=1) / n)[:, None]) * used
             sxx, sxy, syy = (dx * dx).sum(axis=1), (dx * dy).sum(axis=1), (dy * dy).sum(axis=1)
@@ -251,6 +330,131 @@ def compare_profiles(t: np.ndarray, y: np.ndarray, err: np.ndarray, t_min: float
     return {"delta_bic": delta if math.isfinite(delta) else -math.inf, "tau_over_sigma": float(b[3] / b[2]) if b[2] > 0 else math.nan, "fitted_depth": float(b[1]) if ok_b else math.nan}
 
 
+def _dips(t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, None]:
+    """dip() of each row with level 0 and depth -1, the distance from its minimum in widths, and None."""
+    z = (t - p[:, :1]) * (1 / np.maximum(p[:, 2:3], MIN_WIDTH))
+    return np.exp(-0.5 * z * z), z, None
+
+
+def _tailed_dips(t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tailed_dip() of each row likewise, and where it falls."""
+    dt = t - p[:, :1]
+    falls = dt <= 0
+    z = dt * np.where(falls, 1 / np.maximum(p[:, 2:3], MIN_WIDTH), 1 / np.maximum(p[:, 3:4], MIN_WIDTH))
+    return np.exp(np.where(falls, -0.5 * z * z, -z)), z, falls
+
+
+def bounded_fits(shape, t: np.ndarray, y: np.ndarray, err: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bounded_fit of each row, all at once, with slopes by formula; readings with an infinite error have no part. shape: _dips or _tailed_dips."""
+    n, k = start.shape
+    out, chi, good, every = start.astype(float), np.full(n, np.inf), np.zeros(n, bool), np.arange(k)
+    ids = np.flatnonzero(~((out < low) | (out > high) | (low >= high)).any(axis=1))
+    t, y, w, q, lo, hi = (v[ids] for v in (t, y, 1 / err, out, low, high))
+    scale = np.maximum(np.abs(hi - lo), 1e-12)
+    g, z, falls = shape(t, q)
+    r = (q[:, -1:] - q[:, 1:2] * g - y) * w
+    c = np.einsum("ij,ij->i", r, r)
+    damping, count, fresh = np.full(len(ids), 1e-3), np.zeros(len(ids), int), np.ones(len(ids), bool)
+    normal, fall, free = np.zeros((len(ids), k, k)), np.zeros((len(ids), k)), np.ones((len(ids), k), bool)
+    while len(ids):
+        stop, fine = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        f = slice(None) if fresh.all() else np.flatnonzero(fresh)
+        qf, wf, zf, sf = q[f], w[f], z[f], scale[f]
+        if len(qf):
+            jacobian = np.empty((len(qf), k, t.shape[1]))
+            gw = g[f] * wf
+            deep, width = qf[:, 1:2], np.maximum(qf[:, 2:3], MIN_WIDTH)
+            np.multiply(gw, -sf[:, 1:2], out=jacobian[:, 1])
+            np.multiply(wf, sf[:, -1:], out=jacobian[:, k - 1])
+            if k == 4:
+                gz = gw * zf
+                np.multiply(gz, -deep / width * sf[:, :1], out=jacobian[:, 0])
+                np.multiply(gz * zf, -deep / width * sf[:, 2:3], out=jacobian[:, 2])
+            else:
+                left, tail = falls[f], np.maximum(qf[:, 3:4], MIN_WIDTH)
+                gz = gw * zf
+                np.multiply(np.where(left, gz, gw), np.where(left, -deep / width * sf[:, :1], -deep / tail * sf[:, :1]), out=jacobian[:, 0])
+                np.multiply(np.where(left, gz * zf, 0.0), -deep / width * sf[:, 2:3], out=jacobian[:, 2])
+                np.multiply(np.where(left, 0.0, gz), -deep / tail * sf[:, 3:4], out=jacobian[:, 3])
+            gradient = (jacobian @ r[f][:, :, None])[:, :, 0]
+            normal[f], fall[f] = jacobian @ jacobian.transpose(0, 2, 1), -gradient
+            free[f] = ~(((qf <= lo[f]) & (gradient > 0)) | ((qf >= hi[f]) & (gradient < 0)))
+            count[f] += 1
+            fine[f] = np.where(free[f], np.abs(gradient), 0.0).max(axis=1) < 1e-10 * np.maximum(c[f], 1e-12)
+            stop |= fine
+        diagonal = normal[:, every, every]
+        a = np.where(free[:, :, None] & free[:, None, :], normal, 0.0)
+        a[:, every, every] = np.where(free, diagonal + damping[:, None] * np.maximum(diagonal, 1e-12), 1.0)
+        right = np.where(free, fall, 0.0)
+        try:
+            move = np.linalg.solve(a, right[:, :, None])[:, :, 0]
+        except np.linalg.LinAlgError:
+            move = np.zeros(right.shape)
+            for i in range(len(ids)):
+                try:
+                    move[i] = np.linalg.solve(a[i], right[i])
+                except np.linalg.LinAlgError:
+                    stop[i] = True
+        new = np.minimum(np.maximum(q + move * scale, lo), hi)
+        g1, z1, falls1 = shape(t, new)
+        s = (new[:, -1:] - new[:, 1:2] * g1 - y) * w
+        value = np.einsum("ij,ij->i", s, s)
+        taken = ~stop & (value < c)
+        close = taken & (c - value < 1e-8 * c)
+        if taken.all():
+            q, r, c, g, z, falls = new, s, value, g1, z1, falls1
+        else:
+            q[taken], r[taken], c[taken], g[taken], z[taken] = new[taken], s[taken], value[taken], g1[taken], z1[taken]
+            if falls is not None:
+                falls[taken] = falls1[taken]
+        damping = np.where(taken, np.maximum(damping / 5, 1e-12), damping * 4)
+        stuck = ~stop & ~taken & (damping > 1e10)
+        fine |= close | (stuck & np.isfinite(c))
+        fresh = taken
+        stop |= close | stuck | (taken & (count >= rounds))
+        if stop.any():
+            i, own = ids[stop], ~stop
+            out[i], chi[i], good[i] = q[stop], c[stop], fine[stop]
+            falls = falls if falls is None else falls[own]
+            ids, t, y, w, q, lo, hi, scale, r, c, g, z, damping, count, fresh, normal, fall, free = (v[own] for v in (ids, t, y, w, q, lo, hi, scale, r, c, g, z, damping, count, fresh, normal, fall, free))
+    return out, chi, good
+
+
+def compare_many(events: list[dict], widen: float = 0.25, at_once: int = 1024) -> list[tuple[float, float]]:
+    """(delta_bic, tau_over_sigma) of compare_profiles for events (time, flux, err, t_min, depth, level, start_time, end_time), fitted many at once."""
+    out: list[tuple[float, float]] = [(math.nan, math.nan)] * len(events)
+    given = []
+    for k, e in enumerate(events):
+        span = max(e["end_time"] - e["start_time"], 1e-6)
+        lo, hi = e["start_time"] - widen * span, e["end_time"] + widen * span
+        a, b = np.searchsorted(e["time"], lo, "left"), np.searchsorted(e["time"], hi, "right")
+        if b - a >= 8:
+            given.append((b - a, k, a, b, span, lo, hi))
+    given.sort()
+    for first in range(0, len(given), at_once):
+        some = given[first : first + at_once]
+        n = np.array([g[0] for g in some])
+        t, y, err = np.zeros((len(some), n.max())), np.zeros((len(some), n.max())), np.full((len(some), n.max()), np.inf)
+        for row, (m, k, a, b, *_) in enumerate(some):
+            e = events[k]
+            t[row, :m], y[row, :m] = e["time"][a:b], e["flux"][a:b]
+            t[row, m:] = t[row, m - 1]
+            own = e["err"][a:b]
+            err[row, :m] = np.where(own > 0, own, 1.0)
+        span, lo, hi = (np.array([g[i] for g in some]) for i in (4, 5, 6))
+        t_min, depth, level = (np.array([events[g[1]][name] for g in some], float) for name in ("t_min", "depth", "level"))
+        d, w, zero, least = np.maximum(depth, 1e-9), np.maximum(span / 4, 10 * MIN_WIDTH), np.zeros(len(some)), np.full(len(some), MIN_WIDTH)
+        _, chi_a, ok_a = bounded_fits(_dips, t, y, err, np.stack([t_min, d, w, level], 1), np.stack([lo, zero, least, level - 10 * d], 1), np.stack([hi, 10 * d, span, level + 10 * d], 1))
+        b, chi_b, ok_b = bounded_fits(_tailed_dips, t, y, err, np.stack([t_min, d, w, w, level], 1), np.stack([lo, zero, least, least, level - 10 * d], 1), np.stack([hi, 10 * d, span, 10 * span, level + 10 * d], 1))
+        with np.errstate(all="ignore"):
+            delta = chi_a + 4 * np.log(n) - chi_b - 5 * np.log(n)
+        delta = np.where(ok_a & ok_b & np.isfinite(delta), delta, -np.inf)
+        ratio = np.where(b[:, 2] > 0, b[:, 3] / np.where(b[:, 2] > 0, b[:, 2], 1.0), np.nan)
+        for g, x, z in zip(some, delta.tolist(), ratio.tolist()):
+            out[g[1]] = (x, z)
+    return out
+
+
 def periodogram_sums(t: np.ndarray, y: np.ndarray, weight: np.ndarray, low: float, step: float, count: int, width: int = 32) -> np.ndarray:
     """What a block adds to a periodogram with floating mean: for each of `count` frequencies from low by step the weighted sums of cos, sin, y cos, y sin, cos cos, cos sin.
 

@@ -12,8 +12,9 @@ from dipweave.operators import calibration as cal
 from dipweave.operators import events as ev
 from dipweave.operators import kernels as ke
 from dipweave.operators import series as se
+from dipweave.operators.nearby import Dips
 from dipweave.operators.training import FEATURES, features
-from dipweave.operators.variants import variant_events
+from dipweave.operators.variants import Variant, variant_events
 
 SCHEMA = "target_id string, mission string, quarter_no int, idx bigint, time double, flux double, flux_err double"
 CADENCE = 0.02043
@@ -395,3 +396,56 @@ def test_command_line(spark, rows, tmp_path, capsys):
     (tmp_path / "t.json").write_text("{}")
     assert main(["validate", str(tmp_path / "in"), str(tmp_path / "t.json")], spark) == 2
     assert "star: failed, 3 of 4" in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("size", [1, 5, 31, 101, 201, 1101])
+def test_local_medians(size):
+    rng = np.random.default_rng(size)
+    for n, missing in ((1300, 0), (1300, 40), (1111, 1100)):
+        x = rng.normal(size=(3, n)).round(1)
+        there = (np.arange(n) >= missing // 2) & (np.arange(n) < n - missing // 2 - 3 * (missing > 0)) & np.ones((3, 1), bool)
+        got = ke.local_medians(np.where(there, x, np.inf), size, there)
+        rows = [ke.rolling_median(np.where(there[r], x[r], np.nan), size)[size // 2 : size // 2 + n - size + 1] for r in range(3)]
+        np.testing.assert_array_equal(got, rows)
+
+
+@pytest.mark.parametrize("detrend", ["savgol", "none", "spline"])
+def test_events_near_dips_without_the_rest(detrend, monkeypatch):
+    """A trial's events are those of the whole series smoothed, though only what is around its dip is worked out: with gaps, spikes, clipped readings and series shorter than the filters."""
+    rng, c = np.random.default_rng(3), Config(scoring=Scoring(bootstrap_draws=50))
+    wholes, fits, many = [], [], 0
+    for n, cadence, spikes in ((150, CADENCE, 0), (420, CADENCE, 3), (1500, CADENCE, 30), (900, 0.007, 2), (700, 0.0013, 0)):
+        time = 100 + np.cumsum(cadence * (1 + 0.01 * rng.normal(size=n)) + 3.0 * (rng.uniform(size=n) < 0.004))
+        flux = 1 + rng.normal(0, 2e-4, n) - ramp(time, time[n // 2], 2e-3, 0.1, 0.5)
+        flux[rng.integers(0, n, spikes)] += rng.choice([1.2e-3, 1e9], spikes, p=[0.8, 0.2])
+        err = np.full(n, 2e-4)
+        t0, depth = rng.uniform(time[0], time[-1], 60), rng.choice([2e-4, 1e-3, 2e-3, 1e-2], 60)
+        t0[:8] = time[n // 2] + rng.uniform(-1, 1, 8)
+        want = []
+        smooth = se._Smoother(c, detrend).many(time, flux, np.stack([flux - cal._ramp(time, a, d, 0.1, 0.5) for a, d in zip(t0, depth)]), cadence)
+        for r in range(60):
+            v = Variant({"t0": t0[r]}, time, err, cadence, {k: x[r] for k, x in smooth.items()}, c)
+            near = cal._near(v, 0.5) if v.windows else []
+            want += [(r, e.start, e.end, e.t_min, e.geometry["a_dur"], e.a_dur_sigma() if len(near) > 1 else np.nan, e.profiles()["delta_bic"]) for e in near]
+        dips = Dips(time, flux, err, cadence, t0, depth, 0.1, 0.5, 0.5, c, detrend)
+        found = dips.events()
+        spans = [slice(e["low"], e["low"] + len(e["flat"])) for e in found]
+        scores = ke.compare_many([e | {"time": time[s], "flux": e["flat"], "err": err[s], "start_time": time[e["start"]], "end_time": time[e["end"]]} for e, s in zip(found, spans)])
+        got = [(e["trial"], e["start"], e["end"], e["t_min"], e["a_dur"], e.get("a_dur_sigma", np.nan), b) for e, (b, _) in zip(found, scores)]
+        got, want = np.array(sorted(got)).reshape(-1, 7), np.array(sorted(want)).reshape(-1, 7)
+        assert got[:, :3].tolist() == want[:, :3].tolist()
+        np.testing.assert_allclose(got[:, 3:6], want[:, 3:6], rtol=1e-6)
+        plain = np.abs(want[:, 6]) < 1e9  # a fit to a spike, or one that hardly converges, depends on rounding
+        fits += np.isclose(got[plain, 6], want[plain, 6], rtol=1e-4, atol=1e-3).tolist()
+        wholes.append(dips.whole.mean())
+        many += len(got)
+    assert many > 15 and np.mean(fits) > 0.9 and (detrend == "spline" or max(wholes) < 0.5)
+
+
+def test_recovery_smooths_no_trial_as_a_whole(rows, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(se._Smoother, "many", never)
+    got = cal.recovery(se.normalised(table(rows, flat=CURVES["flat"])), (2e-3,), per_depth=2, config=QUICK).toPandas()
+    assert len(got) == 2 and got.detected.all()
