@@ -115,7 +115,7 @@ class Event:
         rng = np.random.default_rng([self.c.runtime.rng_seed, self.start, self.end, int(abs(self.start_time) * 1e6)])
         draws = np.repeat(self.flux[None, :], draws_of, axis=0)
         draws[:, low:high] += rng.normal(size=(draws_of, high - low)) * np.abs(self.err[low:high])
-        values = measure(self.time, draws, *self.args)["a_dur"]
+        values = measure(self.time, draws, *self.args, slopes=False)["a_dur"]
         values = values[np.isfinite(values)]
         return float(values.std(ddof=1)) if len(values) > 1 else math.nan
 

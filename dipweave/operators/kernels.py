@@ -23,8 +23,8 @@ def local_medians(x: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
     the middle ones of these and the others. Runs too long or too short for that take a running median.
     """
     b, w = x.shape
-    p, g = w - size + 1, 8 if size < 150 else 16
-    if size > 1000 or size < 2 * g:
+    p, g = w - size + 1, 8 if size < 600 else 16 if size < 2000 else 32
+    if size > 8000 or size < 2 * g:
         return np.stack([rolling_median(row, size)[size // 2 : size // 2 + p] for row in np.where(there, x, np.nan)])
     groups = -(-p // g)
     kind = np.int16 if w + g < 1 << 15 else np.int32
@@ -192,12 +192,12 @@ def solve_banded(band: np.ndarray, right: np.ndarray) -> np.ndarray:
     return y
 
 
-def measure(t: np.ndarray, flux: np.ndarray, level: float | np.ndarray, window: tuple, bounds: tuple, half: float, least: int) -> dict[str, np.ndarray]:
+def measure(t: np.ndarray, flux: np.ndarray, level: float | np.ndarray, window: tuple, bounds: tuple, half: float, least: int, slopes: bool = True) -> dict[str, np.ndarray]:
     """Geometry of an event in each row of flux (draws x readings): minimum, depth, and duration and slope of either side.
 
     Rows may be events of their own: with times, a level, a window and bounds each, the last of which is the place of the last reading. Places count within the arrays. The deepest reading of the window is refined by a parabola through its neighbours where these exist and the vertex is within a reading of
     it. A side lasts from the minimum to where the flux first regains the level less `half` the depth, between two readings by interpolation, no
-    farther out than the bounds; its slope is fitted over the readings within, at least `least` of them if the bounds allow. NaN is what can't be measured.
+    farther out than the bounds; its slope is fitted over the readings within, at least `least` of them if the bounds allow. NaN is what can't be measured. Without slopes, the rest is the same.
     """
     rows, cols = np.arange(len(flux)), np.arange(flux.shape[1])
     start, end = window
@@ -236,6 +236,10 @@ def measure(t: np.ndarray, flux: np.ndarray, level: float | np.ndarray, window:
             ok = found.any(axis=1) & (depth > 0) & (high - low + 1 >= least)
             f_in, f_out = flux[rows, last], flux[rows, j]
             t_half = np.where(f_out == f_in, when(j), when(last) + (target[:, 0] - f_in) / (f_out - f_in) * (when(j) - when(last)))
+            duration = np.abs(t_min - t_half)
+            if not slopes:  # a line through two readings or more has one
+                out[f"{side}_duration"] = np.where(ok & (high > low) & (duration > 0), duration, np.nan)
+                continue
             used = ((cols >= low[:, None]) & (cols <= high[:, None])).astype(float)
             n = used.sum(axis=1)
             x, y = (t - when(i)[:, None]) * used, flux * used
@@ -244,10 +248,11 @@ def measure(t: np.ndarray, flux: np.ndarray, level: float | np.ndarray, window:
             sxx, sxy, syy = (dx * dx).sum(axis=1), (dx * dy).sum(axis=1), (dy * dy).sum(axis=1)
             slope = np.where(sxx > 0, sxy / sxx, np.nan)
             error = np.sqrt(np.maximum(syy - slope * sxy, 0) / (n - 2) / sxx)
-            duration = np.abs(t_min - t_half)
             ok &= np.isfinite(slope) & (duration > 0)
             out |= {f"{side}_duration": np.where(ok, duration, np.nan), f"{side}_slope": np.where(ok, slope, np.nan), f"{side}_slope_err": np.where(ok, error, np.nan), f"{side}_points": np.where(ok, n, 0)}
         e, g = out["egress_duration"], out["ingress_duration"]
+        if not slopes:
+            return out | {"a_dur": np.where(e + g > 0, (e - g) / (e + g), 0 * (e + g))}
         s, r = np.abs(out["ingress_slope"]), np.abs(out["egress_slope"])
         out["a_dur"] = np.where(e + g > 0, (e - g) / (e + g), 0 * (e + g))
         out["a_slope"] = np.where(s + r > 0, (s - r) / (s + r), 0 * (s + r))
@@ -344,19 +349,34 @@ def _tailed_dips(t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.exp(np.where(falls, -0.5 * z * z, -z)), z, falls
 
 
-def bounded_fits(shape, t: np.ndarray, y: np.ndarray, err: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """bounded_fit of each row, all at once, with slopes by formula; readings with an infinite error have no part. shape: _dips or _tailed_dips."""
+def bounded_fits(shape, t: np.ndarray, y: np.ndarray, err: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 120, items: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """bounded_fit of each row, many at once, with slopes by formula; readings with an infinite error have no part. shape: _dips or _tailed_dips. Some `items` readings are at work at a time; others take
+    the places of rows that are done."""
     n, k = start.shape
     out, chi, good, every = start.astype(float), np.full(n, np.inf), np.zeros(n, bool), np.arange(k)
-    ids = np.flatnonzero(~((out < low) | (out > high) | (low >= high)).any(axis=1))
-    t, y, w, q, lo, hi = (v[ids] for v in (t, y, 1 / err, out, low, high))
-    scale = np.maximum(np.abs(hi - lo), 1e-12)
-    g, z, falls = shape(t, q)
-    r = (q[:, -1:] - q[:, 1:2] * g - y) * w
-    c = np.einsum("ij,ij->i", r, r)
-    damping, count, fresh = np.full(len(ids), 1e-3), np.zeros(len(ids), int), np.ones(len(ids), bool)
-    normal, fall, free = np.zeros((len(ids), k, k)), np.zeros((len(ids), k)), np.ones((len(ids), k), bool)
-    while len(ids):
+    waiting = np.flatnonzero(~((out < low) | (out > high) | (low >= high)).any(axis=1))
+    ids, weight, all_t, all_y = waiting[:0], 1 / err, t, y
+    reach = np.maximum(np.where(weight > 0, np.arange(1, t.shape[1] + 1), 0).max(axis=1, initial=0), 1)  # rows by length share no more places than the longest at work has
+    places = 0
+    while len(ids) or len(waiting):
+        if len(waiting) and len(ids) <= places * 3 // 4:
+            some = max(int(np.searchsorted((np.arange(len(ids), len(ids) + len(waiting)) + 1) * np.maximum.accumulate(reach[waiting]), items)), 64 - len(ids), 1)
+            more, waiting, places = waiting[:some], waiting[some:], len(ids) + some
+            wide = max(int(reach[more].max(initial=1)), t.shape[1] if len(ids) else 0)
+            given = [v[more, :wide] for v in (all_t, all_y, weight)] + [v[more] for v in (out, low, high)]
+            if len(ids) and wide > t.shape[1]:
+                longer = lambda v: np.pad(v, ((0, 0), (0, wide - v.shape[1])))  # noqa: E731, B023
+                t, y, w, g0, z0, r0 = (longer(v) for v in (t, y, w, g0, z0, r0))
+                falls0 = None if falls0 is None else longer(falls0)
+            size, p = np.maximum(np.abs(given[5] - given[4]), 1e-12), given[3]
+            g, z, falls = shape(given[0], p)
+            r = (p[:, -1:] - p[:, 1:2] * g - given[1]) * given[2]
+            m = len(more)
+            new = [more, *given, size, g, z, g[:, :0] if falls is None else falls, r, np.einsum("ij,ij->i", r, r), np.full(m, 1e-3), np.zeros(m, int), np.ones(m, bool), np.zeros((m, k, k)), np.zeros((m, k)), np.ones((m, k), bool)]
+            if len(ids):
+                new = [np.concatenate(v) for v in zip((ids, t, y, w, q, lo, hi, scale, g0, z0, g0[:, :0] if falls0 is None else falls0, r0, c, damping, count, fresh, normal, fall, free), new)]
+            ids, t, y, w, q, lo, hi, scale, g, z, falls, r, c, damping, count, fresh, normal, fall, free = new
+            falls = falls if falls.shape[1] else None
         stop, fine = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
         f = slice(None) if fresh.all() else np.flatnonzero(fresh)
         qf, wf, zf, sf = q[f], w[f], z[f], scale[f]
@@ -417,10 +437,11 @@ def bounded_fits(shape, t: np.ndarray, y: np.ndarray, err: np.ndarray, start: np
             out[i], chi[i], good[i] = q[stop], c[stop], fine[stop]
             falls = falls if falls is None else falls[own]
             ids, t, y, w, q, lo, hi, scale, r, c, g, z, damping, count, fresh, normal, fall, free = (v[own] for v in (ids, t, y, w, q, lo, hi, scale, r, c, g, z, damping, count, fresh, normal, fall, free))
+        g0, z0, r0, falls0 = g, z, r, falls
     return out, chi, good
 
 
-def compare_many(events: list[dict], widen: float = 0.25, at_once: int = 1024) -> list[tuple[float, float]]:
+def compare_many(events: list[dict], widen: float = 0.25, items: int = 1 << 18) -> list[tuple[float, float]]:
     """(delta_bic, tau_over_sigma) of compare_profiles for events (time, flux, err, t_min, depth, level, start_time, end_time), fitted many at once."""
     out: list[tuple[float, float]] = [(math.nan, math.nan)] * len(events)
     given = []
@@ -431,8 +452,12 @@ def compare_many(events: list[dict], widen: float = 0.25, at_once: int = 1024) -
         if b - a >= 8:
             given.append((b - a, k, a, b, span, lo, hi))
     given.sort()
-    for first in range(0, len(given), at_once):
-        some = given[first : first + at_once]
+    done = 0
+    while done < len(given):
+        last = done + 1
+        while last < len(given) and (last - done + 1) * given[last][0] <= items:
+            last += 1
+        some, done = given[done:last], last
         n = np.array([g[0] for g in some])
         t, y, err = np.zeros((len(some), n.max())), np.zeros((len(some), n.max())), np.full((len(some), n.max()), np.inf)
         for row, (m, k, a, b, *_) in enumerate(some):
