@@ -66,9 +66,10 @@ def recovery(rows: DataFrame, depths: tuple[float, ...], per_depth: int = 20, in
     """
     depth, t0 = F.col("depth"), F.col("t0")
     with scratch(rows.sparkSession) as keep:
-        plan = keep(trials(rows, depths, per_depth, ingress, egress, config))
+        spans = keep(rows.groupBy("series").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.max("n").alias("n")))
+        plan = keep(trials(spans.select("series", F.explode(F.array("first", "last")).alias("time")), depths, per_depth, ingress, egress, config))
         near = near_events(rows, plan, ingress, egress, tolerance, config, detrend)
-        if has_long(rows):
+        if has_long(spans):
             flux = F.col("flux") - ramp(F.col("time"), t0, depth, F.lit(ingress), F.lit(egress))
             flat = keep(long_variants(rows.where(F.col("n") > se.BLOCK), plan, flux, config, detrend))
             near = near.unionByName(measured(flat, config, near=plan.select(F.struct("series", "trial").alias("series"), t0.alias("at")), tolerance=tolerance).select(near.columns))

@@ -123,20 +123,33 @@ class Event:
 def windows_of(time: np.ndarray, depth: np.ndarray, cadence: float | None, config: Config, place: int = 0, size: int | None = None) -> list[tuple[int, int]]:
     """(start, end) of bounds() of a whole series by arrays; depth: the significance of its readings. Of a part of a series of `size` readings: those from `place` on."""
     c, n, out, before = config.candidates, size or len(time), [], -1
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], depth > c.sigma_threshold, [False]])))
-    start, end = edges[::2], edges[1::2] - 1
-    enough = end - start + 1 >= c.min_consecutive
-    start, end = start[enough], end[enough]
-    if not len(start):
-        return out
-    apart = start[1:] - end[:-1] - 1 > c.max_gap_cadences
-    margin = max(round(c.edge_margin_days / (cadence or 1.0)), 1)
-    for a, b in zip(start[np.append(True, apart)].tolist(), end[np.append(apart, True)].tolist()):
+    hit = np.zeros(len(depth) + 2, bool)
+    np.greater(depth, c.sigma_threshold, out=hit[1:-1])
+    edges = (hit[1:] != hit[:-1]).nonzero()[0].tolist()
+    found: list[list[int]] = []
+    for a, b in zip(edges[::2], edges[1::2]):
+        if b - a < c.min_consecutive:
+            continue
+        if found and a - found[-1][1] - 1 <= c.max_gap_cadences:
+            found[-1][1] = b - 1
+        else:
+            found.append([a, b - 1])
+    margin, half = max(round(c.edge_margin_days / (cadence or 1.0)), 1), c.max_window_days / 2
+    for a, b in found:
         if b + place < margin or a + place > n - 1 - margin:
             continue
-        near = np.flatnonzero(np.abs(time - time[(a + b) // 2]) <= c.max_window_days / 2)
-        first, last = int(near[0]), int(near[-1])
-        left, right = np.flatnonzero(depth[first:a] <= c.recovery_sigma), np.flatnonzero(depth[b + 1 : last + 1] <= c.recovery_sigma)
+        center = time[(a + b) // 2]
+        first, last = int(time.searchsorted(center - half)), int(time.searchsorted(center + half, "right")) - 1
+        # by the difference of times, whatever the rounding of the sums
+        while first > 0 and center - time[first - 1] <= half:
+            first -= 1
+        while center - time[first] > half:
+            first += 1
+        while last + 1 < len(time) and time[last + 1] - center <= half:
+            last += 1
+        while time[last] - center > half:
+            last -= 1
+        left, right = (depth[first:a] <= c.recovery_sigma).nonzero()[0], (depth[b + 1 : last + 1] <= c.recovery_sigma).nonzero()[0]
         a, b = (first + int(left[-1]) + 1 if len(left) else min(first, a)), (b + int(right[0]) if len(right) else max(last, b))
         a, before = max(a, before + 1), max(before, b)
         if a <= b:

@@ -32,23 +32,29 @@ def local_medians(x: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
     order = np.argsort(x, axis=1)
     rank = np.full((b, groups * g + size - 1), most, kind)
     np.put_along_axis(rank, order, np.broadcast_to(np.arange(w, dtype=kind), (b, w)), 1)
-    sums = np.zeros((b, w + 1), np.int32)
-    np.cumsum(there, axis=1, out=sums[:, 1:])
-    count = np.full((b, groups * g), size, np.int32)
-    count[:, :p] = sums[:, size:] - sums[:, :-size]
-    j, start = np.arange(g), g * np.arange(groups)[:, None]
-    beside = [start + np.where(e >= j, e, size + e) for e in range(g - 1)]
+    x, full = np.take_along_axis(x, order, 1), bool(there.all())
+    if not full:
+        sums = np.zeros((b, w + 1), np.int32)
+        np.cumsum(there, axis=1, out=sums[:, 1:])
+        count = np.full((b, groups * g), size, np.int32)
+        count[:, :p] = sums[:, size:] - sums[:, :-size]
     out, some, t = np.empty((b, p)), max((1 << 18) // (groups * (size + 2 * g * g)), 1), size // 2
     for a in range(0, b, some):
-        own, n = rank[a : a + some], count[a : a + some]
+        own = rank[a : a + some]
         k = len(own)
         rows = np.arange(a, a + k)[:, None]
         shared = np.sort(np.lib.stride_tricks.sliding_window_view(own, size - g + 1, axis=1)[:, g - 1 :: g][:, :groups], axis=2)
-        others = _in_order([own[:, i] for i in beside])
+        others = []
+        for e in range(g - 1):  # a place of a group lacks the first ones, and has as many beyond the end
+            both = np.empty((k, groups, g), kind)
+            both[:, :, : e + 1], both[:, :, e + 1 :] = own[:, e::g][:, :groups, None], own[:, size + e :: g][:, :groups, None]
+            others.append(both)
+        others = _in_order(others)
         low = _least_of(g, [shared[:, :, t - g + 1 + i, None] for i in range(g)], others).reshape(k, -1)
-        part = (n != size).reshape(k, groups, g).any(axis=2)
-        if not part.any():
-            out[a : a + k] = x[rows, order[rows, low[:, :p]]]
+        n = size if full else count[a : a + some]
+        part = None if full else (n != size).reshape(k, groups, g).any(axis=2)
+        if full or not part.any():
+            out[a : a + k] = x[rows, low[:, :p]]
             continue
         few = n.reshape(k, groups, g)[part]  # where readings are missing the middle is elsewhere, and may be two
         m = len(few)
@@ -59,7 +65,7 @@ def local_medians(x: np.ndarray, size: int, there: np.ndarray) -> np.ndarray:
         high = low.copy()
         low.reshape(k, groups, g)[part] = np.where(few > 0, one, 0)
         high.reshape(k, groups, g)[part] = np.where(few > 0, np.where(few % 2 == 0, two, one), 0)
-        out[a : a + k] = np.where(n[:, :p] > 0, (x[rows, order[rows, low[:, :p]]] + x[rows, order[rows, high[:, :p]]]) / 2, np.nan)
+        out[a : a + k] = np.where(n[:, :p] > 0, (x[rows, low[:, :p]] + x[rows, high[:, :p]]) / 2, np.nan)
     return out
 
 

@@ -142,7 +142,11 @@ class Dips:
 
     def _flat(self, trial: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
         """The flattened flux of trials (one a row) at `width` places from begin on, which is no less than -width; beyond the series, anything finite."""
-        rows = lambda v: np.lib.stride_tricks.sliding_window_view(np.pad(v, width, mode="edge"), width)[begin + width]
+
+        def rows(v: np.ndarray) -> np.ndarray:
+            v = np.concatenate([np.full(width, v[0]), v, np.full(width, v[-1])])
+            return np.ndarray((len(v) - width + 1, width), v.dtype, v, strides=(v.itemsize, v.itemsize))[begin + width]
+
         first, most = self.first[trial], self.new.shape[1]
         x = rows(self.flux)
         k, j = np.nonzero(self.valid[trial])
